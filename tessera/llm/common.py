@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +75,51 @@ def space_words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; starts anew when it has a million words."""
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_BASE = 0x9FB21C651E98DF25
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+class WordHashes:
+    """64-bit hashes of the words space_words gives, for many texts at once, without a Python object a word.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of prefix sums over the joined texts.
+    """
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in turn, and where each text's begin (one more than texts)."""
+        joined = b" ".join([t or b"" for t in texts]).lower() + b" "
+        code = np.frombuffer(joined, np.uint8)
+        if len(self.up) < len(code):
+            n = 2 * len(code)
+            self.up, self.down = _powers(_BASE, n), _powers(pow(_BASE, -1, 1 << 64), n)
+        space = _SPACE[code]
+        edge = np.flatnonzero(np.diff(space, prepend=True))
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code.astype(np.uint64) + np.uint64(1)) * self.up[: len(code)])])
+        hashes = mixed((sums[end] - sums[start]) * self.down[start])
+        begin = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
+        return hashes, np.searchsorted(start, begin)
+
+
+def chunks(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[slice]:
+    """Slices of texts of about size bytes; a longer text is a slice of its own."""
+    first, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or b"") > size:
+            yield slice(first, i)
+            first, held = i, 0
+        held += len(t or b"") + 1
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_ids, cut, mixed, scratch, space_words
+from .common import WordHashes, by_ids, chunks, cut, mixed, scratch
 from .components import components
 
 BITMAP = 2048
@@ -27,17 +27,20 @@ SMALL = 16
 BLOCK = 4096
 
 
-def shingle_set(words: list[bytes], k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; of the whole sequence, if it has fewer words; none without words."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-    m = min(n, k)
-    h = w[: n - m + 1].copy()
-    for i in range(1, m):
-        h = h * np.uint64(0x9FB21C651E98DF25) + w[i : n - m + 1 + i]
-    return np.unique(mixed(h + np.uint64(m)))
+def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its k-word shingles; of its whole sequence, if it has fewer words; none without words."""
+    for part in chunks(texts):
+        w, begin = hashes(texts[part])
+        rolled = [w]
+        for i in range(1, k):
+            rolled.append(rolled[-1][: len(w) - i] * np.uint64(0x9FB21C651E98DF25) + w[i:])
+        rolled = [mixed(r + np.uint64(m + 1)) if m == k - 1 else r for m, r in enumerate(rolled)]
+        for a, b in zip(begin[:-1], begin[1:]):
+            if b - a >= k:
+                s = np.sort(rolled[-1][a : b - k + 1])
+                yield s[np.r_[True, s[1:] != s[:-1]]]
+            else:
+                yield mixed(rolled[b - a - 1][a : a + 1] + np.uint64(b - a)) if b > a else w[:0]
 
 
 def links(o, n, m):
@@ -60,7 +63,7 @@ def tile_keys(s: np.ndarray) -> np.ndarray:
     """Keys of a set's tiles; the lowest bit tells a visitor from the band below."""
     n = len(s)
     first, band, most = s[: prefix(n)], n.bit_length() - 1, (5 * n // 4).bit_length() - 1
-    key = lambda b: mixed(first + np.uint64(b * 0xD6E8FEB86659FD93 % (1 << 64))) & ~np.uint64(1)
+    key = lambda x: mixed(first + np.uint64(x * 0xD6E8FEB86659FD93 % (1 << 64))) & ~np.uint64(1)
     return np.concatenate([key(band), key(most) | np.uint64(1)]) if most > band else key(band)
 
 
@@ -81,9 +84,14 @@ def _rank_of_buckets(texts: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, hashes = np.zeros(BUCKETS, np.int64), WordHashes()
         for pdf in batches:
-            for i in range(0, len(pdf), 200):
-                h = np.concatenate([np.zeros(0, np.uint64), *(shingle_set(space_words(t), k, hashes) for t in pdf.text[i : i + 200])])
-                sums += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+            held: list[np.ndarray] = []
+            for s in shingle_sets(pdf.text.tolist(), k, hashes):
+                held.append(s)
+                if len(held) == 500:
+                    sums += np.bincount((np.concatenate(held) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+                    held = []
+            if held:
+                sums += np.bincount((np.concatenate(held) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
         yield pd.DataFrame({"b": np.flatnonzero(sums), "c": sums[sums > 0]})
 
     counts = np.zeros(BUCKETS, np.int64)
@@ -101,8 +109,7 @@ def _sets(texts: DataFrame, k: int, rank: np.ndarray) -> DataFrame:
         hashes, low = WordHashes(), np.uint64((1 << 48) - 1)
         for pdf in batches:
             rows = []
-            for t in pdf.text:
-                s = shingle_set(space_words(t), k, hashes)
+            for s in shingle_sets(pdf.text.tolist(), k, hashes):
                 s = np.sort((rank[(s >> np.uint64(48)).astype(np.int64)] << np.uint64(48)) | (s & low))
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 rows.append((len(s), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bitmap(s), tile_keys(s).view(np.int64) if len(s) else []))
@@ -214,7 +221,7 @@ def _exact(k: int):
             if i not in last:
                 if len(last) > 64:
                     last.clear()
-                last[i] = shingle_set(space_words(text), k, hashes)
+                last[i] = next(shingle_sets([text], k, hashes))
             return last[i]
 
         for pdf in batches:
@@ -246,8 +253,13 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         sets = s.keep(_sets(texts, k, _rank_of_buckets(texts, k)), "sets")
         owners = cut(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("owner")))
         ids = owners.where("owner is not null").select(F.col("owner").alias("doc_id"))
-        own = s.keep(sets.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "d1", "d2"]) if sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() else sets.join(ids, "doc_id", "left_semi"), "own")
-        sig = own.select("doc_id", "n", "bits").dropDuplicates(["doc_id"])
+        repeated = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+        own = sets.join(ids.distinct(), "doc_id", "left_semi")
+        own = s.keep(own.dropDuplicates(["doc_id", "d1", "d2"]) if repeated else own, "own")
+        sets = s.keep(sets.select("doc_id", "n", "d1", "d2"), "rows")
+        s.drop("sets")
+        once = lambda df: df.dropDuplicates(["doc_id"]) if repeated else df
+        sig = once(own.select("doc_id", "n", "bits"))
         tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
         found = s.keep(tiles.mapInPandas(_candidates, "large boolean, k long, a long, b long"), "found")
 
@@ -259,7 +271,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
             near = cut(near)
             state["tested"] = near
             wanted = cut(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct())
-            some = cut(by_ids(texts, wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+            some = cut(once(by_ids(texts, wanted, "doc_id", "left_semi")))
             return cut(near.join(_side(some, "a"), "a").join(_side(some, "b"), "b").mapInPandas(_exact(k), "a long, b long"))
 
         state: dict[str, DataFrame] = {}
