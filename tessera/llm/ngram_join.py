@@ -2,7 +2,7 @@
 
 A document's set is held as sorted 64-bit hashes. Tiles are keyed by a shingle and a band of set sizes: each set
 enters those of its rarest shingles, so many that two sets which link must share one of them, in the band of its size
-and, if a partner may be that large, in the next. In a tile a hashed bitmap of 2048 bits bounds the overlap from
+and, if a partner may be that large, in the next. In a tile a hashed bitmap as wide as the band needs bounds the overlap from
 above; what passes is decided on the sorted arrays themselves.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import WordHashes, by_ids, chunks, cut, mixed, scratch
 from .components import components
 
-BITMAP = 2048
 BUCKETS = 1 << 16
 #: In tiles of at most so many sets every pair is a candidate; larger tiles compare bitmaps first.
 SMALL = 16
@@ -49,8 +48,10 @@ def links(o, n, m):
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, bool)
-    bits[(s & np.uint64(BITMAP - 1)).astype(np.int64)] = True
+    """Bits of the hashes' low digits; as many as suit the set's band: 8 to 16 a shingle, 256 at least."""
+    width = max(256, 8 << max(0, len(s).bit_length() - 1))
+    bits = np.zeros(width, bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
@@ -74,8 +75,16 @@ def overlap_bound(x: np.ndarray, y: np.ndarray, n, m):
     return np.minimum(n - px + common, m - py + common)
 
 
-def _bits(col: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), BITMAP // 64)
+def _bits(col: pd.Series, width: int | None = None) -> np.ndarray:
+    """Bitmaps as rows of uint64, all folded to `width` bytes, or to the narrowest: the bit of a low digit is then that of fewer digits."""
+    size = col.map(len).to_numpy()
+    width = width or int(size.min())
+    out = np.empty((len(col), width // 8), np.uint64)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x = np.frombuffer(b"".join(col.iloc[at]), np.uint64).reshape(len(at), n // width, width // 8)
+        out[at] = np.bitwise_or.reduce(x, axis=1)
+    return out
 
 
 def _rank_of_buckets(texts: DataFrame, k: int) -> np.ndarray:
@@ -207,9 +216,14 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose bitmaps let them link, and the likeness that those allow at most."""
     for pdf in batches:
-        n, m = pdf.an.to_numpy(), pdf.bn.to_numpy()
-        yield pdf.loc[links(overlap_bound(_bits(pdf.abits), _bits(pdf.bbits), n, m), n, m), ["a", "b"]] if len(pdf) else pdf[["a", "b"]]
+        width = np.minimum(pdf.abits.map(len), pdf.bbits.map(len)) if len(pdf) else []
+        for w in np.unique(width):
+            own = pdf[width == w]
+            n, m = own.an.to_numpy(), own.bn.to_numpy()
+            bound = overlap_bound(_bits(own.abits, int(w)), _bits(own.bbits, int(w)), n, m)
+            yield own[["a", "b"]].assign(most=bound / (n + m - bound))[links(bound, n, m)]
 
 
 def _exact(k: int):
@@ -239,8 +253,7 @@ def _side(df: DataFrame, x: str) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text), and n_links, the number of direct links between different
-    sets that the search tested and found for the row's set.
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
     Two rows link when their sets have 100 * intersection >= 80 * union; component_id is the smallest doc_id that links reach.
     Sets that are equal are one class represented by its smallest doc_id, so copies are never paired. Null and empty texts have an empty set and
@@ -263,34 +276,32 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
         found = s.keep(tiles.mapInPandas(_candidates, "large boolean, k long, a long, b long"), "found")
 
-        def decided(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.distinct()
-            if "tested" in state:
-                pairs = pairs.join(state["tested"], ["a", "b"], "left_anti")
-            near = pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long")
-            near = cut(near)
-            state["tested"] = near
-            wanted = cut(near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct())
+        def near(pairs: DataFrame) -> DataFrame:
+            return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long, most double")
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
             some = cut(once(by_ids(texts, wanted, "doc_id", "left_semi")))
-            return cut(near.join(_side(some, "a"), "a").join(_side(some, "b"), "b").mapInPandas(_exact(k), "a long, b long"))
+            return cut(pairs.join(_side(some, "a"), "a").join(_side(some, "b"), "b").mapInPandas(_exact(k), "a long, b long"))
 
-        state: dict[str, DataFrame] = {}
         large = found.where("large").select("k", F.shiftright("k", 1).alias("tile"), F.col("a").alias("doc_id"))
         sizes = large.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         large = cut(large.join(sizes, "tile").withColumn("part", F.expr("pmod(hash(doc_id), blocks)")))
-        firsts = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
-        linked = decided(found.where("not large").select("a", "b").union(firsts))
-        classes = cut(components(linked))
+        leaders = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
+        candidates = cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
+        # first the likeliest partner of each set; then, of all other candidates, only those that would still join two classes
+        best = cut(candidates.groupBy("b").agg(F.max(F.struct("most", "a")).alias("x")).select("x.a", "b"))
+        first = linked(best)
+        classes = cut(components(first))
+        class_of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
+        across = lambda pairs: pairs.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(~F.coalesce("ac", "a").eqNullSafe(F.coalesce("bc", "b"))).select("a", "b")
         parts = large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        mixed_tiles = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
-        parts = parts.join(mixed_tiles, "tile", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        several = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
+        parts = parts.join(several, "tile", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig, "doc_id")
-        rest = decided(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long"))
-        all_links = cut(linked.union(rest))
-        classes = components(all_links)
-        degree = all_links.select(F.col("a").alias("x")).union(all_links.select(F.col("b").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("n_links"))
-        named = owners.join(classes, owners["owner"] == classes["node"], "left").join(degree, F.col("owner") == degree["x"], "left")
-        named = named.select("d1", "d2", F.coalesce("component", "owner").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        rest = across(candidates.select("a", "b")).union(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long")).distinct()
+        rest = cut(rest.join(best, ["a", "b"], "left_anti"))
+        classes = components(first.union(linked(rest)))
+        named = owners.join(classes, owners["owner"] == classes["node"], "left").select("d1", "d2", F.coalesce("component", "owner").alias("component_id"))
         out = sets.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-        alone = F.col("n") == 0
-        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
