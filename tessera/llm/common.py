@@ -60,7 +60,7 @@ def scratch(spark: SparkSession):
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
-    """A left_semi or left_anti join, or a left join to few columns, that leaves the wide side where it is
+    """A left_semi, left_anti or inner join, or a left join to few columns, that leaves the wide side where it is
     while `ids` has at most BROADCAST_ROWS rows, and shuffles both beyond that. `ids` is read twice: pass a cut table."""
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, how)

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import by_ids, cut, mixed
 
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Most labelled rows of each class whose texts the logistic fit sees; the log-count ratios come from all labelled rows.
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Features kept of the 2**BITS: those whose log-count ratio is surest.
-KEPT = 1 << 15
+KEPT = 1 << 13
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -45,11 +45,10 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.weights[b].sum(dtype=np.float64) + self.bias, -500, 500))))
 
 
-def ratios(rows: list, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
-    """Kept buckets and their log-count ratios, from (bucket, pos, neg) counts of documents."""
-    b, p, q = (np.array([r[i] for r in rows], np.float64) for i in range(3))
-    at = p + q >= 3
-    b, p, q = b[at].astype(np.int64), p[at], q[at]
+def ratios(counts: pd.DataFrame, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kept buckets and their log-count ratios, from the documents of either class (p, q) that have each bucket b."""
+    counts = counts.sort_values("b")
+    b, p, q = counts.b.to_numpy(), counts.p.to_numpy(np.float64), counts.q.to_numpy(np.float64)
     r = np.log((p + 0.5) / (n_pos + 1)) - np.log((q + 0.5) / (n_neg + 1))
     sure = np.abs(r) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
     top = np.argsort(-sure, kind="stable")[:KEPT]
@@ -58,15 +57,13 @@ def ratios(rows: list, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_logistic(docs: list[np.ndarray], y: np.ndarray, r: np.ndarray, steps: int = 200, l2: float = 1e-3, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Weights of a logistic regression on presence times log-count ratio, by AdaGrad over the whole sample."""
-    x = [d for d in docs]
-    row = np.repeat(np.arange(len(x)), [len(d) for d in x])
-    col = np.concatenate(x) if x else np.zeros(0, np.int64)
-    size = np.sqrt(np.maximum(1, np.bincount(row, minlength=len(x))))  # the longest texts should not lead the fit
-    val = r[col] / size[row]
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    col = np.concatenate(docs) if docs else np.zeros(0, np.int32)
+    val = r[col]
     w, bias, gw, gb = np.ones(len(r)) * 0.1, 0.0, np.full(len(r), 1e-8), 1e-8
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, val * w[col], len(x)) * size + bias, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, val * w[col], len(docs)) + bias, -30, 30)))
         d = (p - y) * share
         g = np.bincount(col, val * d[row], len(r)) + l2 * w / len(r)
         gw, gb = gw + g * g, gb + d.sum() ** 2
@@ -83,7 +80,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     of positive labels (0.5 without any).
     """
     ids = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id")
+    ids = cut(ids)
+    rows = by_ids(docs.select("doc_id", F.col("text").cast("binary").alias("text")), ids, "doc_id", "inner")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros((2, 1 << BITS), np.int64)
@@ -95,13 +93,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         b = np.flatnonzero(sums.any(axis=0))
         yield pd.DataFrame({"b": np.append(b, -1), "p": np.append(sums[1, b], n[1]), "q": np.append(sums[0, b], n[0])})
 
-    counts = [tuple(r) for r in rows.mapInPandas(count, "b long, p long, q long").groupBy("b").agg(F.sum("p"), F.sum("q")).collect()]
-    n_pos, n_neg = next(((p, q) for b, p, q in counts if b < 0), (0, 0))
+    sums = rows.mapInPandas(count, "b long, p long, q long").groupBy("b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = sums.where("b < 0 or p + q >= 3").toPandas()
+    n_pos, n_neg = (int(counts.loc[counts.b < 0, c].sum()) for c in "pq")
     weights = np.zeros(1 << BITS, np.float32)
     if not n_pos or not n_neg:
         share = (n_pos + 0.5) / (n_pos + n_neg + 1)
         return Model(weights, float(np.log(share / (1 - share))))
-    kept, r = ratios([c for c in counts if c[0] >= 0], n_pos, n_neg)
+    kept, r = ratios(counts[counts.b >= 0], n_pos, n_neg)
     order = np.argsort(kept)
     sorted_kept = kept[order]
 
@@ -111,9 +110,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     chosen = ids.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).union(ids.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS))
     sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").mapInPandas(features, "y int, f binary").toPandas()
-    w, bias = fit_logistic([np.frombuffer(f, "<i4").astype(np.int64) for f in sample.f], sample.y.to_numpy(np.float64), r)
+    w, bias = fit_logistic([np.frombuffer(f, "<i4") for f in sample.f], sample.y.to_numpy(np.float64), r)
     weights[kept] = w
-    return Model(weights, bias)
+    # the fit weighs both classes alike; the bias puts their true shares back
+    return Model(weights, bias + float(np.log(n_pos / n_neg)))
 
 
 def scorer(spark, model: Model):
