@@ -2,14 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.cross_section import OPERATORS
+from ..operators.time_series import FAMILIES
+from ..sources.panel import part_panel
+from . import operator_sql
+from .expression import Node, build
+from .flow import Flow
+
+#: Parameters for which a family gives values; 4 for all others.
+PARAMETER = {"second_slope": 6, "sue0_score": 6, "sue1_score": 6, "cut_down_q1": 12, "cut_up_q1": 6, "first_slope": 4, "roll_resid": 4}
+
+#: Digits that are compared; sums of rank shares often lie half-way at the sixth.
+DIGITS = {"cs_double_scored": 9}
+
+
+def _operator(op: str, arity: int, d: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    args = ("y",) if op in ("cs_abs", "cs_sign", "cs_signed_square") else ("x", "y", "z")[:arity]
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        f = Flow(part_panel(spark, sf_dir))
+        value = build(f, Node(op, tuple(Node("feature", value=a) for a in args), d))
+        return f.run({"value": value}).select("entity", "qidx", (F.round("value", DIGITS.get(op, 6)) + 0.0).alias("value"))
 
-def queries() -> dict:
-    return {}
+    return run
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: _operator(name, arity) for name, (arity, _) in OPERATORS.items()}
+    out |= {f"ts_{name}_{PARAMETER.get(name, 4)}": _operator(f"ts_{name}", arity, PARAMETER.get(name, 4)) for name, (arity, _) in FAMILIES.items()}
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    out = {name: operator_sql.query(*operator_sql.CROSS[name], digits=DIGITS.get(name, 6)) for name in OPERATORS}
+    return out | {f"ts_{name}_{PARAMETER.get(name, 4)}": operator_sql.along(name, PARAMETER.get(name, 4)) for name in FAMILIES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
