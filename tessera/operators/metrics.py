@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
-Q = Window.partitionBy("period")
+
+
+def in_period() -> Window:
+    return Window.partitionBy("period")
 
 
 def masked(df: DataFrame, x: str, least: float = 0.9) -> DataFrame:
@@ -20,7 +23,7 @@ def masked(df: DataFrame, x: str, least: float = 0.9) -> DataFrame:
     return at.withColumn(x, F.when(ok, c(x)))
 
 
-def ranks(x: Column, by: Window = Q) -> Column:
+def ranks(x: Column) -> Column:
     """Mean ranks over the pairs of a period; x is null outside them."""
     w = Window.partitionBy("period", x.isNotNull())
     return F.when(x.isNotNull(), F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("period", x)) - 1) / 2)
@@ -50,7 +53,7 @@ def fitness(df: DataFrame, x: str, y: str, min_pairs: int = 100, share: float =
 
 def half(df: DataFrame, x: str, y: str, top: bool = True) -> DataFrame:
     """The rows of the better (or worse) half of x's percentile ranks in each period."""
-    p = df.where(c(x).isNotNull() & c(y).isNotNull()).withColumn("_p", ranks(c(x)) / F.count(F.lit(1)).over(Q))
+    p = df.where(c(x).isNotNull() & c(y).isNotNull()).withColumn("_p", ranks(c(x)) / F.count(F.lit(1)).over(in_period()))
     return p.where(c("_p") > 0.5 if top else c("_p") <= 0.5).drop("_p")
 
 
@@ -65,7 +68,7 @@ def long_only_ic(df: DataFrame, x: str, y: str) -> DataFrame:
 def bucketed(df: DataFrame, x: str, n: int = 10) -> DataFrame:
     """bucket 1..n by percentile rank: n - floor((1 - pct) * n)."""
     p = df.where(c(x).isNotNull())
-    return p.withColumn("bucket", (n - F.floor((1 - ranks(c(x)) / F.count(F.lit(1)).over(Q)) * n)).cast("int"))
+    return p.withColumn("bucket", (n - F.floor((1 - ranks(c(x)) / F.count(F.lit(1)).over(in_period())) * n)).cast("int"))
 
 
 def group_returns(df: DataFrame, x: str, ret: str, n: int = 10) -> DataFrame:

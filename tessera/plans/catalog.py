@@ -13,12 +13,13 @@ from ..sources.panel import part_panel
 from . import operator_sql
 from .expression import Node, build
 from .flow import Flow
+from .reports import REPORTS, flagship_ic
 
 #: Parameters for which a family gives values; 4 for all others.
 PARAMETER = {"second_slope": 6, "sue0_score": 6, "sue1_score": 6, "cut_down_q1": 12, "cut_up_q1": 6, "first_slope": 4, "roll_resid": 4}
 
-#: Digits that are compared; sums of rank shares often lie half-way at the sixth.
-DIGITS = {"cs_double_scored": 9}
+#: Values that are sums and ratios of few-digit shares lie half-way between two sixth digits so often that they are nudged before rounding.
+NUDGED = {"cs_double_scored": 1e-9, "ts_decay_linear_pctchg": 1e-9}
 
 
 def _operator(op: str, arity: int, d: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,7 +28,7 @@ def _operator(op: str, arity: int, d: int | None = None) -> Callable[[SparkSessi
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = Flow(part_panel(spark, sf_dir))
         value = build(f, Node(op, tuple(Node("feature", value=a) for a in args), d))
-        return f.run({"value": value}).select("entity", "qidx", (F.round("value", DIGITS.get(op, 6)) + 0.0).alias("value"))
+        return f.run({"value": value}).select("entity", "qidx", (F.round(F.col("value") + NUDGED.get(op, 0.0), 6) + 0.0).alias("value"))
 
     return run
 
@@ -35,13 +36,13 @@ def _operator(op: str, arity: int, d: int | None = None) -> Callable[[SparkSessi
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _operator(name, arity) for name, (arity, _) in OPERATORS.items()}
     out |= {f"ts_{name}_{PARAMETER.get(name, 4)}": _operator(f"ts_{name}", arity, PARAMETER.get(name, 4)) for name, (arity, _) in FAMILIES.items()}
-    return out
+    return out | {name: f for name, (f, _) in REPORTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: operator_sql.query(*operator_sql.CROSS[name], digits=DIGITS.get(name, 6)) for name in OPERATORS}
-    return out | {f"ts_{name}_{PARAMETER.get(name, 4)}": operator_sql.along(name, PARAMETER.get(name, 4)) for name in FAMILIES}
+    out = {name: operator_sql.query(*operator_sql.CROSS[name], nudge=NUDGED.get(name, 0.0)) for name in OPERATORS}
+    return out | {f"ts_{name}_{PARAMETER.get(name, 4)}": operator_sql.along(name, PARAMETER.get(name, 4), NUDGED.get(f"ts_{name}", 0.0)) for name in FAMILIES} | {name: sql for name, (_, sql) in REPORTS.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return flagship_ic(spark, sf_dir)

@@ -29,13 +29,13 @@ def z(x: str) -> str:
     return f"(CASE WHEN stddev_samp({x}) {D} >= 1e-10 THEN ({x} - avg({x}) {D}) / stddev_samp({x}) {D} END)"
 
 
-def query(value: str, *layers: dict[str, str], digits: int = 6) -> str:
+def query(value: str, *layers: dict[str, str], nudge: float = 0.0) -> str:
     """value over the panel; each layer's columns are computed on the one before."""
     ctes, at = [PART_PANEL_SQL], "p"
     for i, layer in enumerate(layers):
         ctes.append(f"l{i} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM {at})")
         at = f"l{i}"
-    return f"WITH {', '.join(ctes)}, r AS (SELECT entity, qidx, ({value})::DOUBLE AS v FROM {at}) SELECT entity, qidx, round(v, {digits}) + 0 AS value FROM r"
+    return f"WITH {', '.join(ctes)}, r AS (SELECT entity, qidx, ({value})::DOUBLE AS v FROM {at}) SELECT entity, qidx, round(v + {nudge!r}::DOUBLE, 6) + 0 AS value FROM r"
 
 
 XY = {"px": "CASE WHEN y IS NOT NULL THEN x END", "py": "CASE WHEN x IS NOT NULL THEN y END"}
@@ -163,7 +163,7 @@ def weighted(ws: list[float], renormed: bool) -> tuple:
     return (on_full(k, f"({total}) / nullif({there}, 0)" if renormed else total), {**v, "n": f"count(x) {w(k)}"})
 
 
-def along(family: str, d: int) -> str:
+def along(family: str, d: int, nudge: float = 0.0) -> str:
     """The query of ts_<family>_<d>."""
     k, j = d + 1, d + 2
     frac = [1.0]
@@ -207,4 +207,4 @@ def along(family: str, d: int) -> str:
         **{name: (f"CASE WHEN count(e) {w(k)} >= {m(k)} AND avg(-least(e, 0)) {w(k)} > 1e-10 THEN 100 - 100 / (1 + avg(CASE WHEN e > 0 THEN e WHEN e IS NOT NULL THEN 0 END) {w(k)} / avg(CASE WHEN e < 0 THEN -e WHEN e IS NOT NULL THEN 0 END) {w(k)}) END".replace("avg(-least(e, 0))", "avg(CASE WHEN e < 0 THEN -e WHEN e IS NOT NULL THEN 0 END)"), {"s": src}, {"e": f"s - {lag('s')}"}) for name, src in (("rsi", "x"), ("rsi_of_pctchg", change("x", 1)))},
         "signmul": (f"CASE WHEN count(x) {w(k)} >= {m(k)} THEN sign(x - avg(x) {w(k)}) * y END",),
     }
-    return query(*table[family])
+    return query(*table[family], nudge=nudge)

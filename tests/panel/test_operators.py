@@ -1,0 +1,193 @@
+"""Operators on hand-made panels, expected values by hand; expressions; the search; ingestion."""
+
+import datetime
+import math
+
+import pytest
+
+from tessera.operators import evolve as gp
+from tessera.operators import metrics, selection
+from tessera.operators.cross_section import OPERATORS
+from tessera.operators.time_series import FAMILIES
+from tessera.plans import catalog, expression
+from tessera.plans.expression import build, canonical, from_stack, parse, to_stack
+from tessera.plans.flow import Flow
+from tessera.sources.panel import dense, first_disclosed, report_period, standalone_quarter, statements, unpivoted
+
+SCHEMA = "entity long, qidx int, period date, industry int, restricted boolean, x double, y double"
+
+
+def day(q):
+    return datetime.date(2020 + q // 4, 3 * (q % 4) + 1, 1)
+
+
+def panel(spark, xs: dict, ys: dict | None = None, industry=1):
+    ys = ys or {}
+    rows = [(e, q, day(q), industry if isinstance(industry, int) else industry[e], False, v, (ys.get(e) or [None] * len(x))[q]) for e, x in xs.items() for q, v in enumerate(x)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def values(df, text):
+    f = Flow(df)
+    out = f.run({"v": build(f, parse(text))}).select("entity", "qidx", "v").collect()
+    got = {}
+    for r in sorted(out):
+        got.setdefault(r.entity, []).append(r.v)
+    return got
+
+
+def near(got, want):
+    assert len(got) == len(want) and all((g is None) == (v is None) and (v is None or math.isclose(g, v, rel_tol=1e-9, abs_tol=1e-9)) for g, v in zip(got, want)), (got, want)
+
+
+N = None
+
+
+@pytest.mark.parametrize(
+    "text, x, want",
+    [
+        ("ts_mean_1(x)", [1, N, 3, 5], [1, 1, 3, 4]),
+        ("ts_mean_1(x)", [N, N, N, N], [N, N, N, N]),
+        ("ts_delay_2(x)", [1, N, 3, 4], [N, N, 1, N]),
+        ("ts_ttm_2(x)", [1, N, 3, 4], [1, 1, 3, 7]),
+        ("ts_pct_1(x)", [0, 2, -2, 1], [N, N, -2, 1.5]),
+        ("ts_product_1(x)", [2, 3, N, 200000, 3], [N, 6, N, N, 10000]),
+        ("ts_rank_2(x)", [1, 1, 2, N, 0], [N, 0.5, 1, N, 0]),
+        ("ts_argmax_2(x)", [5, 5, 1, 7], [0, 0, 0, 2]),
+        ("ts_argmin_2(x)", [N, 5, 1, 7], [N, 1, 2, 1]),
+        ("ts_std_1(x)", [1, N, 3, 5], [N, N, math.sqrt(2), math.sqrt(2)]),
+        ("ts_zscore_2(x)", [4, 4, 4, 4], [N, N, N, N]),
+        ("ts_avg_1(x)", [1, 3, N, 5], [N, 2, N, N]),
+        ("ts_rsi_2(x)", [1, 2, 3, 4], [N, N, N, N]),
+        ("ts_rsi_2(x)", [1, 2, 1, 2], [N, N, 50, 100 - 100 / 3]),
+        ("ts_longest_strike_above_mean_3(x)", [1, 5, 6, 1], [N, N, N, 2]),
+        ("ts_number_cross_mean_3(x)", [1, 5, 1, 5], [N, N, N, 3]),
+        ("ts_first_slope_3(x)", [1, 3, 5, 7], [N, N, 2, 2]),
+        ("ts_first_slope_2(x)", [1, 3, 5, 7], [N, N, N, N]),
+        ("ts_second_slope_6(x)", [0, 1, 4, 9, 16, 25, 36], [N, N, N, N, N, 1, 1]),
+        ("ts_decay_linear_2(x)", [1, 2, 3, 5], [N, 3, 4, 19 / 3]),
+        ("ts_index_mass_quantile_q25_3(x)", [1, 1, 1, 1], [N, N, N, 0]),
+        ("ts_quantile_q25_1(x)", [1, 2, 3, 4], [N, 1.25, 1.5, 2.5]),
+        ("ts_fw_fracdiff_1(x)", [1, 1, 1, 1], [N, N, 0.375, 0.375]),
+        ("ts_ratio_beyond_sigma_2_3(x)", [1, 1, 1, 1], [N, N, N, N]),
+        ("ts_median_abs_deviation_1(x)", [1, 3, 3, 7], [N, 1, 0, 2]),
+        ("cs_div(x, 0.0005)", [1, N, 3, 4], [1, N, 1, 1]),
+        ("cs_inv(x)", [0.0005, N, 2, 4], [0, N, 0.5, 0.25]),
+        ("cs_max(x, ts_delay_1(x))", [1, 3, N, 2], [N, 3, N, N]),
+    ],
+)
+def test_along_time(spark, text, x, want):
+    near(values(panel(spark, {1: [None if v is None else float(v) for v in x]}), text)[1], want)
+
+
+def test_across_entities(spark):
+    df = panel(spark, {e: [v] for e, v in enumerate([3.0, 1.0, 3.0, None, 7.0])}, industry=[1, 1, 1, 1, 0])
+    at = lambda text: [v[0] for _, v in sorted(values(df, text).items())]
+    near(at("cs_rank(x)"), [2.5, 1, 2.5, N, 4])
+    near(at("cs_indrank(x)"), [2.5 / 3, 1 / 3, 2.5 / 3, N, N])
+    near(at("cs_demean(x)"), [-0.5, -2.5, -0.5, N, 3.5])
+    near(at("cs_switch_packet_flexible(x)"), [0, -2, 0, N, -4])
+    near(at("cs_fold(x)"), [4, 1, 4, N, 7])
+    one = panel(spark, {0: [4.0], 1: [4.0]}, industry=[1, 2])
+    assert values(one, "cs_indneutral(x)") == {0: [None], 1: [None]} and values(one, "cs_zscore(x)") == {0: [None], 1: [None]}
+
+
+def test_residual_of_flat_predictor(spark):
+    df = panel(spark, {0: [1.0], 1: [3.0]}, {0: [2.0], 1: [2.0]})
+    assert values(df, "cs_residual(x, y)") == {0: [-1.0], 1: [1.0]} and values(df, "cs_regressor(x, y)") == {0: [None], 1: [None]}
+
+
+def test_double_scored_needs_five(spark):
+    four = panel(spark, {e: [float(e)] for e in range(4)}, {e: [float(-e)] for e in range(4)})
+    assert all(v == [None] for v in values(four, "cs_double_scored(x, y)").values())
+    ten = panel(spark, {e: [float(e)] for e in range(10)}, {e: [float(e)] for e in range(10)})
+    got = values(ten, "cs_double_scored(x, y)")
+    # the first quintile holds ranks .1 to .28, that is two entities
+    near(got[0], [0.5 * 0.1 + 0.5 * 0.5])
+    near(got[1], [0.5 * 0.2 + 0.5 * 1.0])
+
+
+def test_counts():
+    assert len(OPERATORS) == 45 and len(FAMILIES) == 73
+    assert set(catalog.oracle_sql()) <= set(catalog.queries())
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"evolution"}
+
+
+def test_expressions(spark):
+    t = parse("cs_add(`a b`, ts_growth_4(cs_mul(x, 0.5)))")
+    assert parse(str(t)) == t and from_stack(to_stack(t, ["x", "a b"]), ["x", "a b"]) == t
+    assert canonical(parse("cs_add(y, x)")) == canonical(parse("cs_add(x, y)")) and canonical(parse("ts_last_3(x)")) == canonical(parse("ts_delay_3(x)"))
+    assert canonical(parse("ts_qoq_1(x)")) != canonical(parse("ts_pct_1(x)"))
+    assert t.depth() == 3 and t.length() == 6
+    with pytest.raises(KeyError):
+        parse("nope(x)")
+    f = Flow(panel(spark, {1: [1.0, 2.0]}))
+    a, b = build(f, parse("cs_add(ts_delay_1(x), 1.0)")), build(f, parse("cs_add(1.0, ts_last_1(x))"))
+    assert a == b
+
+
+def test_layers_share_exchanges(spark):
+    f = Flow(panel(spark, {1: [1.0, 2.0]}).repartition(3))
+    a = build(f, parse("cs_zscore(ts_mean_2(x))"))
+    b = build(f, parse("ts_std_2(ts_delta_1(x))"))
+    plan = f.run({"a": a, "b": b})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") <= 4
+
+
+def test_user_operator(spark):
+    sample = panel(spark, {1: [1.0, 2.0]})
+    from pyspark.sql import functions as F
+
+    expression.register_operator("twice", 1, lambda f, x: f.ew(2 * F.col(x), x), sample)
+    assert values(panel(spark, {1: [1.0, None]}), "twice(x)") == {1: [2.0, None]}
+    with pytest.raises(ValueError):
+        expression.register_operator("bad", 1, lambda f, x: f.ew(F.lit(float("inf")) * F.abs(F.col(x) + 2), x), sample)
+
+
+def test_metrics(spark):
+    xs = {e: [float(e), float(e)] for e in range(20)}
+    ys = {e: [float(e), float(-e)] for e in range(20)}
+    df = panel(spark, xs, ys)
+    assert [round(r.ic, 9) for r in metrics.ic_rows(df, "x", "y").orderBy("period").collect()] == [1, -1]
+    assert metrics.fitness(df, "x", "y", min_pairs=20).first().fitness == pytest.approx(0, abs=1e-12)
+    assert metrics.fitness(df, "x", "y", min_pairs=21).first().fitness == -1
+    g = metrics.group_returns(df, "x", "y").where("period = date'2020-01-01'").collect()
+    assert sorted(r.bucket for r in g)[-1] == 11 or len(g) == 10
+    r = metrics.residual_of_many(panel(spark, xs, ys), "x", ["y"]).collect()
+    assert len(r) == 40 and all(abs(x.residual) < 1e-9 for x in r)
+
+
+def test_selection(spark):
+    assert selection.without_correlated([("a", 0.3), ("b", 0.2), ("c", 0.1)], {("a", "b"): 0.9, ("a", "c"): 0.1, ("b", "c"): 0.2}, 0.6) == ["a", "c"]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(0.009,), (0.01,), (float("nan"),), (None,)], "s double")
+    assert [r.s for r in rows.where(selection.passes_gate(F.col("s"), 0.01)).collect()] == [0.01]
+
+
+def test_search_is_seeded_and_prefix(spark):
+    import random
+
+    rng = random.Random(1)
+    p = panel(spark, {e: [rng.random() for _ in range(4)] for e in range(40)}, {e: [rng.random() for _ in range(4)] for e in range(40)})
+    ops = ["cs_add", "cs_rank", "ts_delay_1"]
+    s = gp.Settings(population=4, generations=1)
+    short = gp.evolve(p, ops, ["x", "y"], "y", s)
+    long = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2))
+    assert long[: len(short)] == short and len(short) == 4 * 2 + 4
+
+
+def test_ingest(spark, tmp_path):
+    d = spark.createDataFrame([(1, 2020, 1, 10.0), (1, 2020, 2, 25.0), (1, 2020, 4, 60.0), (1, 2021, 2, 7.0)], "entity long, year int, quarter int, v double")
+    assert [r.v for r in standalone_quarter(d, ["v"]).orderBy("year", "quarter").collect()] == [10, 15, 35, None]
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, None, 1), (1, "b", 2), (1, "a", 3)], "k int, at string, id int")
+    assert first_disclosed(rows, ["k"], [F.col("at"), F.col("id")]).first().id == 3
+    days = spark.createDataFrame([("2020-11-03",), ("2021-02-01",), ("2021-05-01",), ("2021-10-31",)], "d string").select(report_period(F.to_date("d")).cast("string").alias("p"))
+    assert [r.p for r in days.collect()] == ["2020-09-30", "2020-09-30", "2021-03-31", "2021-06-30"]
+    assert dense(spark.createDataFrame([(1, day(0), 1.0), (2, day(2), 2.0)], "entity long, period date, x double")).count() == 4
+    assert unpivoted(spark.createDataFrame([(1, 2.0, 3.0)], "k int, a double, b double"), "k", "n", "v").count() == 2
+    (tmp_path / "s.csv").write_text("TICKER_SYMBOL,EXCHANGE_CD,END_DATE,MERGED_FLAG,A,B\n1,XSHE,2020-03-31,1,5,6\n600000,XSHG,2020-06-30,2,5,6\n600001,XSHG,2020-05-31,1,5,6\nAB,XSHG,2020-06-30,1,1,1\n600002,XSHG,bad,1,1,1\n")
+    s = statements(spark, str(tmp_path / "s.csv"), "TICKER_SYMBOL string, EXCHANGE_CD string, END_DATE string, MERGED_FLAG int, A double, B double", ["TICKER_SYMBOL", "EXCHANGE_CD", "END_DATE", "MERGED_FLAG", "A"])
+    assert [(r.entity, str(r.period), r.A) for r in s.collect()] == [("000001.SZ", "2020-03-31", 5.0)]
