@@ -114,6 +114,19 @@ def fit(words: DataFrame, n_ends: int, path: str) -> Lattice:
     return Lattice(by_piece, [float(x) for x in by_byte], float(logp[size]))
 
 
+def _frequent(words: DataFrame) -> DataFrame:
+    """The words of the highest counts, FREQUENT at most: whole classes of counts, so that only a histogram and the words themselves are sent."""
+    at = words.withColumn("level", F.floor(8 * F.log("c_all")).cast("int"))
+    sizes = dict(at.groupBy("level").count().collect())  # a few hundred levels, however many words
+    least, n = max(sizes, default=0) + 1, 0
+    for level in sorted(sizes, reverse=True):
+        n += sizes[level]
+        if n > FREQUENT:
+            break
+        least = level
+    return at.where(F.col("level") >= least)
+
+
 def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -142,7 +155,7 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                 yield pdf.assign(h=[xxhash.xxh3_64_intdigest(w.encode()) - (1 << 63) for w in pdf.word], lm=lm)[["h", "word", "c", "c_all", "lm"]]
 
         words = s.keep(counts.mapInPandas(score, "h long, word string, c long, c_all long, lm double"), "words")
-        top = words.orderBy(F.desc("c_all"), "word").limit(FREQUENT).select("word", "c", "lm").collect()
+        top = _frequent(words).select("word", "c", "lm").collect()
         number = {r.word.encode(): i for i, r in enumerate(top)}
         c = np.array([r.c for r in top] + [0], np.float64)
         base = np.log10(c + 0.5) - log_all
