@@ -24,6 +24,9 @@ BUCKETS = 1 << 16
 SMALL = 16
 #: A tile is compared in blocks of so many sets at most.
 BLOCK = 4096
+#: Of every HOT_OF sets one is looked at to find tiles of very many sets, which then skip the shuffle by tile: those seen HOT_SEEN times. It decides where
+#: a tile is compared, not what: one that is missed is found to be large where its rows meet.
+HOT_OF, HOT_SEEN = 64, 64
 
 
 def shingle_sets(texts: list[bytes | None], k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
@@ -128,29 +131,39 @@ def _sets(texts: DataFrame, k: int, rank: np.ndarray) -> DataFrame:
     return texts.mapInPandas(build, "doc_id long, n long, d1 long, d2 long, bits binary, tiles array<long>")
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches again, cut only between tiles; a tile of any size comes in one."""
-    held: list[pd.DataFrame] = []
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Rows of whole tiles (False), or a part of one tile of more than SMALL sets (True). A batch and SMALL rows are held at most, whatever a tile's size."""
+    held, over = None, None
     for pdf in batches:
-        if not len(pdf):
-            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        held = None
         tile = pdf.k.to_numpy() >> 1
-        if held and tile[0] != (held[-1].k.iloc[-1] >> 1):
-            yield pd.concat(held, ignore_index=True)
-            held = []
-        at = int(np.searchsorted(tile, tile[-1])) if tile[0] != tile[-1] else 0
+        if over is not None and len(tile):
+            at = int(np.searchsorted(tile, over, "right"))
+            if at:
+                yield pdf[:at], True
+            pdf, tile, over = pdf[at:], tile[at:], over if at == len(tile) else None
+        if not len(tile):
+            continue
+        at = int(np.searchsorted(tile, tile[-1]))
         if at:
-            yield pd.concat([*held, pdf[:at]], ignore_index=True)
-            held = []
-        held.append(pdf[at:])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+            yield pdf[:at], False
+        held = pdf[at:]
+        if len(held) > SMALL:
+            over = tile[-1]
+            yield held, True
+            held = None
+    if held is not None:
+        yield held, False
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) of the small tiles, each once a task; the rows (k, a) of large ones. Comes sorted by tile."""
     parts, waiting = [], 0
-    for pdf in _runs(batches):
+    for pdf, part in _runs(batches):
+        if part:
+            yield pd.DataFrame({"large": True, "k": pdf.k.to_numpy(), "a": pdf.doc_id.to_numpy(), "b": 0})
+            continue
         k, ids, n = (pdf[c].to_numpy() for c in ("k", "doc_id", "n"))
         tile = k >> 1
         start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
@@ -273,8 +286,12 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         s.drop("sets")
         once = lambda df: df.dropDuplicates(["doc_id"]) if repeated else df
         sig = once(own.select("doc_id", "n", "bits"))
-        tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).repartition(F.shiftright("k", 1)).sortWithinPartitions("k")
-        found = s.keep(tiles.mapInPandas(_candidates, "large boolean, k long, a long, b long"), "found")
+        tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).withColumn("tile", F.shiftright("k", 1))
+        hot = tiles.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_OF)) == 0).groupBy("tile").count().where(F.col("count") >= HOT_SEEN).select("tile")
+        hot = cut(hot)
+        at_hot = by_ids(tiles, hot, "tile", "left_semi").select(F.lit(True).alias("large"), "k", F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
+        others = by_ids(tiles, hot, "tile", "left_anti").repartition("tile").sortWithinPartitions("k").drop("tile")
+        found = s.keep(others.mapInPandas(_candidates, "large boolean, k long, a long, b long").union(at_hot), "found")
 
         def near(pairs: DataFrame) -> DataFrame:
             return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long, most double")

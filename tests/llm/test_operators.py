@@ -8,6 +8,7 @@ import re
 import zlib
 from itertools import combinations
 
+import pandas as pd
 import pytest
 
 from tessera.llm import ngram_join as nj
@@ -74,8 +75,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_ngram_join(docs, monkeypatch):
+@pytest.mark.parametrize("hot", [False, True])
+def test_ngram_join(docs, monkeypatch, hot):
     monkeypatch.setattr(nj, "BLOCK", 20)
+    if hot:  # tiles of over 20 sets skip the shuffle by tile
+        monkeypatch.setattr(nj, "HOT_OF", 1)
+        monkeypatch.setattr(nj, "HOT_SEEN", 20)
     rows = [r for r in plain(docs) if r[0] is not None]
 
     def shingles(t):
@@ -155,6 +160,20 @@ def test_lattice(docs):
     assert lm_scores(docs.limit(0)).count() == 0
 
 
+def test_runs_hold_no_large_tile_whole():
+    rng = random.Random(3)
+    for step in (1, 7, 40, 1000):
+        sizes = [rng.choice((1, 2, 16, 17, 90)) for _ in range(40)]
+        keys = sorted(2 * t + rng.randrange(2) for t, n in enumerate(sizes) for _ in range(n))
+        rows = pd.DataFrame({"k": keys, "doc_id": range(len(keys)), "n": 9})
+        runs = list(nj._runs(iter([rows[:0], *[rows[i : i + step] for i in range(0, len(rows), step)]])))
+        assert pd.concat([r for r, _ in runs]).doc_id.tolist() == list(range(len(keys)))
+        assert max(len(r) for r, _ in runs) <= step + nj.SMALL
+        for r, part in runs:
+            for t, n in (r.k // 2).value_counts().items():
+                assert n == sizes[t] if not part else sizes[t] > nj.SMALL
+
+
 def test_sharding(docs):
     rows = plain(docs)
     got = shard(docs, 4).collect()
