@@ -23,8 +23,14 @@ def shard(docs: DataFrame, shards: int = 16, whole_group: float = 1 / 64) -> Dat
     placed = cut(placed)
     total = placed.agg(F.sum("size")).first()[0] or 1
     groups = placed.groupBy("_md5").agg(F.min("before").alias("_start"), F.sum("size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
-    small = groups.where((F.col("_n") > 1) & (F.col("_bytes") * shards <= whole_group * total)).select("_md5", (F.col("_start") + F.col("_bytes") / 2).alias("_middle"))
-    at = placed.join(small, "_md5", "left").withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.coalesce("_middle", F.col("before") + F.col("size") / 2) * shards / F.lit(total))).cast("int"))
+    groups = cut(groups.where("_n > 1"))
+    large = F.col("_bytes") * shards > F.lit(whole_group * total)
+    # each large group has more than its share of all bytes, so there are fewer than shards / whole_group of them; no other key is hot in the join
+    cut_up = F.broadcast(groups.where(large).select("_md5"))
+    small = groups.where(~large).select("_md5", (F.col("_start") + F.col("_bytes") / 2).alias("_middle"))
+    rest = placed.join(cut_up, "_md5", "left_anti").join(small, "_md5", "left")
+    rest = rest.unionByName(placed.join(cut_up, "_md5", "left_semi"), allowMissingColumns=True)
+    at = rest.withColumn("shard", F.least(F.lit(shards - 1), F.floor(F.coalesce("_middle", F.col("before") + F.col("size") / 2) * shards / F.lit(total))).cast("int"))
     at = cut(at.select("doc_id", "size", "text_crc32", "shard", "nth"))
     starts = at.groupBy("shard").agg(F.min("nth").alias("_first"))  # at most `shards` rows
     return at.join(F.broadcast(starts), "shard").select(

@@ -189,6 +189,27 @@ def test_sharding(docs):
     assert shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_cuts_only_large_groups(spark):
+    rng = random.Random(9)
+    own = ["hot " * 20] * 400 + ["pair " + " ".join(words(rng, 4)) for _ in range(200)] * 2 + ["", None] + ["one " + " ".join(words(rng, 30)) for _ in range(300)]
+    rows = sorted((hashlib.md5((t or "").encode()).digest(), i, len((t or "").encode()) + 1) for i, t in enumerate(own))
+    total, before, group = sum(r[2] for r in rows), 0, {}
+    for m, _, n in rows:
+        start, size = group.get(m, (before, 0))
+        group[m] = (start, size + n)
+        before += n
+    want, before, slots = {}, 0, [0] * 4
+    for m, i, n in rows:
+        start, size = group[m]
+        middle = start + size / 2 if size * 4 <= total / 64 else before + n / 2
+        k = min(3, int(middle * 4 / total))
+        want[i] = (k, slots[k])
+        slots[k] += 1
+        before += n
+    got = {r.doc_id: (r.shard, r.slot) for r in shard(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), 4).collect()}
+    assert got == want and len({k for i, (k, _) in want.items() if i < 400}) > 1
+
+
 def test_mix(docs):
     rows = plain(docs)
     got = mix(docs, block=50).collect()
