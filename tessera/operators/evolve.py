@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ class Settings:
     point: float = 0.295
     point_replace: float = 0.4
     seed: int = 7
+    replacement: str = "generational"
+    originality: float = 0.0
 
 
 def grow(rng: random.Random, ops: list[str], features: list[str], depth: int, full: bool) -> Node:
@@ -97,10 +101,10 @@ def child(rng: random.Random, s: Settings, parent: Node, donor: Node, ops: list[
     return how, (new if new.depth() <= s.most_depth and new.args else parent)
 
 
-def score(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, float]:
-    """abs of the mean period IC of each distinct canonical tree; -1 without a valid period. One job a batch; only scores reach the driver."""
+def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, dict]:
+    """For each distinct canonical tree its IC of each valid period. One job a batch; a number a tree and period reaches the driver."""
     names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
-    out: dict[str, float] = {}
+    out: dict[str, dict] = {}
     for df, some in zip(evaluate(panel, names, width), (list(names)[i : i + width] for i in range(0, len(names), width))):
         aggs = []
         for n in some:
@@ -108,27 +112,79 @@ def score(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_
             y = F.when(x.isNotNull(), F.col(label))
             sd = F.stddev_pop(x) * F.stddev_pop(y)
             aggs.append(F.when((F.count(x) >= min_pairs) & (sd > 1e-12), F.covar_pop(x, y) / sd).alias(n))
-        row = df.groupBy("period").agg(*aggs).agg(*[F.abs(F.avg(n)).alias(n) for n in some]).first()
-        out |= {str(names[n]): float(row[n]) if row[n] is not None else -1.0 for n in some}
+        rows = df.groupBy("period").agg(*aggs).collect()
+        out |= {str(names[n]): {r.period: r[n] for r in sorted(rows, key=lambda r: r.period) if r[n] is not None} for n in some}
     return out
 
 
+def score(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, float]:
+    """abs of the mean period IC of each distinct canonical tree; -1 without a valid period."""
+    return {n: _fitness(ics) for n, ics in ic_series(panel, trees, label, width, min_pairs).items()}
+
+
+def _fitness(ics: dict) -> float:
+    return abs(math.fsum(ics.values()) / len(ics)) if ics else -1.0
+
+
+def explained(series: dict[str, dict], components: int = 5) -> dict[str, float]:
+    """The share of each candidate's variation over the periods that the leading components of all candidates' ICs explain. A missing period counts
+    as the candidate's mean; 0 for a candidate without variation. A matrix of candidates by periods, on the driver."""
+    periods = sorted({p for s in series.values() for p in s})
+    if not series or not periods:
+        return dict.fromkeys(series, 0.0)
+    m = np.array([[s.get(p, np.nan) for p in periods] for s in series.values()], float)
+    mean = np.array([math.fsum(s.values()) / len(s) if s else 0.0 for s in series.values()])
+    m = np.where(np.isnan(m), mean[:, None], m) - mean[:, None]
+    axes = np.linalg.svd(m, full_matrices=False)[2][:components]
+    whole, along = (m**2).sum(axis=1), ((m @ axes.T) ** 2).sum(axis=1)
+    return dict(zip(series, np.where(whole > 1e-18, along / np.maximum(whole, 1e-18), 0.0).tolist()))
+
+
+def original_first(series: dict[str, dict], weight: float, components: int = 5) -> dict[str, float]:
+    """The rank of each candidate by fitness less weight times its rank by the share that others explain; ranks from 1, ties by their mean."""
+    fit, share = {n: _fitness(s) for n, s in series.items()}, explained(series, components)
+    rank = lambda v: {n: sum(x < v[n] for x in v.values()) + (sum(x == v[n] for x in v.values()) + 1) / 2 for n in v}
+    by_fit, by_share = rank(fit), rank(share)
+    return {n: by_fit[n] - weight * by_share[n] for n in series}
+
+
+def survivors(kept: list, born: list, value, mode: str, n: int) -> list:
+    """The parents of the next generation. generational: the n best born; parent: each born takes the place of the one it comes from
+    only if it is better; elitist: the n best of both. Entries are (tree, origin); of equals the later born, in `parent` the older."""
+    best = lambda xs: [xs[i] for _, i in sorted(((value(x[0]), i) for i, x in enumerate(xs)), reverse=True)[:n]]
+    if mode == "generational" or not kept:
+        return best(born)
+    if mode == "elitist":
+        return best(kept + born)
+    if mode == "parent":
+        return [b if value(b[0]) > value(b[1]) else (b[1], b[1]) for b in born]
+    raise ValueError(f"no such replacement: {mode}")
+
+
 def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "fwd_ret", s: Settings = Settings()) -> list[dict]:
     """Records of every candidate of every generation: generation, idx, formulation, ic, method. One seed gives one run, and a shorter
-    run is the start of a longer one."""
-    rng, records, scores = random.Random(s.seed), [], {}
+    run is the start of a longer one. With s.originality, tournaments go by rank less that weight times the rank of what others explain."""
+    rng, records, series = random.Random(s.seed), [], {}
+    key = lambda t: str(canonical(t))
     pop = [("random", grow(rng, ops, features, rng.randint(*s.depth), rng.random() < 0.5)) for _ in range(s.population * s.warm_start)]
-    pop = [(m, t if t.args else Node("cs_rank", (t,))) for m, t in pop]
+    pop = [(m, t if t.args else Node("cs_rank", (t,)), None) for m, t in pop]
+    kept: list = []
     for g in range(s.generations + 1):
-        new = [t for _, t in pop if str(canonical(t)) not in scores]
+        new = [t for _, t, _ in pop if key(t) not in series]
         if new:
-            scores |= score(panel, new, label)
-        ranked = sorted(((scores[str(canonical(t))], i) for i, (_, t) in enumerate(pop)), reverse=True)
-        records += [{"generation": g, "idx": i, "formulation": str(t), "ic": scores[str(canonical(t))], "method": m, "n_nodes": t.length()} for i, (m, t) in enumerate(pop)]
-        parents = [pop[i][1] for _, i in ranked[: s.population]]
-        value = {id(t): scores[str(canonical(t))] for t in parents}
-        best = lambda: max((rng.choice(parents) for _ in range(s.tournament)), key=lambda t: value[id(t)])
-        pop = [child(rng, s, best(), best(), ops, features) for _ in range(s.population)]
+            series |= ic_series(panel, new, label)
+        fit = lambda t: _fitness(series[key(t)])
+        records += [{"generation": g, "idx": i, "formulation": str(t), "ic": fit(t), "method": m, "n_nodes": t.length()} for i, (m, t, _) in enumerate(pop)]
+        kept = survivors(kept, [(t, o or t) for _, t, o in pop], fit, s.replacement, s.population)
+        parents = [t for t, _ in kept]
+        reward = {key(t): fit(t) for t in parents}
+        if s.originality:
+            reward = original_first({n: series[n] for n in reward}, s.originality)
+        best = lambda: max((rng.choice(parents) for _ in range(s.tournament)), key=lambda t: reward[key(t)])
+        pop = []
+        for _ in range(s.population):
+            parent, donor = best(), best()
+            pop.append((*child(rng, s, parent, donor, ops, features), parent))
     return records
 
 

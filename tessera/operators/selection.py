@@ -1,10 +1,14 @@
-"""Candidates: provenance, final selection, summaries, greedy de-correlation, samples, score audit."""
+"""Candidates: provenance, forward selection, paired comparisons, final selection, summaries, greedy de-correlation, samples, score audit."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import residual_of_many
+
 c = F.col
 
 
@@ -54,3 +58,63 @@ def audit_counts(audit: DataFrame) -> DataFrame:
 def penalty(score: Column, weight: float) -> Column:
     """weight * (1 - score / 10), the score held to 0..10; none without a score."""
     return F.coalesce(weight * (1 - F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)) / 10), F.lit(0.0))
+
+
+def forward_selection(df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int) -> list[tuple[str, float]]:
+    """Factors in the order they are taken, each with the mean period IC it had then: in every round the label is what styles and the factors
+    taken leave of it, the factor of best abs(IC), `least` at least, is taken, and those that correlate with it above most_corr go. One job a
+    round scores all that are left; only scores reach the driver."""
+    taken, left = [], list(factors)
+    while left and len(taken) < most:
+        known = [*styles, *(n for n, _ in taken)]
+        rest = residual_of_many(df, label, known).select("entity", "period", c("residual").alias("_r")) if known else df.select("entity", "period", c(label).alias("_r"))
+        rows = df.select("entity", "period", *dict.fromkeys([*left, *(n for n, _ in taken)])).join(rest, ["entity", "period"])
+        per = rows.groupBy("period").agg(*[_corr(n, "_r").alias(n) for n in left])
+        got = per.agg(*[F.avg(n).alias(n) for n in left]).first()
+        able = [n for n in left if got[n] is not None and abs(got[n]) >= least]
+        if not able:
+            break
+        new = max(able, key=lambda n: (abs(got[n]), n))
+        taken.append((new, float(got[new])))
+        left = [n for n in able if n != new]
+        if left:
+            like = df.groupBy("period").agg(*[_corr(n, new).alias(n) for n in left]).agg(*[F.avg(n).alias(n) for n in left]).first()
+            left = [n for n in left if abs(like[n] or 0.0) <= most_corr]
+    return taken
+
+
+def _corr(a: str, b: str) -> Column:
+    x, y = F.when(c(b).isNotNull(), c(a)), F.when(c(a).isNotNull(), c(b))
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(sd > 1e-12, F.covar_pop(x, y) / sd)
+
+
+def paired_stats(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row on the differences b - a of the pairs that have both: pairs, mean_diff, mad, p95 (of the absolute differences), spearman, and the
+    signed-rank sum w_plus with its z. A row a compared candidate; the ranks are over all of them."""
+    p = df.where(c(a).isNotNull() & c(b).isNotNull()).select(c(a).alias("_a"), c(b).alias("_b"), (c(b) - c(a)).alias("_d"))
+    mean_rank = lambda x, *by: F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
+    size = F.abs("_d")
+    r = p.select("_d", mean_rank(c("_a")).alias("_ra"), mean_rank(c("_b")).alias("_rb"), F.when(c("_d") != 0, mean_rank(size, c("_d") != 0)).alias("_rd"))
+    n, plus = F.count("_rd"), F.coalesce(F.sum(F.when(c("_d") > 0, c("_rd"))), F.lit(0.0))
+    z = F.try_divide(plus - F.sum("_rd") / 2, F.sqrt(F.sum(c("_rd") * c("_rd"))) / 2)
+    return r.agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg("_d").alias("mean_diff"), F.avg(size).alias("mad"), F.percentile(size, F.lit(0.95)).alias("p95"), _corr("_ra", "_rb").alias("spearman"),
+        n.alias("nonzero"), plus.alias("w_plus"), z.alias("z"),
+    )
+
+
+def bootstrap_mean(df: DataFrame, key: str, x: str, reps: int = 1000, seed: int = 11, share: float = 0.95) -> DataFrame:
+    """mean, lo, hi: the mean of x and the bounds that `share` of its bootstrap means lie in. Each row counts in each repeat as often as a Poisson
+    variable of mean 1, drawn from a hash of seed, repeat and key, so rows are never gathered and reruns agree."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "_rep", key), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    bounds, term, total = [], math.exp(-1), 0.0
+    for k in range(12):
+        total += term
+        bounds.append(total)
+        term /= k + 1
+    times = sum(((u > x_).cast("int") for x_ in bounds), F.lit(0))
+    rows = df.where(c(x).isNotNull()).select(key, x).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", times)
+    means = rows.groupBy("_rep").agg(F.try_divide(F.sum(c("_w") * c(x)), F.sum("_w")).alias("m"))  # one row a repeat
+    whole = df.agg(F.avg(x).alias("mean"))
+    return whole.crossJoin(means.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("lo"), F.percentile("m", F.lit((1 + share) / 2)).alias("hi")))

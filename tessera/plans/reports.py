@@ -235,3 +235,25 @@ def evolution(spark, sf_dir):
     ops = ["cs_add", "cs_sub", "cs_mul", "cs_rank", "cs_zscore", "ts_mean_4", "ts_delta_1", "ts_std_2"]
     records = gp.evolve(panel, ops, ["x", "y"], s=gp.Settings(population=8, generations=2))
     return spark.createDataFrame(records, "generation int, idx int, formulation string, ic double, method string, n_nodes int")
+
+
+_PD = "pd AS (SELECT x, y * 1000 AS y, y * 1000 - x AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND qidx = 3)"
+
+
+@report(panel_sql(f"{_PD}, rr AS (SELECT d, {avg_rank('x', '1')} AS ra, {avg_rank('y', '1')} AS rb, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY d <> 0, abs(d)) - 1) / 2::DOUBLE END AS rd FROM pd) SELECT count(*) AS pairs, round(avg(d), 4) AS mean_diff, round(avg(abs(d)), 4) AS mad, round(quantile_cont(abs(d), 0.95), 4) AS p95, round(corr(ra, rb), 6) AS spearman, count(rd) AS nonzero, coalesce(sum(rd) FILTER (d > 0), 0)::DOUBLE AS w_plus, round((coalesce(sum(rd) FILTER (d > 0), 0) - sum(rd) / 2) / (sqrt(sum(rd * rd)) / 2), 6) AS z FROM rr"))
+def paired_stats(spark, sf_dir):
+    """Two scores of the entities of one quarter, compared."""
+    p = part_panel(spark, sf_dir).where("qidx = 3").withColumn("y", c("y") * 1000)
+    s = selection.paired_stats(p, "x", "y")
+    return s.select("pairs", *[R(n, 4).alias(n) for n in ("mean_diff", "mad", "p95")], R("spearman").alias("spearman"), "nonzero", "w_plus", R("z").alias("z"))
+
+
+@report(None)
+def bootstrap_interval(spark, sf_dir):
+    return selection.bootstrap_mean(part_panel(spark, sf_dir).where("qidx = 3"), "entity", "x", reps=200)
+
+
+@report(None)
+def forward_selection(spark, sf_dir):
+    p = evaluate(part_panel(spark, sf_dir), {n: parse(t) for n, t in {"f1": "cs_rank(x)", "f2": "cs_zscore(y)", "f3": "ts_mean_4(x)", "f4": "ts_delta_1(y)"}.items()})[0]
+    return spark.createDataFrame(selection.forward_selection(p, ["f1", "f2", "f3", "f4"], "fwd_ret", [], 0.0, 0.9, 3), "factor string, ic double")

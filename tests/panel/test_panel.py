@@ -191,3 +191,51 @@ def test_ingest(spark, tmp_path):
     (tmp_path / "s.csv").write_text("TICKER_SYMBOL,EXCHANGE_CD,END_DATE,MERGED_FLAG,A,B\n1,XSHE,2020-03-31,1,5,6\n600000,XSHG,2020-06-30,2,5,6\n600001,XSHG,2020-05-31,1,5,6\nAB,XSHG,2020-06-30,1,1,1\n600002,XSHG,bad,1,1,1\n")
     s = statements(spark, str(tmp_path / "s.csv"), "TICKER_SYMBOL string, EXCHANGE_CD string, END_DATE string, MERGED_FLAG int, A double, B double", ["TICKER_SYMBOL", "EXCHANGE_CD", "END_DATE", "MERGED_FLAG", "A"])
     assert [(r.entity, str(r.period), r.A) for r in s.collect()] == [("000001.SZ", "2020-03-31", 5.0)]
+
+
+def test_replacement_modes():
+    value = {"a": 3, "b": 1, "c": 2, "d": 4}.get
+    kept, born = [("a", "a"), ("b", "b")], [("c", "a"), ("d", "b")]
+    tops = lambda mode: [t for t, _ in gp.survivors(kept, born, value, mode, 2)]
+    assert tops("generational") == ["d", "c"] and tops("elitist") == ["d", "a"] and tops("parent") == ["a", "d"]
+    with pytest.raises(ValueError):
+        tops("other")
+
+
+def test_original_first():
+    series = {"a": {1: 0.1, 2: 0.3, 3: 0.2}, "b": {1: 0.2, 2: 0.6, 3: 0.4}, "c": {1: 0.5, 2: 0.5, 3: 0.5}, "d": {1: 0.1, 2: 0.1, 3: 0.7}, "e": {}}
+    got = gp.explained(series, 1)
+    assert got["c"] == got["e"] == 0.0 and got["a"] == pytest.approx(got["b"]) and 0 <= got["a"] <= 1
+    assert gp.explained(series, 2)["a"] == pytest.approx(1.0)
+    assert gp.original_first(series, 0.0)["c"] == 5 and gp.original_first(series, 0.0)["e"] == 1
+    assert gp.explained({}) == {} and gp.explained({"a": {}}) == {"a": 0.0}
+
+
+def test_evolution_with_originality_and_elitists(spark):
+    p = panel(spark, {e: [float(e * q % 7) for q in range(4)] for e in range(1, 41)}, {e: [float(e + q) for q in range(4)] for e in range(1, 41)})
+    s = gp.Settings(population=4, generations=2, replacement="elitist", originality=0.3)
+    first = gp.evolve(p, ["cs_add", "cs_rank", "cs_mul"], ["x", "y"], "y", s)
+    assert {r["generation"] for r in first} == {0, 1, 2} and len(first) == 8 + 4 + 4
+
+
+def test_forward_selection(spark):
+    rows = [(e, day(0), float(e), float(2 * e), float((e * 7) % 11), float(3 * e + 5 * ((e * 7) % 11))) for e in range(30)]
+    df = spark.createDataFrame(rows, "entity long, period date, a double, twin double, b double, r double")
+    taken = selection.forward_selection(df, ["a", "twin", "b"], "r", [], 0.05, 0.9, 5)
+    assert [n for n, _ in taken] == ["twin", "b"] and taken[1][1] == pytest.approx(1.0, abs=0.05)
+    assert selection.forward_selection(df, ["a", "b"], "r", ["a", "b"], 0.05, 0.9, 5) == []
+
+
+def test_paired_stats(spark):
+    pairs = [(1, 1.0, 2.0), (2, 5.0, 3.0), (3, 2.0, 2.0), (4, 4.0, 7.0), (5, None, 1.0), (6, 3.0, 4.0)]
+    df = spark.createDataFrame(pairs, "k long, a double, b double")
+    r = selection.paired_stats(df, "a", "b").first()
+    assert (r.pairs, r.nonzero, r.w_plus) == (5, 4, 7.0) and r.mean_diff == pytest.approx(0.6) and r.mad == pytest.approx(1.4)
+    assert r.z == pytest.approx((7 - 5) / (math.sqrt(1.5**2 + 1.5**2 + 9 + 16) / 2))
+    empty = selection.paired_stats(df.limit(0), "a", "b").first()
+    assert empty.pairs == 0 and empty.z is None
+    wide = spark.range(400).selectExpr("id as k", "cast(id % 20 as double) as x")
+    b = selection.bootstrap_mean(wide, "k", "x", reps=400).first()
+    half = 1.96 * math.sqrt(33.25 / 400)
+    assert b.mean == 9.5 and b.lo == pytest.approx(9.5 - half, abs=0.2) and b.hi == pytest.approx(9.5 + half, abs=0.2)
+    assert selection.bootstrap_mean(wide.limit(0), "k", "x", reps=3).first().mean is None
