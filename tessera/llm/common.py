@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many (id) rows one side of a join is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch of texts sent to Python, where the session has left Spark's default as it is.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has texts sent to Python in batches of BATCH_BYTES, however long they are, unless the session has a limit of its own.
+
+    A batch is held in the JVM's buffers, as Arrow data and as Python objects at once, for every task that runs on an executor.
+    """
+    if spark.conf.get(BATCH_SETTING) == f"{64 << 20}b":
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from files in the shared folder, without the lineage."""
     shared_dir(df.sparkSession)
@@ -110,7 +121,7 @@ class WordHashes:
         return hashes, np.searchsorted(start, begin)
 
 
-def chunks(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[slice]:
+def chunks(texts: list[bytes | None], size: int = 1 << 18) -> Iterator[slice]:
     """Slices of texts of about size bytes; a longer text is a slice of its own."""
     first, held = 0, 0
     for i, t in enumerate(texts):

@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 from .fm_index import FMIndex
 
 #: Words of 0-9, a-z and all beyond ASCII, A-Z in lower case; in UTF-8 every byte from 0x80 is part of a word.
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Words that a shard's index holds at least, and characters of benchmark texts that one pass over the documents searches for at most.
-SHARD_WORDS, BLOCK_CHARS = 1 << 19, 16_000_000
+SHARD_WORDS, BLOCK_CHARS = 1 << 18, 16_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -108,6 +108,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, carry:
     repeated item_id is one item with all its windows. The benchmark is a stated query set: up to BLOCK_CHARS of it are sent to the tasks at
     once, more goes in as many passes, each over what the one before has left to merge.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + chars // BLOCK_CHARS

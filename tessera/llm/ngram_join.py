@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_ids, chunks, cut, mixed, scratch
+from .common import WordHashes, by_ids, chunks, cut, mixed, scratch, small_batches
 from .components import components
 
 BUCKETS = 1 << 16
@@ -274,6 +274,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
     component_id is that of its set, null if no row with an id has that set. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     with scratch(spark) as s:
         sets = s.keep(_sets(texts, k, _rank_of_buckets(texts, k)), "sets")

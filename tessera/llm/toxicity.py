@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, cut, mixed
+from .common import by_ids, cut, mixed, small_batches
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -84,14 +84,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = by_ids(docs.select("doc_id", F.col("text").cast("binary").alias("text")), ids, "doc_id", "inner")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, 1 << BITS), np.int64)
+        sums = np.zeros((2, 1 << BITS), np.int32)
         n = [0, 0]
         for pdf in batches:
             for t, y in zip(pdf.text, pdf.y):
                 sums[y, np.unique(grams(t))] += 1
                 n[y] += 1
-        b = np.flatnonzero(sums.any(axis=0))
-        yield pd.DataFrame({"b": np.append(b, -1), "p": np.append(sums[1, b], n[1]), "q": np.append(sums[0, b], n[0])})
+        yield pd.DataFrame({"b": [-1], "p": [n[1]], "q": [n[0]]})
+        for start in range(0, 1 << BITS, 1 << 16):
+            part = sums[:, start : start + (1 << 16)]
+            b = np.flatnonzero(part.any(axis=0))
+            yield pd.DataFrame({"b": b + start, "p": part[1, b], "q": part[0, b]})
 
     sums = rows.mapInPandas(count, "b long, p long, q long").groupBy("b").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     counts = sums.where("b < 0 or p + q >= 3").toPandas()
@@ -140,6 +143,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     All columns and rows of docs stay, repeated ones too; of columns that have those names already the new values
     replace the old. Null and empty texts get the score of a text without n-grams but those of the added spaces. An empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text").where(~held_out(F.col("doc_id")))
     model = train(own, labels.select("doc_id", "toxic"))
     scored = docs.withColumns({"held_out": held_out(F.col("doc_id")), "score": scorer(docs.sparkSession, model)(F.col("text"))})
