@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: exact links between documents whose sets of word shingles are alike, and their classes.
+"""N-gram Jaccard join: exact links between documents whose sets of word shingles are alike, their number, and their classes.
 
 A document's set is held as sorted 64-bit hashes. Tiles are keyed by a shingle and a band of set sizes: each set
 enters those of its rarest shingles, so many that two sets which link must share one of them, in the band of its size
 and, if a partner may be that large, in the next. In a tile a hashed bitmap as wide as the band needs bounds the overlap from
-above; what passes is decided on the sorted arrays themselves.
+above. Sets that pairs which pass connect meet once more, whole, and every pair of them is decided on the sorted arrays themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 SMALL = 16
 #: A tile is compared in blocks of so many sets at most.
 BLOCK = 4096
+#: Sets whose pairs are decided meet in blocks of so many at most, with so many shingles on average.
+GROUP, ELEMENTS = 2048, 1 << 20
 #: Of every HOT_OF sets one is looked at to find tiles of very many sets, which then skip the shuffle by tile: those seen HOT_SEEN times. It decides where
 #: a tile is compared, not what: one that is missed is found to be large where its rows meet.
 HOT_OF, HOT_SEEN = 64, 64
@@ -229,34 +231,70 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose bitmaps let them link, and the likeness that those allow at most."""
+    """Pairs whose bitmaps let them link."""
     for pdf in batches:
         width = np.minimum(pdf.abits.map(len), pdf.bbits.map(len)) if len(pdf) else []
         for w in np.unique(width):
             own = pdf[width == w]
             n, m = own.an.to_numpy(), own.bn.to_numpy()
-            bound = overlap_bound(_bits(own.abits, int(w)), _bits(own.bbits, int(w)), n, m)
-            yield own[["a", "b"]].assign(most=bound / (n + m - bound))[links(bound, n, m)]
+            yield own.loc[links(overlap_bound(_bits(own.abits, int(w)), _bits(own.bbits, int(w)), n, m), n, m), ["a", "b"]]
 
 
-def _exact(k: int):
+def _linked(sets: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its number of links, and a set that it reaches by links, the same for all that reach one another. Where there are
+    two parts, only pairs of a set of each count."""
+    n = np.array([len(s) for s in sets])
+    order = np.argsort(n, kind="stable")
+    n, part, two = n[order], part[order], part.min() != part.max()
+    start = np.r_[0, np.cumsum(n)]
+    names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    bits = _bits(pd.Series([bitmap(sets[i]) for i in order])) if len(n) > SMALL else None
+    member, number, root = np.zeros(len(names), np.int32), np.zeros(len(n), np.int64), np.arange(len(n))
+    for i in range(len(n) - 1):
+        y = np.arange(i + 1, np.searchsorted(n, 5 * n[i] // 4, "right"))
+        if two:
+            y = y[part[y] != part[i]]
+        if bits is not None and len(y):
+            y = y[links(overlap_bound(bits[i], bits[y], n[i], n[y]), n[i], n[y])]
+        if not len(y):
+            continue
+        own = flat[start[i] : start[i + 1]]
+        member[own] = 1
+        common = np.add.reduceat(member[np.concatenate([flat[start[j] : start[j + 1]] for j in y])], np.r_[0, np.cumsum(n[y])[:-1]])
+        member[own] = 0
+        y = y[links(common, n[i], n[y])]
+        number[i] += len(y)
+        number[y] += 1
+        met = np.unique(root[np.r_[i, y]])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+    back = np.argsort(order)
+    return number[back], order[root][back]
+
+
+def _decide(k: int):
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Comes sorted by group; one group is held at a time."""
         hashes = WordHashes()
-        last: dict[int, np.ndarray] = {}
 
-        def of(i: int, text: bytes) -> np.ndarray:
-            if i not in last:
-                if len(last) > 64:
-                    last.clear()
-                last[i] = next(shingle_sets([text], k, hashes))
-            return last[i]
+        def of(held: list[tuple]) -> pd.DataFrame:
+            ids = np.array([h[0] for h in held])
+            number, root = _linked([h[1] for h in held], np.array([h[2] for h in held]))
+            return pd.DataFrame({"doc_id": ids, "near": ids[root], "n_links": number})[number > 0]
 
+        group, held, done = None, [], []
         for pdf in batches:
-            keep = []
-            for a, b, x, y in zip(pdf.a, pdf.b, pdf.atext, pdf.btext):
-                s, t = of(a, x), of(b, y)
-                keep.append(links(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+            for now, doc_id, part, s in zip(zip(pdf.class_id, pdf.i, pdf.j), pdf.doc_id, pdf.part, shingle_sets(pdf.text.tolist(), k, hashes)):
+                if now != group:
+                    if len(held) > 1:
+                        done.append(of(held))
+                    group, held = now, []
+                held.append((doc_id, s, part))
+            if done:
+                yield pd.concat(done)
+                done = []
+        if len(held) > 1:
+            yield of(held)
 
     return decide
 
@@ -266,9 +304,10 @@ def _side(df: DataFrame, x: str) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, n_links of every row of docs (doc_id, text).
 
-    Two rows link when their sets have 100 * intersection >= 80 * union; component_id is the smallest doc_id that links reach.
+    Two rows link when their sets have 100 * intersection >= 80 * union; component_id is the smallest doc_id that links reach,
+    n_links the number of different sets that the row's set links with: all candidates are decided, also those whose classes are known to be one.
     Sets that are equal are one class represented by its smallest doc_id, so copies are never paired. Null and empty texts have an empty set and
     link with nothing. Rows with one doc_id are one node; a row whose doc_id is null links to the others but is never named: its
     component_id is that of its set, null if no row with an id has that set. Other columns of docs are not looked at.
@@ -295,31 +334,35 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         found = s.keep(others.mapInPandas(_candidates, "large boolean, k long, a long, b long").union(at_hot), "found")
 
         def near(pairs: DataFrame) -> DataFrame:
-            return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long, most double")
-
-        def linked(pairs: DataFrame) -> DataFrame:
-            wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-            some = cut(once(by_ids(texts, wanted, "doc_id", "left_semi")))
-            return cut(pairs.join(_side(some, "a"), "a").join(_side(some, "b"), "b").mapInPandas(_exact(k), "a long, b long"))
+            return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long")
 
         large = found.where("large").select("k", F.shiftright("k", 1).alias("tile"), F.col("a").alias("doc_id"))
         sizes = large.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         large = cut(large.join(sizes, "tile").withColumn("part", F.expr("pmod(hash(doc_id), blocks)")))
         leaders = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
         candidates = cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
-        # first the likeliest partner of each set; then, of all other candidates, only those that would still join two classes
-        best = cut(candidates.groupBy("b").agg(F.max(F.struct("most", "a")).alias("x")).select("x.a", "b"))
-        first = linked(best)
-        classes = cut(components(first))
-        class_of = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
-        across = lambda pairs: pairs.join(class_of("a"), "a", "left").join(class_of("b"), "b", "left").where(~F.coalesce("ac", "a").eqNullSafe(F.coalesce("bc", "b"))).select("a", "b")
+        # what candidates connect so far; of large tiles' pairs only those that would still join two classes say more
+        classes = cut(components(candidates))
         parts = large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         several = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
         parts = parts.join(several, "tile", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig, "doc_id")
-        rest = across(candidates.select("a", "b")).union(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long")).distinct()
-        rest = cut(rest.join(best, ["a", "b"], "left_anti"))
-        classes = components(first.union(linked(rest)))
-        named = owners.join(classes, owners["owner"] == classes["node"], "left").select("d1", "d2", F.coalesce("component", "owner").alias("component_id"))
+        rest = cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
+        if rest.limit(1).count():
+            star = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = cut(components(star.union(rest)))
+        # every two sets that may link are of one class now: each class meets whole, in blocks, and each pair in one of them
+        placed = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(sig.select("doc_id", "n"), "doc_id")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
+        placed = placed.join(placed.groupBy("class_id").agg(blocks.alias("blocks")), "class_id").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "class_id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        placed = cut(placed)
+        some = once(by_ids(texts, cut(placed.select("doc_id").distinct()), "doc_id", "left_semi")) if repeated else texts
+        some = by_ids(some, placed, "doc_id", "inner").repartition("class_id", "i", "j").sortWithinPartitions("class_id", "i", "j")
+        linked = cut(some.mapInPandas(_decide(k), "doc_id long, near long, n_links long"))
+        classes = components(linked, "doc_id", "near")
+        number = linked.groupBy(F.col("doc_id").alias("owner")).agg(F.sum("n_links").alias("n_links"))
+        named = owners.join(classes, owners["owner"] == classes["node"], "left").join(number, "owner", "left").select("d1", "d2", F.coalesce("component", "owner").alias("component_id"), "n_links")
         out = sets.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+        component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+        return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))

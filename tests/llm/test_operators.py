@@ -103,6 +103,17 @@ def test_ngram_join(docs, monkeypatch, hot):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("group", [2048, 16])
+def test_ngram_join_counts_all_links(docs, monkeypatch, group):
+    monkeypatch.setattr(nj, "BLOCK", 20)
+    monkeypatch.setattr(nj, "GROUP", group)
+    w = {i: tokens(t) for i, t, _ in plain(docs) if i is not None}
+    sets = {i: frozenset(tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4))) if x else frozenset() for i, x in w.items()}
+    links = {s: sum(s != t and 100 * len(s & t) >= 80 * len(s | t) for t in set(sets.values()) if t) if s else 0 for s in set(sets.values())}
+    got = {r.doc_id: r.n_links for r in nj.ngram_join(docs).collect() if r.doc_id is not None}
+    assert max(links.values()) > 2 and got == {i: links[s] for i, s in sets.items()}
+
+
 def test_ngram_join_repeats_and_empty(spark, docs):
     twice = docs.union(docs.where("doc_id % 2 = 0"))
     assert nj.ngram_join(twice).count() == twice.count()
