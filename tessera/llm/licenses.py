@@ -48,10 +48,31 @@ LICENSE_RULES = (
 )
 
 
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "))
+
+
 def sentences(text: Column) -> Column:
-    """Normalised sentences: they end at . ! or ? before white space, and at a line's end; A-Z lower-cased, all but a-z and 0-9 one space."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?][ \t\r]+", "\n"), "\n")
-    return F.transform(lines, lambda s: F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " ")))
+    """Normalised sentences in order, A-Z lower-cased, all but a-z and 0-9 one space, so that comment marks go. Two readings: whole lines, cut at
+    . ! or ? before white space; and sentences over lines, which end at . ! ? : or ; before white space, at lines without letters and
+    digits and before list numbers, which are left out. What both give counts once; a sentence may also hold a : or ; inside.
+    """
+    number = r"(?:[0-9]{1,2}|[A-Za-z])[.)][ \t]+"
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?][ \t\r]+", "\n\n")
+    t = F.regexp_replace(t, r"[.!?][\"')\]]*\n", "\n\n")
+    t = F.regexp_replace(t, rf"\n(?=[^\p{{L}}\p{{N}}\n]{{0,20}}{number})", "\n\n")
+    whole = lambda s: _normal(F.regexp_replace(s, rf"^[^\p{{L}}\p{{N}}]*{number}", ""))
+    lines = lambda s: F.transform(F.split(s, "\n"), _normal)
+
+    def both(s: Column) -> Column:
+        own = lines(s)
+        return F.concat(F.filter(F.array(whole(s)), lambda x: ~F.array_contains(own, x)), own)
+
+    def read(s: Column) -> Column:
+        pieces = F.flatten(F.transform(F.split(s, r"[:;][\"')\]]*\s+"), both))
+        return F.when(s.rlike(r"[:;][\"')\]]*\s"), F.concat(pieces, F.filter(both(s), lambda x: ~F.array_contains(pieces, x)))).otherwise(both(s))
+
+    return F.flatten(F.transform(F.split(t, r"\n[^\p{L}\p{N}]*\n"), read))
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -358,6 +358,46 @@ def test_licenses(spark, docs):
     assert licenses(docs.limit(0)).count() == 0
 
 
+def test_licenses_over_lines(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See more.
+"""
+    mit = """The MIT License (MIT)
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you\nmay not use this file except in compliance with the License.\nAll rights reserved\nAll rights reserved\n'
+    marked = lambda t, mark: "".join(f"{mark} {x}\n" for x in t.splitlines())
+    parens = re.sub(r"(?m)^(\d)\.", r"(\1)", bsd)
+    rows = [(1, bsd), (2, gpl), (3, mit), (4, marked(bsd, "#")), (5, marked(gpl, "//")), (6, "/*\n" + marked(mit, " *") + " */"), (7, parens), (8, apache), (9, bsd.replace("\n", "\r\n")), (10, "(1) " + SENTENCES["bsd-source"])]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ids = [k for k in SENTENCES if k.startswith("bsd")]
+    three = (ids, ["bsd-2-clause", "bsd-3-clause"])
+    assert all(got[i] == three for i in (1, 4, 7, 9)) and got[10] == (["bsd-source"], [])
+    assert got[2] == got[5] == (["gpl-redist", "gpl-warranty"], ["gpl-3.0-or-later"])
+    assert got[3] == got[6] == (["mit-head", "mit-notice"], ["mit"])
+    assert got[8] == (["apache-2-the", "apache-comply", "arr", "arr"], ["all-rights-reserved", "apache-2.0"])
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     rows = []
