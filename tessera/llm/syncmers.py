@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import mixed
 
 K, S = 40, 8
+#: Texts of fewer than SHORT characters have finer anchors: of any 12 characters in a row at least one.
+SHORT, FINE_K, FINE_S = 200, 8, 3
 _B = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -49,8 +51,23 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
-def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and 32-bit hashes of the closed syncmers of a text. One that has none, or is shorter than k, has one anchor: itself, at 0."""
+class Anchors(tuple):
+    """Positions and hashes; `coarse` has those of K and S where these are finer."""
+
+    coarse: tuple | None = None
+
+
+def anchors(text: str, k: int | None = None, s: int | None = None) -> Anchors:
+    """Positions and 32-bit hashes of the closed syncmers of a text, the finer ones of a short text unless k and s are given.
+    One that has none, or is shorter than k, has one anchor: itself, at 0."""
+    if k is None and len(text) < SHORT:
+        fine = Anchors(_anchors(text, FINE_K, FINE_S))
+        fine.coarse = _anchors(text, K, S)
+        return fine
+    return Anchors(_anchors(text, k or K, s or S))
+
+
+def _anchors(text: str, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
     code = mixed(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
     if len(code) >= k:
         inner = mixed(_rolling(code, s))
@@ -71,9 +88,13 @@ def written(a: tuple[np.ndarray, np.ndarray]) -> str:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Anchors of the longest chain that rises in both texts, over all anchors of either; 1 for two without any.
+    Of a finer and a coarser text both coarse anchors count.
 
     Each occurrence of a hash is paired with the same-numbered occurrence in the other text, so repeats cost no more than their number.
     """
+    fine, other = getattr(a, "coarse", None), getattr(b, "coarse", None)
+    if (fine is None) != (other is None):
+        a, b = fine or a, other or b
     n, m = len(a[1]), len(b[1])
     if not n or not m:
         return float(n == m)

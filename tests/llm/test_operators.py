@@ -21,7 +21,7 @@ from tessera.llm.licenses import SENTENCES, licenses
 from tessera.llm.mixing import mix
 from tessera.llm.secrets import base_spans, secrets
 from tessera.llm.sharding import shard
-from tessera.llm.syncmers import anchors, likeness, syncmers
+from tessera.llm.syncmers import anchors, edited, likeness, syncmers
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import url_filter
 
@@ -274,6 +274,17 @@ def test_anchors_are_closed_syncmers():
     assert max(b - a for a, b in zip(at.tolist(), at[1:].tolist())) <= 12 - 4  # and no gap is wider
 
 
+def test_short_texts_keep_anchors():
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    for n in range(20, 101):
+        t = text(n)
+        assert likeness(anchors(t), anchors(edited(t, text(300)))) > 0
+        assert likeness(anchors(t), anchors(text(n))) < 0.2
+    t = text(230)  # one of either level
+    assert likeness(anchors(t), anchors(t[:190])) == likeness(anchors(t, 40, 8), anchors(t[:190], 40, 8)) > 0
+
+
 def test_fm_index():
     import numpy as np
 
