@@ -35,10 +35,27 @@ def address(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), rest))
 
 
+def resolved(url: Column, to: Column) -> Column:
+    """A link's target as an absolute url, as seen from the page at url; empty for one with another scheme than http and https, or to a place on the page."""
+    scheme, authority = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    to_path, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path_of(url), r"(?s)[^/]*$", ""), "^/", ""))
+    full = F.when(to_path == "", path_of(url)).when(to_path.startswith("/"), to_path).otherwise(F.concat(folder, to_path))
+    # dots go step by step; one at the end leaves a folder
+    steps = F.split(F.regexp_replace(F.regexp_replace(full, r"(/\.\.?)$", "$1/"), "^/", ""), "/")
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    path = F.when(full == "", "").otherwise(F.concat(F.lit("/"), F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/")))
+    away = F.when(authority == "", "").otherwise(F.concat(scheme, F.lit("://"), authority, path, tail))
+    return (
+        F.when(to.rlike("(?i)^https?://"), to).when(to.rlike("^#|^$") | to.rlike("(?i)^[a-z][a-z0-9+.-]*:"), "")
+        .when(to.startswith("//"), F.when(scheme == "", "").otherwise(F.concat(scheme, F.lit(":"), to))).otherwise(away)
+    )
+
+
 def alias_urls(url: Column, html: Column) -> Column:
-    """Absolute urls a page says are its own: rel=canonical links, meta refresh targets, and the target in a redirecting url's query."""
+    """Urls a page says are its own: rel=canonical links and meta refresh targets, resolved against its url, and the target in a redirecting url's query."""
     tags = F.coalesce(F.regexp_extract_all(html, F.lit(r"(?i)(<link\s[^>]*rel=[\"']?canonical[\"']?[^>]*>|<meta\s[^>]*http-equiv=[\"']?refresh[\"']?[^>]*>)"), 1), F.array().cast("array<string>"))
-    said = F.transform(tags, lambda t: F.regexp_extract(t, r"(?i)(?:href=[\"']?|url=[\"']?)(https?://[^\"'\s>]+)", 1))
+    said = F.transform(tags, lambda t: resolved(url, F.regexp_extract(t, r"(?i)(?:href=[\"']?|url=[\"']?)([^\"'\s>]+)", 1)))
     query = F.regexp_extract(url, r"(?i)[?&](?:url|redirect|redirect_to|redirect_uri|target|dest)=(https?(?:://|%3A%2F%2F)[^&#]+)", 1)
     query = F.regexp_replace(F.regexp_replace(F.coalesce(query, F.lit("")), "(?i)%3A", ":"), "(?i)%2F", "/")
     return F.filter(F.concat(said, F.array(query)), lambda x: x != "")

@@ -358,6 +358,22 @@ def test_url_filter(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_filter_relative_links(spark):
+    link = '<link rel="canonical" href="%s">'
+    forms = {"//b.net/a/x": "https://q1.test/", "/a/x": "https://q2.test/z", "x": "https://q3.test/a/b", "../a/x?y": "https://q4.test/b/c", "./x": "https://q5.test/a/", "?y": "https://q6.test/a/x"}
+    rows, want = [], {}
+    for i, (to, url) in enumerate(forms.items()):
+        host = url.split("/")[2]
+        rows.append((i, url, link % to))
+        tail = "?y" if "?" in to else ""
+        rows.append((100 + i, f"https://{host}/a/x{tail}#", "<meta http-equiv='refresh' content='0; url=//b.net/'>"))
+        want[i] = "block"
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in want} == want
+    alone = [(1, "https://q.test/a", link % "mailto:x@b.net"), (2, "https://q.test/b", link % "#b"), (3, "no scheme", link % "//b.net/"), (4, "https://q.test/c", link % "javascript://b.net/")]
+    assert {r.verdict for r in url_filter(spark.createDataFrame(alone, "page_id long, url string, html string")).collect()} == {"allow"}
+
+
 def test_licenses(spark, docs):
     bsd = [k for k in SENTENCES if k.startswith("bsd")]
     rows = [
