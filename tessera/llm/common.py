@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Up to so many (id) rows one side of a join is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Partitions that the rows of one key are spread over where its side is too large to be broadcast.
+SALTS = 64
 #: Bytes of an Arrow batch of texts sent to Python, where the session has left Spark's default as it is.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
@@ -77,6 +79,15 @@ def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_merge"), key, how)
 
 
+def by_hot_key(df: DataFrame, few: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """A left or inner join to `few` (one row a key) of rows of which any share may have one key: by broadcast while `few` has
+    at most BROADCAST_ROWS rows; beyond that each key's rows are spread over SALTS partitions. `few` is read twice: pass a cut table."""
+    if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(few), key, how)
+    salted = df.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(few.withColumn("_salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})"))).hint("shuffle_merge"), [key, "_salt"], how).drop("_salt")
+
+
 def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -16,16 +16,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_ids, chunks, cut, mixed, scratch, small_batches
+from .common import WordHashes, by_hot_key, by_ids, chunks, cut, mixed, scratch, small_batches
 from .components import components
 
 BUCKETS = 1 << 16
 #: In tiles of at most so many sets every pair is a candidate; larger tiles compare bitmaps first.
 SMALL = 16
-#: A tile is compared in blocks of so many sets at most.
-BLOCK = 4096
+#: A tile is compared in blocks of so many sets, and so many bytes of bitmaps, on average.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Bytes that the bitmaps of the pairs compared at once may take.
+STEP_BYTES = 32 << 20
 #: Sets whose pairs are decided meet in blocks of so many at most, with so many shingles on average.
-GROUP, ELEMENTS = 2048, 1 << 20
+GROUP, ELEMENTS = 1024, 1 << 20
 #: Of every HOT_OF sets one is looked at to find tiles of very many sets, which then skip the shuffle by tile: those seen HOT_SEEN times. It decides where
 #: a tile is compared, not what: one that is missed is found to be large where its rows meet.
 HOT_OF, HOT_SEEN = 64, 64
@@ -52,9 +54,13 @@ def links(o, n, m):
     return 9 * o >= 4 * (n + m)
 
 
+def width_bytes(n: int) -> int:
+    return max(32, 1 << max(0, n.bit_length() - 1))
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Bits of the hashes' low digits; as many as suit the set's band: 8 to 16 a shingle, 256 at least."""
-    width = max(256, 8 << max(0, len(s).bit_length() - 1))
+    width = 8 * width_bytes(len(s))
     bits = np.zeros(width, bool)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -160,11 +166,11 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of the small tiles, each once a task; the rows (k, a) of large ones. Comes sorted by tile."""
+    """Pairs (a, b) of the small tiles, each once a task; the rows (k, a, and in b the set's size) of large ones. Comes sorted by tile."""
     parts, waiting = [], 0
     for pdf, part in _runs(batches):
         if part:
-            yield pd.DataFrame({"large": True, "k": pdf.k.to_numpy(), "a": pdf.doc_id.to_numpy(), "b": 0})
+            yield pd.DataFrame({"large": True, "k": pdf.k.to_numpy(), "a": pdf.doc_id.to_numpy(), "b": pdf.n.to_numpy()})
             continue
         k, ids, n = (pdf[c].to_numpy() for c in ("k", "doc_id", "n"))
         tile = k >> 1
@@ -178,7 +184,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 parts.append(pd.DataFrame({"a": np.minimum(ids[i], ids[i + d]), "b": np.maximum(ids[i], ids[i + d])}))
                 waiting += len(i)
         if not small.all():
-            yield pd.DataFrame({"large": True, "k": k[~small], "a": ids[~small], "b": 0})
+            yield pd.DataFrame({"large": True, "k": k[~small], "a": ids[~small], "b": n[~small]})
         if waiting > 500_000:
             parts = [pd.concat(parts, ignore_index=True).drop_duplicates()]
             waiting = 0 if len(parts[0]) < 250_000 else 500_001
@@ -192,7 +198,8 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _of_leaders(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each set of a block of a tile the two of its eight most typical sets that may overlap it most."""
     bits, n, ids = _bits(pdf.bits), pdf.n.to_numpy(), pdf.doc_id.to_numpy()
-    centre = np.packbits(np.unpackbits(bits.view(np.uint8), axis=1).mean(axis=0) >= 0.5).view(np.uint64)
+    often = sum(np.unpackbits(bits[i : i + 64].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(ids), 64))
+    centre = np.packbits(2 * often >= len(ids)).view(np.uint64)
     typical = np.bitwise_count(bits & centre).sum(axis=1, dtype=np.int64) / np.maximum(1, np.bitwise_count(bits | centre).sum(axis=1, dtype=np.int64))
     top = np.lexsort((ids, -typical))[:8]
     bound = np.stack([overlap_bound(bits[t], bits, n[t], n) for t in top], axis=1)
@@ -213,8 +220,9 @@ def _across(pdf: pd.DataFrame) -> pd.DataFrame:
     if comp.min() == comp.max():
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     pop, out = np.bitwise_count(bits).sum(axis=1, dtype=np.int64), []
-    for i in range(0, len(ids), 16):
-        x = slice(i, i + 16)
+    step = max(1, min(16, STEP_BYTES // bits.nbytes)) if len(ids) else 1
+    for i in range(0, len(ids), step):
+        x = slice(i, i + step)
         y = slice(i, int(np.searchsorted(n, 5 * n[x][-1] // 4, "right")))
         ok = (comp[x][:, None] != comp[y]) & (visitor[x][:, None] + visitor[y] < 2) & (np.arange(i, i + len(ids[x]))[:, None] < np.arange(y.start, y.stop))
         if two:
@@ -308,6 +316,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
 
     Two rows link when their sets have 100 * intersection >= 80 * union; component_id is the smallest doc_id that links reach,
     n_links the number of different sets that the row's set links with: all candidates are decided, also those whose classes are known to be one.
+    Words and shingles are compared by 64-bit hashes, and equal sets are known by a 128-bit one.
     Sets that are equal are one class represented by its smallest doc_id, so copies are never paired. Null and empty texts have an empty set and
     link with nothing. Rows with one doc_id are one node; a row whose doc_id is null links to the others but is never named: its
     component_id is that of its set, null if no row with an id has that set. Other columns of docs are not looked at.
@@ -329,23 +338,27 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).withColumn("tile", F.shiftright("k", 1))
         hot = tiles.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_OF)) == 0).groupBy("tile").count().where(F.col("count") >= HOT_SEEN).select("tile")
         hot = cut(hot)
-        at_hot = by_ids(tiles, hot, "tile", "left_semi").select(F.lit(True).alias("large"), "k", F.col("doc_id").alias("a"), F.lit(0).cast("long").alias("b"))
+        at_hot = by_ids(tiles, hot, "tile", "left_semi").select(F.lit(True).alias("large"), "k", F.col("doc_id").alias("a"), F.col("n").alias("b"))
         others = by_ids(tiles, hot, "tile", "left_anti").repartition("tile").sortWithinPartitions("k").drop("tile")
         found = s.keep(others.mapInPandas(_candidates, "large boolean, k long, a long, b long").union(at_hot), "found")
 
         def near(pairs: DataFrame) -> DataFrame:
             return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long")
 
-        large = found.where("large").select("k", F.shiftright("k", 1).alias("tile"), F.col("a").alias("doc_id"))
-        sizes = large.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        large = cut(large.join(sizes, "tile").withColumn("part", F.expr("pmod(hash(doc_id), blocks)")))
+        large = found.where("large").select("k", F.shiftright("k", 1).alias("tile"), F.col("a").alias("doc_id"), F.col("b").alias("n"))
+        width = F.greatest(F.lit(32), F.col("n"))  # a bitmap has 8 to 16 bits a shingle
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(width) / BLOCK_BYTES)).cast("int")
+        # only tiles of several blocks need their number, and a large tile's rows must not meet in one task to get it
+        several = cut(large.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1"))
+        large = by_hot_key(large.drop("n"), several, "tile").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        large = cut(large.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
         leaders = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
         candidates = cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
         # what candidates connect so far; of large tiles' pairs only those that would still join two classes say more
         classes = cut(components(candidates))
         parts = large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        several = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
-        parts = parts.join(several, "tile", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        open_ = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
+        parts = by_hot_key(parts, cut(open_), "tile", "inner").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig, "doc_id")
         rest = cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
         if rest.limit(1).count():

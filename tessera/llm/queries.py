@@ -19,7 +19,7 @@ from .url_filter import url_filter
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,11 @@ shared AS (
   FROM items a JOIN items b ON a.x = b.x AND a.rep < b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY 1, 2),
 edges AS (SELECT a, b FROM shared WHERE 9 * o >= 4 * (n + m)),
 both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+degree AS (SELECT a AS v, count(*) AS d FROM both_ways GROUP BY 1),
 reach AS (SELECT a AS v, a AS r FROM both_ways UNION SELECT e.b, reach.r FROM reach JOIN both_ways e ON e.a = reach.v),
 comp AS (SELECT v, min(r) AS c FROM reach GROUP BY 1)
-SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.c, class.rep, sets.doc_id) AS component_id
-FROM sets LEFT JOIN class ON class.k = list_sort(sets.s) LEFT JOIN comp ON comp.v = class.rep"""
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.c, class.rep, sets.doc_id) AS component_id, coalesce(degree.d, 0)::BIGINT AS n_links
+FROM sets LEFT JOIN class ON class.k = list_sort(sets.s) LEFT JOIN comp ON comp.v = class.rep LEFT JOIN degree ON degree.v = class.rep"""
 
 _OP7 = rf"""
 WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),

@@ -501,3 +501,37 @@ def test_toxicity(spark):
     none = toxicity(df, labels.limit(0)).collect()
     assert all(r.score == 0.5 for r in none)
     assert toxicity(df.limit(0), labels).count() == 0
+
+
+def test_blocks_of_long_sets_keep_to_their_memory(monkeypatch):
+    """A tile of many long sets: blocks are counted in bytes of bitmaps, and what a block's comparison takes at once is bounded."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 9000, dtype=np.uint64)
+    sets = [np.unique(np.r_[common, rng.integers(0, 1 << 63, 1000 + 200 * (i % 9), dtype=np.uint64)]) for i in range(nj.BLOCK_BYTES // 8192)]
+    pdf = pd.DataFrame({"doc_id": range(len(sets)), "n": [len(s) for s in sets], "k": 8, "part": [i % 2 for i in range(len(sets))], "comp": range(len(sets)), "bits": [nj.bitmap(s) for s in sets]})
+    assert pdf.bits.map(len).sum() == nj.BLOCK_BYTES and all(nj.width_bytes(n) == len(b) for n, b in zip(pdf.n, pdf.bits))
+    tracemalloc.start()
+    pairs = nj._of_leaders(pdf)
+    assert len(pairs) and tracemalloc.get_traced_memory()[1] < 10 * nj.BLOCK_BYTES
+    tracemalloc.reset_peak()
+    across = nj._across(pdf[:200])
+    assert tracemalloc.get_traced_memory()[1] < 4 * nj.BLOCK_BYTES + 4 * nj.STEP_BYTES
+    tracemalloc.stop()
+    want = {(a, b) for a, b in combinations(range(200), 2) if (a + b) % 2 and 9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b]))}
+    assert want <= set(zip(across.a, across.b))
+
+
+@pytest.mark.parametrize("rows", [10, 0])
+def test_by_hot_key(spark, monkeypatch, rows):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    df = spark.createDataFrame([(i, i % 3 if i % 5 else None) for i in range(40)], "i long, tile long")
+    few = spark.createDataFrame([(1, 7), (9, 8)], "tile long, blocks int")
+    got = {r.i: r.blocks for r in common.by_hot_key(df, few, "tile").collect()}
+    assert got == {i: 7 if i % 3 == 1 and i % 5 else None for i in range(40)}
+    assert common.by_hot_key(df, few, "tile", "inner").count() == sum(v is not None for v in got.values())
