@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .lattice import lm_scores
-from .licenses import LICENSE_RULES, SENTENCES, licenses
+from .licenses import LICENSE_RULES, LONGER, SENTENCES, licenses
 from .mixing import mix
 from .ngram_join import ngram_join
 from .secrets import secrets
@@ -119,7 +119,8 @@ r AS (SELECT *, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 _KNOWN = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
-_FITS = ", ".join(f"CASE WHEN seq LIKE '{'%' + '%'.join(f'|{i}|' for i in seq) + '%'}' THEN '{name}' END" for name, seq in LICENSE_RULES)
+_FIT = lambda seq: f"seq LIKE '%{'%'.join(f'|{i}|' for i in seq)}%'"
+_FITS = ", ".join(f"CASE WHEN {_FIT(seq)} {''.join(f'AND NOT {_FIT(other)} ' for other in LONGER[seq])}THEN '{name}' END" for name, seq in LICENSE_RULES)
 _OP9 = rf"""
 WITH lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?][ \t\r]+', chr(10), 'g'), chr(10)) AS l FROM documents),
 pos AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM lines),

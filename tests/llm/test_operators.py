@@ -437,8 +437,72 @@ def test_licenses(spark, docs):
         (4, ". ".join(SENTENCES[k] for k in reversed(bsd))), (5, "not all rights reserved"), (1, ""),
     ]
     got = [(r.doc_id, r.sentence_ids, r.licenses) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    assert sorted(got) == sorted([(1, ["apache-2", "arr"], ["all-rights-reserved", "apache-2.0"]), (2, [], []), (3, bsd, ["bsd-2-clause", "bsd-3-clause"]), (4, bsd[::-1], []), (5, [], []), (1, [], [])])
-    assert licenses(docs.limit(0)).count() == 0
+    assert sorted(got) == sorted([(1, ["apache-2", "arr"], ["all-rights-reserved", "apache-2.0"]), (2, [], []), (3, bsd, ["bsd-4-clause"]), (4, bsd[::-1], []), (5, [], []), (1, [], [])])
+    assert licenses(docs.limit(0)).count() == 0 and licenses(docs).count() == docs.count()
+
+
+#: Notices as they stand in files.
+NOTICES = {
+    "mit": """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY.""",
+    "bsd-2-clause": """Copyright (c) 2020, Some One
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".""",
+    "apache-2.0": """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS.""",
+    "gpl-2.0-or-later": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "gpl-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "lgpl-2.1-or-later": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the rest.""",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\".",
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\".",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify and sell it.",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt.)",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n",
+    "gpl-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+}
+
+
+def test_licenses_in_files(spark):
+    """Each notice is known wrapped at several widths, bare and behind comment marks, and as one licence only."""
+    import textwrap
+
+    rows, want = [], {}
+    for name, notice in NOTICES.items():
+        for width in (72, 55, 10**6):
+            wrapped = "\n\n".join("\n".join(textwrap.wrap(p, width, break_on_hyphens=False, break_long_words=False)) for p in notice.split("\n\n"))
+            for mark in ("", "# ", "// ", " * ", "-- "):
+                want[len(rows)] = [name]
+                rows.append((len(rows), "\n".join((mark + x).rstrip() for x in wrapped.split("\n"))))
+    got = {r.doc_id: r.licenses for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (got[i], rows[i][1]) for i in want if got[i] != want[i]} == {}
 
 
 def test_licenses_over_lines(spark):
@@ -473,8 +537,7 @@ copies or substantial portions of the Software.
     parens = re.sub(r"(?m)^(\d)\.", r"(\1)", bsd)
     rows = [(1, bsd), (2, gpl), (3, mit), (4, marked(bsd, "#")), (5, marked(gpl, "//")), (6, "/*\n" + marked(mit, " *") + " */"), (7, parens), (8, apache), (9, bsd.replace("\n", "\r\n")), (10, "(1) " + SENTENCES["bsd-source"])]
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    ids = [k for k in SENTENCES if k.startswith("bsd")]
-    three = (ids, ["bsd-2-clause", "bsd-3-clause"])
+    three = (["bsd-head", "bsd-source", "bsd-binary", "bsd-endorse"], ["bsd-3-clause"])
     assert all(got[i] == three for i in (1, 4, 7, 9)) and got[10] == (["bsd-source"], [])
     assert got[2] == got[5] == (["gpl-redist", "gpl-warranty"], ["gpl-3.0-or-later"])
     assert got[3] == got[6] == (["mit-head", "mit-notice"], ["mit"])
