@@ -151,31 +151,32 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def running_totals(df: DataFrame, order: list, value: str, group: str | None = None) -> DataFrame:
-    """Adds `before`, the sum of `value` over the rows that come earlier in `order` (within `group`, where given;
-    then `order` starts with it), and `nth`, their number.
+def running_totals(df: DataFrame, order: list, values: str | list[str], group: str | None = None) -> DataFrame:
+    """Adds `before`, the sum of the value over the rows that come earlier in `order` (within `group`, where given;
+    then `order` starts with it), and `nth`, their number. Of several values the sums are `before_<value>`.
 
     Rows are range-partitioned by `order` and cut there, so that the partitions stay as they are; totals per
     partition give each one its offset; a window inside the partition does the rest. A hot group spreads over
     as many partitions as its rows need. Ties in `order` should be broken by its last columns; rows that tie
-    altogether fall into one partition, in any order.
+    altogether fall into one partition, in any order. Values are whole numbers.
     """
     g = [group] if group else []
+    names = {values: "before"} if isinstance(values, str) else {v: f"before_{v}" for v in values}
     ranged = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
-    sums = ranged.groupBy("_pid", *g).agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    sums = ranged.groupBy("_pid", *g).agg(*[F.sum(v).alias(f"_sum_{v}") for v in names], F.count(F.lit(1)).alias("_rows"))
     w = Window.partitionBy(*(F.col(c) for c in g)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        "_pid", *[F.col(c).alias("_g") for c in g],
-        F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_sum0"), F.coalesce(F.sum("_rows").over(w), F.lit(0)).alias("_rows0"),
-    )
+    offset = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0))
+    offsets = cut(sums.select("_pid", *[F.col(c).alias("_g") for c in g], *[offset(f"_sum_{v}").alias(f"_off_{v}") for v in names], offset("_rows").alias("_rows0")))
     on = ranged["_pid"] == offsets["_pid"]
     if group:
         on = on & ranged[group].eqNullSafe(offsets["_g"])
-    # one row per partition and group that has rows in it: at most partitions + groups, so it is broadcast
-    joined = ranged.join(F.broadcast(offsets), on).drop(offsets["_pid"])
+    # one row per partition and group that has rows in it; no more rows than a partition holds can meet at one of them
+    few = offsets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = ranged.join(F.broadcast(offsets) if few else offsets.hint("shuffle_merge"), on).drop(offsets["_pid"])
     inside = Window.partitionBy("_pid", *g).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *[c for c in df.columns],
-        (F.col("_sum0") + F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)).cast("long").alias("before"),
+        *[(F.col(f"_off_{v}") + F.sum(v).over(upto) - F.col(v)).cast("long").alias(n) for v, n in names.items()],
         (F.col("_rows0") + F.row_number().over(inside) - 1).cast("long").alias("nth"),
     )
