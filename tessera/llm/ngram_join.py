@@ -23,11 +23,11 @@ BUCKETS = 1 << 16
 #: In tiles of at most so many sets every pair is a candidate; larger tiles compare bitmaps first.
 SMALL = 16
 #: A tile is compared in blocks of so many sets, and so many bytes of bitmaps, on average.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Bytes that the bitmaps of the pairs compared at once may take.
 STEP_BYTES = 32 << 20
 #: Sets whose pairs are decided meet in blocks of so many at most, with so many shingles on average.
-GROUP, ELEMENTS = 1024, 1 << 20
+GROUP, ELEMENTS = 512, 1 << 20
 #: Of every HOT_OF sets one is looked at to find tiles of very many sets, which then skip the shuffle by tile: those seen HOT_SEEN times. It decides where
 #: a tile is compared, not what: one that is missed is found to be large where its rows meet.
 HOT_OF, HOT_SEEN = 64, 64
