@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import by_hot_key, by_ids, cut, mixed, running_totals, small_batches
 
 K, S = 40, 8
 #: Texts of fewer than SHORT characters have finer anchors: of any 12 characters in a row at least one.
 SHORT, FINE_K, FINE_S = 200, 8, 3
+#: Bytes of text in a part, which one task holds row by row: a bound on a task's work and on how many parts are known to the driver.
+PART_BYTES = 16 << 20
 _B = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -124,53 +126,66 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def syncmers(docs: DataFrame, rows_per_part: int = 2000) -> DataFrame:
+def syncmers(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     """For every row of docs (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_anchors.
 
     The edited text is the text with its last n_chars // 4 code points replaced by the first as many of the next row's, by ascending
-    doc_id (null first, ties by text), the first row's after the last. Null counts as empty, whose fingerprint is empty; two such are alike (1).
-    Rows go into contiguous ranges of ids; the first row of each range also goes, marked, to the end of the one before,
-    so the texts are shuffled once. An empty table gives an empty one.
+    doc_id (null first, ties by the text's md5), the first row's after the last. Null counts as empty, whose fingerprint is empty; two such are alike (1).
+    Rows go into contiguous parts of about part_bytes of text; the first row of each part also goes, marked, to the part
+    before, so the texts are shuffled once. Equal rows of one id follow one another and travel as one with their number, so no id
+    or missing id is a hot key. An empty table gives an empty one; other columns of docs are not looked at.
     """
+    spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    n = base.count()
-    ranges = base.select("doc_id").where("doc_id is not null").repartitionByRange(max(1, n // rows_per_part), "doc_id")
-    # one id a range: where it starts; ranges that hold only repeats of an id start once
-    lows = [r.lo for r in ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("lo")).orderBy("lo").collect()]
-    no_id = base.where("doc_id is null").limit(1).count() > 0
-    starts, least = np.array(sorted(set(lows[1:])), np.int64), lows[0] if lows and not no_id else None
+    base = base.withColumn("m", F.md5("text"))
+    keys = base.groupBy("doc_id", "m").agg(F.max(F.octet_length("text") + 1).cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("m")]
+    placed = running_totals(keys, order, "size")
+    at = cut(placed.withColumn("part", F.floor(F.col("before") / part_bytes)))
+    # where each part starts: one row for part_bytes of text
+    starts = [(r.doc_id is not None, r.doc_id or 0, r.m) for r in at.groupBy("part").agg(F.min_by(F.struct("doc_id", "m"), "before").alias("r")).select("part", "r.*").orderBy("part").collect()]
+    repeated = cut(at.where("n > 1").select("doc_id", "m", "n"))
+    if repeated.limit(1).count():
+        # equal rows are counted before their texts move; one of them goes on
+        key = F.concat_ws(":", "doc_id", "m")
+        base, few = base.withColumn("key", key), repeated.select(key.alias("key"), "n")
+        once = by_ids(base, few, "key", "left_anti").withColumn("n", F.lit(1).cast("long"))
+        base = once.unionByName(by_hot_key(base, few, "key", "inner").groupBy("key", "doc_id", "m", "n").agg(F.any_value("text").alias("text"))).drop("key")
+    else:
+        base = base.withColumn("n", F.lit(1).cast("long"))
+    sent = spark.sparkContext.broadcast(starts)
 
     @F.pandas_udf("part int, also int")
-    def place(doc_id: pd.Series) -> pd.DataFrame:
-        known = doc_id.notna().to_numpy()
-        ids = doc_id.fillna(0).to_numpy().astype(np.int64)
-        part = np.where(known, np.searchsorted(starts, ids, "right"), 0)
-        also = np.full(len(ids), -1)
-        if len(starts):
-            opens = known & (part > 0) & (starts[np.maximum(part, 1) - 1] == ids)
-            also[opens] = part[opens] - 1
-        first = ~known if least is None else known & (ids == least)
-        also[first] = len(starts)
-        return pd.DataFrame({"part": part.astype(np.int32), "also": also.astype(np.int32)})
-
-    at = base.withColumn("at", place("doc_id"))
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        starts = sent.value
+        for doc_id, m in batches:
+            row = list(zip(doc_id.notna(), doc_id.fillna(0).astype("int64"), m))
+            part = [bisect_right(starts, r) - 1 for r in row]
+            also = [(p - 1) % len(starts) if starts[p] == r else -1 for p, r in zip(part, row)]
+            yield pd.DataFrame({"part": pd.Series(part, dtype="int32"), "also": pd.Series(also, dtype="int32")})
+
     own, marked = F.struct(F.col("at.part").alias("part"), F.lit(False).alias("mark")), F.struct(F.col("at.also").alias("part"), F.lit(True).alias("mark"))
-    rows = at.withColumn("at", F.explode(F.when(F.col("at.also") >= 0, F.array(own, marked)).otherwise(F.array(own)))).select("doc_id", "text", F.col("at.part").alias("part"), F.col("at.mark").alias("mark"))
-    rows = rows.repartition(len(starts) + 1, "part").sortWithinPartitions("part", "mark", F.col("doc_id").asc_nulls_first(), "text")
+    rows = base.withColumn("at", place("doc_id", "m")).withColumn("at", F.explode(F.when(F.col("at.also") >= 0, F.array(own, marked)).otherwise(F.array(own))))
+    # the first of all is last in the last part
+    rows = rows.select("doc_id", "m", "n", "text", F.col("at.part").alias("part"), F.col("at.mark").alias("mark"))
+    rows = rows.repartitionById(max(1, len(starts)), "part").sortWithinPartitions("part", "mark", *order)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_anchors long"
-    return rows.mapInPandas(_in_turn, schema)
+    return rows.select("doc_id", "n", "text", "part", "mark").mapInPandas(_in_turn, schema)
 
 
 def _in_turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row with the one after it; a marked row is only ever the one after."""
+    """Each row with the one after it; a marked row is only ever the one after. Of equal rows all but the last are followed by their like."""
     held = None
     for pdf in batches:
         out = []
-        for doc_id, text, part, mark in zip(pdf.doc_id, pdf.text, pdf.part, pdf["mark"]):
-            text = text.decode()
+        for doc_id, n, text, part, mark in zip(pdf.doc_id, pdf.n, pdf.text, pdf.part, pdf["mark"]):
+            text = text.decode(errors="replace")
             now = (doc_id, text, part, mark, anchors(text))
             if held is not None and not held[3] and held[2] == part:
                 out.append(_result(held, now))
+            if n > 1 and not mark:
+                out += [_result(now, now)] * (n - 1)
             held = now
         yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_anchors"]).astype({"doc_id": "Int64"})
 

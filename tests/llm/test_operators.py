@@ -346,9 +346,48 @@ def test_mix_of_very_many_sources(spark, monkeypatch, few):
     held_to_targets(mix(df).collect(), size)
 
 
-def test_syncmers(docs):
-    rows = sorted(((i, t or "") for i, t, _ in plain(docs)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    got = {r.doc_id: r for r in syncmers(docs, rows_per_part=20).collect()}
+def plain_syncmers(text, k, s):
+    """Closed syncmers by their definition: the k-mers whose least s-mer, by a hash of it, is the first or the last. Their substrings, by place."""
+    import numpy as np
+
+    from tessera.llm.common import mixed
+    from tessera.llm.syncmers import _B
+
+    def h(sub):
+        v = 0
+        for c in sub:
+            v = (v * int(_B) + int(mixed(np.array([ord(c) + 1], np.uint64))[0])) % (1 << 64)
+        return int(mixed(np.array([v], np.uint64))[0])
+
+    inner = [h(text[i : i + s]) for i in range(len(text) - s + 1)]
+    out = []
+    for i in range(len(text) - k + 1):
+        w = inner[i : i + k - s + 1]
+        if min(w) in (w[0], w[-1]):
+            out.append((i, h(text[i : i + k]) >> 32))
+    return out
+
+
+def plain_likeness(a, b):
+    """Longest common rising chain of same-numbered equal hashes, over the union, by the quadratic table."""
+    def numbered(x):
+        seen = {}
+        return [(v, seen.setdefault(v, []).append(0) or len(seen[v])) for v in x]
+
+    x, y = numbered(a), numbered(b)
+    if not x or not y:
+        return float(len(x) == len(y))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + 1 if p == q else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / (len(x) + len(y) - best[-1][-1])
+
+
+@pytest.mark.parametrize("part_bytes", [1500, 1 << 24])
+def test_syncmers(docs, part_bytes):
+    rows = sorted(((i, t or "") for i, t, _ in plain(docs)), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = {r.doc_id: r for r in syncmers(docs, part_bytes).collect()}
     assert len(got) == len(rows)
     for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
         q = len(t) // 4
@@ -356,11 +395,32 @@ def test_syncmers(docs):
         r = got[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert r.near_edited == likeness(anchors(t), anchors(e)) and r.near_next == likeness(anchors(t), anchors(u))
+        if len(t) < 700:
+            k, s = (8, 3) if len(t) < 200 else (40, 8)
+            mine, theirs = plain_syncmers(t, k, s), plain_syncmers(e, k, s)
+            if mine and theirs and (len(t) < 200) == (len(e) < 200):
+                steps = [b - a for a, b in zip([0, *[p for p, _ in mine]], [p for p, _ in mine])]
+                assert r.fingerprint == " ".join(f"{d:x}.{h:08x}" for d, (_, h) in zip(steps, mine))
+                assert math.isclose(r.near_edited, plain_likeness([h for _, h in mine], [h for _, h in theirs]))
     long = max(rows, key=lambda r: len(r[1]))
     assert 0.4 < got[long[0]].near_edited < 0.95 and got[0].fingerprint == "" and got[0].near_edited == 1
     assert syncmers(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [50, 1 << 24])
+def test_syncmers_of_repeated_rows(spark, part_bytes):
+    """Rows without an id and rows of one id: neither the order nor any row is lost, however many are equal."""
+    rows = [(None, "no id here")] * 9 + [(None, None)] * 3 + [(4, "the same text again")] * 5 + [(4, "another text"), (7, "the last one, which the first follows")]
+    md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, md5(r[1])))
+    want = [(i, (t or "")[: len(t or "") - len(t or "") // 4] + (u or "")[: len(t or "") // 4]) for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1])]
+    got = syncmers(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3), part_bytes).collect()
+    key = lambda r: (r[0] or -1, r[1])
+    assert sorted([(r.doc_id, r.edited_sha256) for r in got], key=key) == sorted([(i, hashlib.sha256(e.encode()).hexdigest()) for i, e in want], key=key)
+    one = spark.createDataFrame([(1, "alone in the table")], "doc_id long, text string")
+    assert syncmers(one).first().near_next == 1
+
+
 def test_anchors_are_closed_syncmers():
     rng = random.Random(1)
     t = "".join(rng.choice("abcd é") for _ in range(900))
