@@ -158,10 +158,12 @@ def running_totals(df: DataFrame, order: list, values: str | list[str], group: s
     Rows are range-partitioned by `order` and cut there, so that the partitions stay as they are; totals per
     partition give each one its offset; a window inside the partition does the rest. A hot group spreads over
     as many partitions as its rows need. Ties in `order` should be broken by its last columns; rows that tie
-    altogether fall into one partition, in any order. Values are whole numbers.
+    altogether fall into one partition, in any order. Values are whole numbers. df should be narrow: it is cut first, or the
+    sampling that finds the ranges would compute it a second time.
     """
     g = [group] if group else []
     names = {values: "before"} if isinstance(values, str) else {v: f"before_{v}" for v in values}
+    df = cut(df)
     ranged = cut(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()))
     sums = ranged.groupBy("_pid", *g).agg(*[F.sum(v).alias(f"_sum_{v}") for v in names], F.count(F.lit(1)).alias("_rows"))
     w = Window.partitionBy(*(F.col(c) for c in g)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
