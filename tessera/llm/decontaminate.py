@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -26,21 +25,35 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of some items: patterns of word numbers (from 1; 0 separates) and the items each stands for."""
+    """The distinct windows of some items, held as places in one sequence of word numbers (from 1; 0 is no word): window i has the `lengths[i]` numbers
+    from `starts[i]`, and stands for the items numbered `item_of[first[i]:first[i + 1]]`, whose names are `names`."""
 
     def __init__(self, items: list[tuple], width: int):
         self.words: dict[bytes, int] = {}
-        found: dict[tuple, set[str]] = {}
+        named: dict[str, int] = {}
+        numbers, starts, lengths, owner, at = [], [], [], [], 0
         for item, text in items:
-            w = [self.words.setdefault(x, len(self.words) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - width + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + width]), set()).add(str(item))
-        self.items = list(found.values())
-        self.lengths = np.array([len(p) for p in found], np.int64)
-        self.patterns = np.zeros((len(found), width), np.int64)
-        for i, p in enumerate(found):
-            self.patterns[i, : len(p)] = p
-        self.shortest = int(self.lengths.min()) if found else width
+            w = np.fromiter((self.words.setdefault(x, len(self.words) + 1) for x in words_of(text)), np.int32)
+            if len(w):
+                n = max(1, len(w) - width + 1)
+                starts.append(np.arange(at, at + n, dtype=np.int64))
+                lengths.append(np.full(n, min(width, len(w)), np.int16))
+                owner.append(np.full(n, named.setdefault(str(item), len(named)), np.int32))
+                numbers.append(w)
+                at += len(w)
+        self.names = list(named)
+        # words beyond the last are 0, so that a short item's window can be read at full width
+        self.numbers = np.concatenate([*numbers, np.zeros(width, np.int32)])
+        starts, lengths, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, lengths, owner))
+        rows = np.zeros((len(starts), width), np.int32)
+        for j in range(width):
+            rows[:, j] = np.where(j < lengths, self.numbers[starts + j], 0)
+        same = np.unique(rows.view(np.dtype((np.void, 4 * width))).ravel(), return_index=True, return_inverse=True) if len(rows) else (None, starts, starts)
+        self.starts, self.lengths = starts[same[1]], lengths[same[1]].astype(np.int64)
+        pairs = np.unique(same[2].astype(np.int64) * max(1, len(self.names)) + owner)
+        self.item_of = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.first = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.starts) + 1))
+        self.shortest = int(self.lengths.min()) if len(self.starts) else width
 
 
 def _spans_of_words(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -79,7 +92,7 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[np.nda
         return out
     seq, at_doc, at_word = np.concatenate(parts), np.concatenate(at_doc), np.concatenate(at_word)
     index = FMIndex(seq, len(windows.words))
-    low, high = index.search(windows.patterns, windows.lengths)
+    low, high = index.search(windows.numbers, windows.starts, windows.lengths)
     n = high - low
     which = np.repeat(np.arange(len(n)), n)
     rows = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + low[which]
@@ -95,7 +108,7 @@ def search_shard(docs: list[list[bytes]], windows: Windows) -> list[tuple[np.nda
         out[d] = (mask, set())
     pairs = np.unique(at_doc[place] * len(windows.lengths) + which)
     for d, w in zip((pairs // len(windows.lengths)).tolist(), (pairs % len(windows.lengths)).tolist()):
-        out[d][1].update(windows.items[w])
+        out[d][1].update(windows.names[i] for i in windows.item_of[windows.first[w] : windows.first[w + 1]])
     return out
 
 
@@ -144,7 +157,7 @@ def _pass(sent, keep: tuple[str, ...], last: bool):
         out = pdf[[*keep]].copy()
         if not last:
             return out.assign(text=pdf.text, hits=[[{"a": a, "b": b} for a, b in h] for h in hits], items=items)
-        texts = [t.decode() if t is not None else None for t in pdf.text]
+        texts = [t.decode(errors="replace") if t is not None else None for t in pdf.text]
         done = [_without(t, h) if h else (t, []) for t, h in zip(texts, hits)]
         out["n_words"] = [len(w) for w in words]
         out["n_hit"] = [sum(b - a for a, b in h) for h in hits]
@@ -169,7 +182,3 @@ def _pass(sent, keep: tuple[str, ...], last: bool):
             yield flush(held, words)
 
     return search
-
-
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

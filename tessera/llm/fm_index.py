@@ -63,12 +63,13 @@ class FMIndex:
         self.kept, self.kept_rank, self.kept_at = kept, np.concatenate([[0], np.cumsum(kept)]), order[kept]
         self.n = len(seq)
 
-    def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges [low, high) of the suffixes that start with each pattern (a row, filled up at its right end)."""
-        low, high = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            on = np.flatnonzero((j < lengths) & (low < high))
-            c = patterns[on, j]
+    def search(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges [low, high) of the suffixes that start with each pattern, the lengths[i] symbols from starts[i]."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        on = np.arange(len(starts))
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            on = on[(step <= lengths[on]) & (low[on] < high[on])]
+            c = symbols[starts[on] + lengths[on] - step].astype(np.int64)
             low[on] = self.below[c] + self.tree.rank(c, low[on])
             high[on] = self.below[c] + self.tree.rank(c, high[on])
         return low, np.maximum(low, high)

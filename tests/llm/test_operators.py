@@ -453,7 +453,7 @@ def test_fm_index():
         fm = FMIndex(seq, 4, 5)
         pat = rng.integers(1, 5, (20, 4))
         length = rng.integers(1, 5, 20)
-        low, high = fm.search(pat, length)
+        low, high = fm.search(pat.ravel(), np.arange(20) * 4, length)
         for p, n, a, b in zip(pat, length, low, high):
             want = [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p[:n]).all()]
             assert sorted(fm.locate(np.arange(a, b)).tolist()) == want
@@ -487,6 +487,26 @@ def test_decontaminate(docs, spark):
     assert not decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count()
 
 
+def test_windows_take_little_memory():
+    """Of several million characters of benchmark, with items that repeat: each distinct window once, in arrays."""
+    import pickle
+    import tracemalloc
+
+    from tessera.llm.decontaminate import Windows
+
+    rng = random.Random(7)
+    of = [f"word{i}".encode() for i in range(20_000)]
+    items = [(i, b" ".join(rng.choices(of, k=200))) for i in range(2000)]
+    items += [(i + 5000, t) for i, t in items[:300]] + [(9000, b"a b"), (9001, b""), (9002, b"A-b")]
+    chars = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    w = Windows(items, 10)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(w.starts) == 2000 * 191 + 1 and sorted(w.names[i] for i in w.item_of[w.first[int(w.lengths.argmin())] :][:2]) == ["9000", "9002"]
+    assert held < 10 * chars and len(pickle.dumps(w)) < 10 * chars  # so the 16 million characters of a pass take under 160 MB
+
+
 def test_decontaminate_in_blocks(docs, spark, monkeypatch):
     import tessera.llm.decontaminate as d
 
