@@ -8,11 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, space_words
+from .common import cut, scratch, small_batches, space_words
 
 #: Words whose scores every task holds; those of all others come by a join.
 FREQUENT = 100_000
@@ -28,44 +27,89 @@ def processor(path: str):
 
 
 class Lattice:
-    """Natural-log probabilities of pieces and bytes, and the forward recursion over a word's lattice."""
-
-    def __init__(self, logp: dict[str, float], byte_logp: list[float], end: float):
-        self.logp, self.byte_logp, self.end = logp, byte_logp, end
-        self.longest = max(map(len, logp), default=1)
+    """Natural-log probabilities of the pieces (by id), of bytes (ids too) and of the end; the recursions over a word's lattice."""
+
+    def __init__(self, pieces: dict[str, int], byte_ids: list[int], logp: np.ndarray, end: float):
+        self.pieces, self.byte_ids, self.logp, self.end = pieces, byte_ids, logp.tolist(), end
+        self._found = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_found": None}
+
+    def arcs(self, word: str) -> list[tuple[int, int, float, int | tuple]]:
+        """(start, end, log probability, piece) of all pieces in the marked word, by end. A character that is no piece itself can only be
+        spelled in bytes: its arc has all of them."""
+        if self._found is None:  # once a process
+            import ahocorasick
+
+            self._found = ahocorasick.Automaton()
+            for p, i in self.pieces.items():
+                self._found.add_word(p, (len(p) - 1, self.logp[i], i))
+            if self.pieces:
+                self._found.make_automaton()
+        s = MARK + word
+        out = [(e - n, e + 1, p, i) for e, (n, p, i) in self._found.iter(s)] if self.pieces else []
+        if strange := set(s) - self.pieces.keys():
+            for i, c in enumerate(s):
+                if c in strange:
+                    b = tuple(self.byte_ids[x] for x in c.encode())
+                    out.append((i, i + 1, sum(self.logp[x] for x in b), b))
+            out.sort(key=lambda x: x[1])
+        return out
+
+    def _forward(self, word: str, arcs: list) -> list[float | None]:
+        at: list[float | None] = [None] * (len(word) + 2)
+        at[0] = 0.0
+        now, into = 0, []
+        for start, end, p, _ in arcs:
+            if end != now:
+                at[now] = _log_sum(into) if now else 0.0
+                now, into = end, []
+            if (a := at[start]) is not None:
+                into.append(a + p)
+        if now:
+            at[now] = _log_sum(into)
+        return at
 
     def word(self, word: str) -> float:
-        """Log of the sum, over all segmentations of the marked word into pieces, of the product of their probabilities.
-        A character that is no piece itself can only be spelled in bytes."""
-        s, get = MARK + word, self.logp.get
-        n = len(s)
-        arcs: list[list[float]] = [[] for _ in range(n + 1)]
-        arcs[0] = [0.0]
-        for i in range(n):
-            into = arcs[i]
-            if not into:
+        """Log of the sum, over all segmentations of the marked word into pieces, of the product of their probabilities."""
+        return self._forward(word, self.arcs(word))[-1]
+
+    def expect(self, word: str, c: float, sums: np.ndarray) -> None:
+        """Adds to sums, by id, c times how often each piece is expected in a segmentation of the word."""
+        arcs = self.arcs(word)
+        before = self._forward(word, arcs)
+        after: list[list[float]] = [[] for _ in before]
+        after[-1] = [0.0]
+        whole, now, rest = before[-1], -1, None
+        for start, end, p, i in reversed(arcs):
+            if end != now:
+                now, rest = end, _log_sum(after[end])
+            if rest is None or before[start] is None:
                 continue
-            if len(into) == 1:
-                a = into[0]
+            after[start].append(rest + p)
+            share = c * math.exp(before[start] + p + rest - whole)
+            if isinstance(i, tuple):
+                for b in i:
+                    sums[b] += share
             else:
-                m = max(into)
-                a = m + math.log(sum(math.exp(x - m) for x in into))
-            if s[i] not in self.logp:
-                arcs[i + 1].append(a + sum(self.byte_logp[b] for b in s[i].encode()))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = get(s[i:j])
-                if p is not None:
-                    arcs[j].append(a + p)
-        m = max(arcs[n])
-        return m + math.log(sum(math.exp(x - m) for x in arcs[n]))
+                sums[i] += share
+
+
+def _log_sum(x: list[float]) -> float | None:
+    if len(x) < 2:
+        return x[0] if x else None
+    m = max(x)
+    return m + math.log(sum([math.exp(v - m) for v in x]))
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
-    """word, c (in training texts), c_all; counted a task first, all words of all texts."""
+    """word, c (in training texts), c_all; counted a task first, all words of all texts. As many partitions as the session shuffles to: what
+    follows costs by the word, not by the byte."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
-            return pd.DataFrame({"word": [w.decode() for w in every], "c": [train[w] for w in every], "c_all": list(every.values())})
+            return pd.DataFrame({"word": [w.decode(errors="replace") for w in every], "c": [train[w] for w in every], "c_all": list(every.values())})
 
         every, train = Counter(), Counter()
         for pdf in batches:
@@ -80,38 +124,50 @@ def _word_counts(texts: DataFrame) -> DataFrame:
         if every:
             yield rows()
 
-    return texts.mapInPandas(count, "word string, c long, c_all long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.mapInPandas(count, "word string, c long, c_all long").repartition(parts, "word").groupBy("word").agg(F.sum("c").alias("c"), F.sum("c_all").alias("c_all"))
 
 
-def fit(words: DataFrame, n_ends: int, path: str) -> Lattice:
-    """Piece probabilities: the vocabulary's own scores give each piece a prior (it ranks them; weight 1 / (rank + 10)), worth one count
-    a piece in all, to which the pieces of the training words count, each word as the vocabulary's own rule segments it."""
+def vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray]:
+    """Pieces by id, ids of bytes, and the probability of each id by the vocabulary's own scores. The file holds merge ranks and no log
+    probabilities: a score -r ranks a piece, and its probability is taken as 1 / (r + 10), normalised, as frequency falls with rank. The last id is the end of a text."""
+    sp = processor(path)
+    size = sp.vocab_size()
+    real = [i for i in range(size) if not (sp.is_control(i) or sp.is_unknown(i))]
+    own = np.zeros(size + 1)
+    own[real] = [1 / (max(0.0, -sp.get_score(i)) + 10) for i in real]
+    own[size] = 1 / 10
+    byte_ids = [-1] * 256
+    for i in real:
+        if sp.is_byte(i):
+            byte_ids[int(sp.id_to_piece(i)[3:5], 16)] = i
+    return {sp.id_to_piece(i): i for i in real if not sp.is_byte(i)}, byte_ids, own / own.sum()
+
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp = processor(path)
-        sums = np.zeros(sp.vocab_size(), np.int64)
+def fit(words: DataFrame, n_ends: int, path: str) -> Lattice:
+    """Piece probabilities: expected counts over all segmentations of all training words, weighted by the vocabulary's own
+    scores (forward and backward recursion, one step of expectation maximisation), on a prior of those scores worth one count a piece."""
+    pieces, byte_ids, own = vocabulary(path)
+    start = Lattice(pieces, byte_ids, np.log(np.maximum(own, 1e-300)), 0.0)
+    sent = words.sparkSession.sparkContext.broadcast(start)
+    size = len(own) - 1
+
+    def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(size)
         for pdf in batches:
-            for ids, c in zip(sp.encode(pdf.word.tolist(), num_threads=1), pdf.c):
-                for i in ids:
-                    sums[i] += c
+            for w, c in zip(pdf.word, pdf.c):
+                sent.value.expect(w, c, sums)
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"piece": at, "c": sums[at]})
 
-    sp = processor(path)
-    size = sp.vocab_size()
     counts = np.zeros(size + 1)
-    for piece, c in words.where("c > 0").select("word", "c").mapInPandas(pieces, "piece int, c long").groupBy("piece").agg(F.sum("c")).collect():
-        counts[piece] = c
+    # as many rows as the vocabulary has pieces; summed in whole units of 2**-40, so that the order of tasks says nothing
+    unit = float(1 << 40)
+    for piece, c in words.where("c > 0").select("word", "c").mapInPandas(expected, "piece int, c double").groupBy("piece").agg(F.sum(F.round(F.col("c") * unit).cast("decimal(38,0)"))).collect():
+        counts[piece] = float(c) / unit
     counts[size] = n_ends
-    prior = np.array([0.0 if sp.is_control(i) or sp.is_unknown(i) else 1 / (max(0.0, -sp.get_score(i)) + 10) for i in range(size)] + [1 / 10])
-    logp = np.log(np.maximum(counts + size * prior / prior.sum(), 1e-300)) - math.log(counts.sum() + size)
-    by_piece, by_byte = {}, [logp[:size].min()] * 256
-    for i in range(size):
-        if sp.is_byte(i):
-            by_byte[int(sp.id_to_piece(i)[3:5], 16)] = float(logp[i])
-        elif not (sp.is_control(i) or sp.is_unknown(i)):
-            by_piece[sp.id_to_piece(i)] = float(logp[i])
-    return Lattice(by_piece, [float(x) for x in by_byte], float(logp[size]))
+    logp = np.log(np.maximum(counts + size * own, 1e-300)) - math.log(counts.sum() + size)
+    return Lattice(pieces, byte_ids, logp, float(logp[size]))
 
 
 def _frequent(words: DataFrame) -> DataFrame:
@@ -138,6 +194,7 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     and are scored each; an empty table gives an empty one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"), held.alias("held_out"))
     with scratch(spark) as s:
@@ -151,10 +208,9 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                lm = [sent.value.word(w) for w in pdf.word]
-                yield pdf.assign(h=[xxhash.xxh3_64_intdigest(w.encode()) - (1 << 63) for w in pdf.word], lm=lm)[["h", "word", "c", "c_all", "lm"]]
+                yield pdf.assign(lm=[sent.value.word(w) for w in pdf.word])
 
-        words = s.keep(counts.mapInPandas(score, "h long, word string, c long, c_all long, lm double"), "words")
+        words = s.keep(counts.mapInPandas(score, "word string, c long, c_all long, lm double"), "words")
         top = _frequent(words).select("word", "c", "lm").collect()
         number = {r.word.encode(): i for i, r in enumerate(top)}
         c = np.array([r.c for r in top] + [0], np.float64)
@@ -172,14 +228,14 @@ def lm_scores(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
                     w = space_words(t)
                     i = np.fromiter((number.get(x, other) for x in w), np.int64, len(w))
                     rest = Counter(w[j] for j in np.flatnonzero(i == other))
-                    rows.append((len(w), known[i].sum(), base[i].sum(), lm[i].sum(), [{"h": xxhash.xxh3_64_intdigest(x) - (1 << 63), "n": m} for x, m in rest.items()]))
+                    rows.append((len(w), known[i].sum(), base[i].sum(), lm[i].sum(), [{"word": x.decode(errors="replace"), "n": m} for x, m in rest.items()]))
                 out = pdf[["doc_id", "held_out"]].copy()
                 out["n"], out["known"], out["base"], out["lm"], out["rest"] = zip(*rows) if rows else ([],) * 5
                 yield out
 
-        part = texts.mapInPandas(add_up, "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n long, known long, base double, lm double, rest array<struct<h:long,n:long>>")
+        part = texts.mapInPandas(add_up, "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", held_out boolean, n long, known long, base double, lm double, rest array<struct<word:string,n:long>>")
         part = s.keep(part.withColumn("row", F.monotonically_increasing_id()), "part")
-        rest = part.select("row", F.inline("rest")).join(words.select("h", "c", F.col("lm").alias("wlm")), "h").groupBy("row").agg(
+        rest = part.select("row", F.inline("rest")).join(words.select("word", "c", F.col("lm").alias("wlm")), "word").groupBy("row").agg(
             F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rknown"),
             F.sum(F.col("n") * (F.log10(F.col("c") + 0.5) - log_all)).alias("rbase"),
             F.sum(F.col("n") * F.col("wlm")).alias("rlm"),

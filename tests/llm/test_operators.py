@@ -8,6 +8,7 @@ import re
 import zlib
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -16,7 +17,7 @@ from tessera.llm.automata import Automaton
 from tessera.llm.components import components
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.fm_index import FMIndex, suffix_order
-from tessera.llm.lattice import TOKENIZER, Lattice, lm_scores, processor
+from tessera.llm.lattice import TOKENIZER, Lattice, lm_scores, processor, vocabulary
 from tessera.llm.licenses import SENTENCES, licenses
 from tessera.llm.mixing import mix
 from tessera.llm.secrets import base_spans, secrets
@@ -200,7 +201,8 @@ def test_automaton_merges_and_ranks():
 
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file")
 def test_lattice(docs):
-    lm = Lattice({"▁": -1.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -1.5}, [-9.0] * 256, -1.0)
+    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
+    lm = Lattice(pieces, [5] * 256, np.array([-1.0, -2.0, -2.5, -3.0, -1.5, -9.0]), -1.0)
     ways = [[-1.0, -2.0, -2.5], [-1.5, -2.5], [-1.0, -3.0]]
     assert math.isclose(lm.word("ab"), math.log(sum(math.exp(sum(w)) for w in ways)))
     assert math.isclose(lm.word("é"), -1.0 - 18.0)
@@ -220,7 +222,29 @@ def test_lattice(docs):
     assert len(got) == len(rows)
     for r in got:
         assert (r.held_out, r.n_tokens, r.n_known) == want[r.doc_id][:3] and r.train_tokens == n
-        assert math.isclose(r.base_score, want[r.doc_id][3], rel_tol=1e-9) and -1e6 < r.score < 0
+        assert math.isclose(r.base_score, want[r.doc_id][3], rel_tol=1e-9)
+    # the model and the scores once more, by listing every segmentation of every word
+    pieces, byte_ids, own = vocabulary(TOKENIZER)
+
+    def ways(s):
+        if not s:
+            return [()]
+        out = [(pieces[s[:n]], *rest) for n in range(1, len(s) + 1) if s[:n] in pieces for rest in ways(s[n:])]
+        return out + ([(*(byte_ids[b] for b in s[0].encode()), *rest) for rest in ways(s[1:])] if s[0] not in pieces else [])
+
+    cut_up = {w: ways("▁" + w.decode()) for w in {w for _, t, _ in rows for w in tokens(t)}}
+    expected = np.zeros(len(own))
+    for w, c in count.items():
+        if w is not None:
+            p = np.array([np.prod(own[[*x]]) for x in cut_up[w]])
+            for x, share in zip(cut_up[w], p / p.sum()):
+                np.add.at(expected, [*x], c * share)
+    expected[-1] = count[None]
+    final = (expected + (len(own) - 1) * own) / (expected.sum() + len(own) - 1)
+    worth = {w: math.log10(sum(np.prod(final[[*x]]) for x in xs)) for w, xs in cut_up.items()}
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        assert math.isclose(r.score, sum(worth[w] for w in tokens(texts[r.doc_id])) + math.log10(final[-1]), rel_tol=1e-9)
     by_id = {r.doc_id: r.score for r in got}
     assert by_id[0] == by_id[1] and by_id[3] < by_id[1]
     assert processor(TOKENIZER).vocab_size() == 32000
