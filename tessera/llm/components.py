@@ -15,7 +15,7 @@ def _state(e: DataFrame) -> tuple:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for each node of an edge between two different nodes.
 
-    Edges with a null end and loops say nothing and are left out; an empty table gives an empty one. Every round
+    Nodes are whole numbers or strings. Edges with a null end and loops say nothing and are left out; an empty table gives an empty one. Every round
     points each neighbourhood to its minimum, which pre-aggregates by node; a node with very many edges is one row
     on the minimum's side of a join whose other side can be split. Ends when a round changes nothing.
     """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, by_hot_key, cut
 from .components import components
 
 #: (verdict, host, path prefix)
@@ -67,23 +67,21 @@ def url_filter(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFra
     A page's own rule decides first. Without one its class of aliases decides: urls connected by redirect and canonical-link edges, in
     either direction, pages or not. An explicit allow anywhere in the class wins over a block; with neither the default holds.
     A null url, or one without ://, has an empty host and path, no rule and no aliases; null html has no links; repeated rows are each judged; an
-    empty table gives an empty one. Rules are a stated list, tried from the longest.
+    empty table gives an empty one; other columns of pages are not looked at. Rules are a stated list, tried from the longest.
     """
     url = F.col("url")
     host, path = host_of(url), path_of(url)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    # a class is known by the hash of an address; own rows carry theirs
     edges = pages.select(address(url).alias("own"), F.explode(alias_urls(url, F.col("html"))).alias("to")).select("own", address(F.col("to")).alias("to"), F.col("to").alias("to_url")).where("own is not null and to is not null and own != to")
     edges = cut(edges.select("own", "to").distinct())
     judged = pages.select("page_id", host.alias("host"), path.alias("path"), address(url).alias("own")).withColumns({"rule": rule, "ruled": verdict})
     if not edges.limit(1).count():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("alias_verdict"))
-    ids = edges.select(F.xxhash64("own").alias("a"), F.xxhash64("to").alias("b"))
-    classes = cut(components(ids))
-    named = edges.select(F.col("own").alias("name")).union(edges.select(F.col("to").alias("name"))).distinct()
-    member = named.withColumn("node", F.xxhash64("name")).withColumns({"host": F.regexp_extract("name", r"(?s)^([^/?#]*)", 1), "path": F.regexp_extract("name", r"(?s)^[^/?#]*([^?]*)", 1)})
-    member = member.withColumn("ruled", verdict).join(classes, "node")
+    # classes are of the addresses themselves: two strangers never share one, as hashes of them might
+    classes = cut(components(edges, "own", "to")).select(F.col("node").alias("name"), "component")
+    member = classes.withColumns({"host": F.regexp_extract("name", r"(?s)^([^/?#]*)", 1), "path": F.regexp_extract("name", r"(?s)^[^/?#]*([^?]*)", 1)})
+    member = member.withColumn("ruled", verdict)
     decided = member.groupBy("component").agg(F.max(F.col("ruled") == "allow").alias("a"), F.max(F.col("ruled") == "block").alias("b"))
     decided = decided.select("component", F.when(F.col("a"), "allow").when(F.col("b"), "block").alias("alias_verdict")).where("alias_verdict is not null")
     by_name = cut(member.select("name", "component").join(decided, "component").select(F.col("name").alias("own"), "alias_verdict"))
-    return judged.join(by_name, "own", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "alias_verdict", F.lit(default)).alias("verdict"), "alias_verdict")
+    return by_hot_key(judged, by_name, "own").select("page_id", "host", "path", "rule", F.coalesce("ruled", "alias_verdict", F.lit(default)).alias("verdict"), "alias_verdict")

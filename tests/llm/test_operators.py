@@ -24,7 +24,7 @@ from tessera.llm.secrets import base_spans, secrets
 from tessera.llm.sharding import shard
 from tessera.llm.syncmers import anchors, edited, likeness, syncmers
 from tessera.llm.toxicity import toxicity
-from tessera.llm.url_filter import url_filter
+from tessera.llm.url_filter import RULES, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, part int, k string"
 
@@ -559,6 +559,52 @@ def test_url_filter(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_url_filter_against_union_find(spark):
+    """Random pages with canonical links and redirects: each page's verdict by a plain union of all aliases, with columns that clash."""
+    rng = random.Random(21)
+    hosts = ["a.net", "example.com", "x.example.net", "b.org", "q.test", "r.test", "s.test", "t.test"]
+    url = lambda: f"https://{rng.choice(hosts)}/{rng.choice(['de', 'en', 'fr', 'p'])}/{rng.randrange(60)}"
+    rows = []
+    for i in range(500):
+        u, html, r = url(), "", rng.random()
+        if r < 0.25:
+            html = f'<link rel="canonical" href="{url()}">'
+        elif r < 0.35:
+            html = f"<meta http-equiv='refresh' content='0; url={url()}'>"
+        elif r < 0.4:
+            u += "?redirect=" + url()
+        rows.append((i, u, html, "own", "component", 1))
+    rows += [(900, None, '<link rel="canonical" href="https://a.net/x">', "", "", 1), (901, "https://t.test/" + "x" * 200_000, "<p>" * 100_000, "", "", 1)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    rest = lambda u: u.split("://", 1)[1]
+    for _, u, html, *_ in rows:
+        for to in re.findall(r"""(?:href="|url=|redirect=)(https:[^"'>]+)""", (html or "") + " " + (u or "")) if u else []:
+            root[find(rest(to))] = find(rest(u))
+
+    def ruled(name):
+        host, path = (name.split("?")[0].split("/", 1) + [""])[:2]
+        fits = [(len(h + p), v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[1] if fits else None
+
+    said = {}
+    for x in list(root):
+        said.setdefault(find(x), set()).add(ruled(x))
+    want = {}
+    for i, u, *_ in rows:
+        own = ruled(rest(u)) if u else None
+        of = said.get(find(rest(u)), set()) if u else set()
+        want[i] = own or ("allow" if "allow" in of else "block" if "block" in of else "allow")
+    got = {r.page_id: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string, html string, own string, component string, node int")).collect()}
+    assert got == want and sum(ruled(rest(u)) is None and want[i] == "block" for i, u, *_ in rows if u) > 20
+
+
 def test_url_filter_relative_links(spark):
     link = '<link rel="canonical" href="%s">'
     forms = {"//b.net/a/x": "https://q1.test/", "/a/x": "https://q2.test/z", "x": "https://q3.test/a/b", "../a/x?y": "https://q4.test/b/c", "./x": "https://q5.test/a/", "?y": "https://q6.test/a/x"}
