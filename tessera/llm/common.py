@@ -24,12 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a folder of our own only where that is unset."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", there)
-        spark.sparkContext.setCheckpointDir(there)
+    """The cluster's shared folder, from spark.checkpoint.dir, or the one the context has been given; a folder of our own only where
+    neither is set and driver and executors are one process, as in tests. A cluster without a shared folder is an error: files
+    that one machine writes to its own disk are not found from the others."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    there = tempfile.mkdtemp(prefix="tessera-")
+    spark.sparkContext.setCheckpointDir(there)
     return there
 
 
@@ -43,7 +47,8 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df from files in the shared folder, without the lineage."""
+    """The rows of df from files in the shared folder, without the lineage. They are there until the session ends, or as long as it refers to
+    them where spark.cleaner.referenceTracking.cleanCheckpoints is set; what an operator needs for itself alone goes to its scratch()."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -52,12 +57,17 @@ class Scratch:
     """Tables in the shared folder that go when the operator is done with them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.root, self.kept = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The rows of df without the lineage, under a name of no interest."""
+        self.kept += 1
+        return self.keep(df, f"cut{self.kept}")
+
     def drop(self, name: str = "") -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

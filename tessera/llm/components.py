@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 
 def _state(e: DataFrame) -> tuple:
@@ -20,18 +20,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     on the minimum's side of a join whose other side can be split. Ends when a round changes nothing.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = cut(e.distinct())
-    state = _state(e)
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u != v").distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        e = cut(small.distinct())
-        before, state = state, _state(e)
-        if state == before:
-            break
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    with scratch(edges.sparkSession) as s:
+        e, n = s.keep(e.distinct(), "edges0"), 0
+        state = _state(e)
+        while True:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = s.keep(large.where("u != v").distinct(), f"large{n}")
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
+            e = s.keep(small.distinct(), f"edges{n + 1}")
+            before, state = state, _state(e)
+            s.drop(f"edges{n}"), s.drop(f"large{n}")
+            n += 1
+            if state == before:
+                break
+        roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+        return cut(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots))

@@ -326,7 +326,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     with scratch(spark) as s:
         sets = s.keep(_sets(texts, k, _rank_of_buckets(texts, k)), "sets")
-        owners = cut(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("owner")))
+        owners = s.cut(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("owner")))
         ids = owners.where("owner is not null").select(F.col("owner").alias("doc_id"))
         repeated = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
         own = sets.join(ids.distinct(), "doc_id", "left_semi")
@@ -337,7 +337,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         sig = once(own.select("doc_id", "n", "bits"))
         tiles = own.select("doc_id", "n", F.explode("tiles").alias("k")).withColumn("tile", F.shiftright("k", 1))
         hot = tiles.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_OF)) == 0).groupBy("tile").count().where(F.col("count") >= HOT_SEEN).select("tile")
-        hot = cut(hot)
+        hot = s.cut(hot)
         at_hot = by_ids(tiles, hot, "tile", "left_semi").select(F.lit(True).alias("large"), "k", F.col("doc_id").alias("a"), F.col("n").alias("b"))
         others = by_ids(tiles, hot, "tile", "left_anti").repartition("tile").sortWithinPartitions("k").drop("tile")
         found = s.keep(others.mapInPandas(_candidates, "large boolean, k long, a long, b long").union(at_hot), "found")
@@ -349,30 +349,30 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         width = F.greatest(F.lit(32), F.col("n"))  # a bitmap has 8 to 16 bits a shingle
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(width) / BLOCK_BYTES)).cast("int")
         # only tiles of several blocks need their number, and a large tile's rows must not meet in one task to get it
-        several = cut(large.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1"))
+        several = s.cut(large.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1"))
         large = by_hot_key(large.drop("n"), several, "tile").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        large = cut(large.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
+        large = s.cut(large.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
         leaders = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
-        candidates = cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
+        candidates = s.cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
         # what candidates connect so far; of large tiles' pairs only those that would still join two classes say more
-        classes = cut(components(candidates))
+        classes = components(candidates)
         parts = large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         open_ = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
-        parts = by_hot_key(parts, cut(open_), "tile", "inner").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        parts = by_hot_key(parts, s.cut(open_), "tile", "inner").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig, "doc_id")
-        rest = cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
+        rest = s.cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
         if rest.limit(1).count():
             star = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            classes = cut(components(star.union(rest)))
+            classes = components(star.union(rest))
         # every two sets that may link are of one class now: each class meets whole, in blocks, and each pair in one of them
         placed = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(sig.select("doc_id", "n"), "doc_id")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
         placed = placed.join(placed.groupBy("class_id").agg(blocks.alias("blocks")), "class_id").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
         placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "class_id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        placed = cut(placed)
-        some = once(by_ids(texts, cut(placed.select("doc_id").distinct()), "doc_id", "left_semi")) if repeated else texts
+        placed = s.cut(placed)
+        some = once(by_ids(texts, s.cut(placed.select("doc_id").distinct()), "doc_id", "left_semi")) if repeated else texts
         some = by_ids(some, placed, "doc_id", "inner").repartition("class_id", "i", "j").sortWithinPartitions("class_id", "i", "j")
-        linked = cut(some.mapInPandas(_decide(k), "doc_id long, near long, n_links long"))
+        linked = s.cut(some.mapInPandas(_decide(k), "doc_id long, near long, n_links long"))
         classes = components(linked, "doc_id", "near")
         number = linked.groupBy(F.col("doc_id").alias("owner")).agg(F.sum("n_links").alias("n_links"))
         named = owners.join(classes, owners["owner"] == classes["node"], "left").join(number, "owner", "left").select("d1", "d2", F.coalesce("component", "owner").alias("component_id"), "n_links")

@@ -22,7 +22,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 def grams(text: bytes | None, orders: tuple = ORDERS, bits: int = BITS) -> np.ndarray:
     """Buckets of the character n-grams of a text (UTF-8, A-Z lower-cased, a space added at either end), repeats included."""
-    code = np.frombuffer((" " + (text or b"").translate(_LOWER).decode() + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer((" " + (text or b"").translate(_LOWER).decode(errors="replace") + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
     out = []
     for n in orders:
         if len(code) >= n:

@@ -78,7 +78,7 @@ def url_filter(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFra
     if not edges.limit(1).count():
         return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit(default)).alias("verdict"), F.lit(None).cast("string").alias("alias_verdict"))
     # classes are of the addresses themselves: two strangers never share one, as hashes of them might
-    classes = cut(components(edges, "own", "to")).select(F.col("node").alias("name"), "component")
+    classes = components(edges, "own", "to").select(F.col("node").alias("name"), "component")
     member = classes.withColumns({"host": F.regexp_extract("name", r"(?s)^([^/?#]*)", 1), "path": F.regexp_extract("name", r"(?s)^[^/?#]*([^?]*)", 1)})
     member = member.withColumn("ruled", verdict)
     decided = member.groupBy("component").agg(F.max(F.col("ruled") == "allow").alias("a"), F.max(F.col("ruled") == "block").alias("b"))
