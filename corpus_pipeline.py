@@ -17,7 +17,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not take for toxic."""
+    """Documents that the classifier does not take for toxic: each row is judged by its own text, whatever its id, repeated rows too."""
     return toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*COLUMNS)
 
 
@@ -33,14 +33,16 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that the benchmark holds; those of which no word is left go."""
+    """Documents without the passages that the benchmark holds; those of which no word is left go. Each row by itself, with or without an id;
+    a row without text has no words and stays."""
     judged = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=("lang", "source", "n_chars"))
     left = judged.where("not contaminated or n_hit < n_words")
     return left.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(F.col("contaminated"), F.length("clean_text")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, to the nearest whole; documents without words once."""
+    """Each document as often as the mix takes its words, to the nearest whole; documents without words once. Rows that share an id go by
+    the one of them that is taken most; a row without an id, which no other table can name, stays once."""
     copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
     times = cut(mix(docs).select("doc_id", copies.alias("copies")).groupBy("doc_id").agg(F.max("copies").alias("copies")))
     some = by_ids(docs, times, "doc_id", "left")
@@ -48,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each document lies: its shard and slot."""
+    """Where each document lies: its shard and slot; rows that share an id or have none are each placed."""
     return shard(docs)
 
 
