@@ -31,6 +31,7 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, int], byte_ids: list[int], logp: np.ndarray, end: float):
         self.pieces, self.byte_ids, self.logp, self.end = pieces, byte_ids, logp.tolist(), end
+        self.single = frozenset(p for p in pieces if len(p) == 1)
         self._found = None
 
     def __getstate__(self) -> dict:
@@ -49,7 +50,7 @@ class Lattice:
                 self._found.make_automaton()
         s = MARK + word
         out = [(e - n, e + 1, p, i) for e, (n, p, i) in self._found.iter(s)] if self.pieces else []
-        if strange := set(s) - self.pieces.keys():
+        if strange := set(s) - self.single:
             for i, c in enumerate(s):
                 if c in strange:
                     b = tuple(self.byte_ids[x] for x in c.encode())
