@@ -26,10 +26,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = both.join(least.hint("shuffle_merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             large = s.keep(large.where("u != v").distinct(), f"large{n}")
             least = large.groupBy("u").agg(F.min("v").alias("m"))
-            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
+            small = large.join(least.hint("shuffle_merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
             e = s.keep(small.distinct(), f"edges{n + 1}")
             before, state = state, _state(e)
             s.drop(f"edges{n}"), s.drop(f"large{n}")

@@ -23,7 +23,7 @@ BUCKETS = 1 << 16
 #: In tiles of at most so many sets every pair is a candidate; larger tiles compare bitmaps first.
 SMALL = 16
 #: A tile is compared in blocks of so many sets, and so many bytes of bitmaps, on average.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Bytes that the bitmaps of the pairs compared at once may take.
 STEP_BYTES = 32 << 20
 #: Sets whose pairs are decided meet in blocks of so many at most, with so many shingles on average.
@@ -343,7 +343,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         found = s.keep(others.mapInPandas(_candidates, "large boolean, k long, a long, b long").union(at_hot), "found")
 
         def near(pairs: DataFrame) -> DataFrame:
-            return pairs.join(_side(sig, "a"), "a").join(_side(sig, "b"), "b").mapInPandas(_may_link, "a long, b long")
+            return pairs.join(_side(sig, "a").hint("shuffle_merge"), "a").join(_side(sig, "b").hint("shuffle_merge"), "b").mapInPandas(_may_link, "a long, b long")
 
         large = found.where("large").select("k", F.shiftright("k", 1).alias("tile"), F.col("a").alias("doc_id"), F.col("b").alias("n"))
         width = F.greatest(F.lit(32), F.col("n"))  # a bitmap has 8 to 16 bits a shingle
@@ -352,20 +352,20 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         several = s.cut(large.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1"))
         large = by_hot_key(large.drop("n"), several, "tile").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         large = s.cut(large.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
-        leaders = large.join(sig, "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
+        leaders = large.join(sig.hint("shuffle_merge"), "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
         candidates = s.cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
         # what candidates connect so far; of large tiles' pairs only those that would still join two classes say more
         classes = components(candidates)
-        parts = large.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        parts = large.join(classes.withColumnRenamed("node", "doc_id").hint("shuffle_merge"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
         open_ = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
         parts = by_hot_key(parts, s.cut(open_), "tile", "inner").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig, "doc_id")
+        parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig.hint("shuffle_merge"), "doc_id")
         rest = s.cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
         if rest.limit(1).count():
             star = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
             classes = components(star.union(rest))
         # every two sets that may link are of one class now: each class meets whole, in blocks, and each pair in one of them
-        placed = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(sig.select("doc_id", "n"), "doc_id")
+        placed = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(sig.select("doc_id", "n").hint("shuffle_merge"), "doc_id")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
         placed = placed.join(placed.groupBy("class_id").agg(blocks.alias("blocks")), "class_id").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
         placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "class_id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
