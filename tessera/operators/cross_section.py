@@ -18,9 +18,13 @@ def average_rank(x: str, *by: str) -> Column:
     return F.when(c(x).isNotNull(), F.rank().over(w.orderBy(x)) + (ties - 1) / 2)
 
 
+def mean_and_dev(f: Flow, x: str, by: tuple[str, ...] = ("period",)) -> tuple[str, str]:
+    return f.ag(F.avg(x), x, by=by), f.ag(F.stddev_samp(x), x, by=by)
+
+
 def zscore(f: Flow, x: str) -> str:
-    sd = F.stddev_samp(x).over(across())
-    return f.cs(F.when(sd >= 1e-10, (c(x) - F.avg(x).over(across())) / sd), x)
+    m, sd = mean_and_dev(f, x)
+    return f.ew(F.when(c(sd) >= 1e-10, (c(x) - c(m)) / c(sd)), x, m, sd)
 
 
 def rank(f: Flow, x: str) -> str:
@@ -32,23 +36,26 @@ def pct_rank(f: Flow, x: str, *by: str) -> str:
 
 
 def residual(f: Flow, y: str, x: str) -> str:
-    slope, cut = F.regr_slope(c(y), c(x)).over(across()), F.regr_intercept(c(y), c(x)).over(across())
-    pairs = F.sum(F.when(c(x).isNotNull() & c(y).isNotNull(), 1)).over(across())
-    mean = F.avg(both(c(x), c(y), c(y))).over(across())
-    flat = F.var_pop(both(c(y), c(x), c(x))).over(across()) < 1e-24
-    return f.cs(F.when(pairs >= 2, both(c(x), c(y), F.when(flat, c(y) - mean).otherwise(c(y) - (cut + slope * c(x))))), y, x)
+    pair = c(x).isNotNull() & c(y).isNotNull()
+    fit = f.ag(
+        F.struct(
+            F.regr_slope(c(y), c(x)).alias("slope"), F.regr_intercept(c(y), c(x)).alias("cut"), F.count(F.when(pair, 1)).alias("pairs"),
+            F.avg(both(c(x), c(y), c(y))).alias("mean"), (F.var_pop(both(c(y), c(x), c(x))) < 1e-24).alias("flat"),
+        ), y, x,
+    )
+    line = F.when(c(fit)["flat"], c(y) - c(fit)["mean"]).otherwise(c(y) - (c(fit)["cut"] + c(fit)["slope"] * c(x)))
+    return f.ew(F.when(c(fit)["pairs"] >= 2, both(c(x), c(y), line)), y, x, fit)
 
 
 def regressor(f: Flow, y: str, x: str) -> str:
-    sxx = F.regr_sxx(c(y), c(x)).over(across())
-    return f.cs(both(c(x), c(y), F.when(sxx > 1e-12, F.regr_slope(c(y), c(x)).over(across()))), y, x)
+    slope = f.ag(F.when(F.regr_sxx(c(y), c(x)) > 1e-12, F.regr_slope(c(y), c(x))), y, x)
+    return f.ew(both(c(x), c(y), c(slope)), y, x, slope)
 
 
 def ind_neutral(f: Flow, x: str) -> str:
-    w = across("industry")
-    sd = F.stddev_samp(x).over(w)
-    z = F.when((c("industry") > 0) & (sd > 0), (c(x) - F.avg(x).over(w)) / sd)
-    return f.cs(F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))), x)
+    m, sd = mean_and_dev(f, x, ("period", "industry"))
+    z = F.when((c("industry") > 0) & (c(sd) > 0), (c(x) - c(m)) / c(sd))
+    return f.ew(F.when(z.isNotNull(), F.greatest(F.lit(-3.0), F.least(F.lit(3.0), z))), x, m, sd)
 
 
 def ind_rank(f: Flow, x: str) -> str:
@@ -56,15 +63,18 @@ def ind_rank(f: Flow, x: str) -> str:
 
 
 def demean(f: Flow, x: str) -> str:
-    return f.cs(c(x) - F.avg(x).over(across()), x)
+    m = f.ag(F.avg(x), x)
+    return f.ew(c(x) - c(m), x, m)
 
 
 def sign_mul(f: Flow, x: str, y: str) -> str:
-    return f.cs(F.signum((c(x) - F.avg(x).over(across())) * c(y)), x, y)
+    m = f.ag(F.avg(x), x)
+    return f.ew(F.signum((c(x) - c(m)) * c(y)), x, y, m)
 
 
 def from_median(f: Flow, x: str) -> str:
-    return f.cs(-F.abs(c(x) - F.percentile(x, F.lit(0.5)).over(across())), x)
+    m = f.ag(F.percentile(x, F.lit(0.5)), x)
+    return f.ew(-F.abs(c(x) - c(m)), x, m)
 
 
 def of_two(each, out):

@@ -101,17 +101,36 @@ def child(rng: random.Random, s: Settings, parent: Node, donor: Node, ops: list[
     return how, (new if new.depth() <= s.most_depth and new.args else parent)
 
 
+#: Operators that map a date's values by a rising line, which no correlation across the date sees.
+_LINES = {"cs_zscore", "cs_demean"}
+
+
+def bare(t: Node) -> tuple[Node, bool]:
+    """The tree under the outermost operators that leave a date's correlations as they are, and whether a standardisation was among them."""
+    standardised = False
+    while t.op in _LINES:
+        standardised |= t.op == "cs_zscore"
+        t = t.args[0]
+    return t, standardised
+
+
 def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, dict]:
-    """For each distinct canonical tree its IC of each valid period. One job a batch; a number a tree and period reaches the driver."""
+    """For each distinct canonical tree its IC of each valid period. One job a batch; a number a tree and period reaches the driver. A tree whose
+    outermost operators only move and stretch a date's values is scored by what is under them."""
     names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
+    under = {n: bare(t) for n, t in names.items()}
     out: dict[str, dict] = {}
-    for df, some in zip(evaluate(panel, names, width), (list(names)[i : i + width] for i in range(0, len(names), width))):
+    for df, some in zip(evaluate(panel, {n: t for n, (t, _) in under.items()}, width), (list(names)[i : i + width] for i in range(0, len(names), width))):
         aggs = []
         for n in some:
-            x = F.when(F.col(label).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) < 1e15), F.col(n))
+            value = F.when(~F.isnan(n) & (F.abs(F.col(n)) < 1e15), F.col(n))
+            x = F.when(F.col(label).isNotNull(), value)
             y = F.when(x.isNotNull(), F.col(label))
             sd = F.stddev_pop(x) * F.stddev_pop(y)
-            aggs.append(F.when((F.count(x) >= min_pairs) & (sd > 1e-12), F.covar_pop(x, y) / sd).alias(n))
+            ok = (F.count(x) >= min_pairs) & (sd > 1e-12)
+            if under[n][1]:  # a date on which values hardly vary has no standardised ones
+                ok &= F.stddev_samp(value) >= 1e-10
+            aggs.append(F.when(ok, F.covar_pop(x, y) / sd).alias(n))
         rows = df.groupBy("period").agg(*aggs).collect()
         out |= {str(names[n]): {r.period: r[n] for r in sorted(rows, key=lambda r: r.period) if r[n] is not None} for n in some}
     return out

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,10 +87,15 @@ def portfolio_stats(returns: DataFrame, by: str = "bucket", periods: int = 250)
     return s.groupBy(by).agg((F.avg("ret") * periods).alias("annual"), (F.try_divide(F.avg("ret"), F.stddev_pop("ret")) * math.sqrt(periods)).alias("sharpe"), F.max("_dd").alias("drawdown"))
 
 
-def hedge_sharpe(df: DataFrame, x: str, ret: str, periods: int = 250) -> DataFrame:
-    """Sharpe ratio of the better of the two extreme deciles."""
-    s = portfolio_stats(group_returns(df, x, ret).where(c("bucket").isin(1, 10)), periods=periods)
-    return s.agg(F.max("sharpe").alias("hedge_sharpe"))
+def hedge_sharpe(df: DataFrame, x: str, ret: str, periods: int = 250, n: int = 10) -> DataFrame:
+    """hedge_sharpe: mean over deviation of the returns of the first or the last bucket, whichever sums to more, times the root of `periods`; -100 where
+    that is no number. A date's return of a bucket is the sum of its members' returns over their number, those without a return counted too."""
+    b = bucketed(df, x, n).select("period", "bucket", ret).unionByName(df.where(c(x).isNull()).select("period", F.lit(None).cast("int").alias("bucket"), ret))
+    side = lambda k: F.when((F.count(F.when(c("bucket") == k, 1)) > 0) & (F.count(ret) > 0), F.coalesce(F.sum(F.when(c("bucket") == k, c(ret))), F.lit(0.0)) / F.count(F.when(c("bucket") == k, 1)))
+    per = b.groupBy("period").agg(side(1).alias("_lo"), side(n).alias("_hi"))
+    sharpe = lambda k: F.try_divide(F.avg(k), F.stddev_samp(k)) * math.sqrt(periods)
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0.0))
+    return per.agg(F.coalesce(F.when(total("_lo") > total("_hi"), sharpe("_lo")).otherwise(sharpe("_hi")), F.lit(-100.0)).alias("hedge_sharpe"))
 
 
 def monotonicity(returns: DataFrame) -> DataFrame:
@@ -98,21 +106,35 @@ def monotonicity(returns: DataFrame) -> DataFrame:
 
 
 def residual_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """entity, period, residual of y on xs and a constant, by least squares in each period; two rows at least."""
-    import numpy as np
-    import pandas as pd
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ok = pdf[[y, *xs]].notna().all(axis=1).to_numpy()
-        out = np.full(len(pdf), np.nan)
-        if ok.sum() >= 2:
-            a = np.column_stack([np.ones(ok.sum()), pdf.loc[ok, xs].to_numpy(float)])
-            b = pdf.loc[ok, y].to_numpy(float)
-            out[ok] = b - a @ (np.linalg.pinv(a) @ b)
-        return pd.DataFrame({"entity": pdf.entity, "period": pdf.period, "residual": out})
-
-    rows = df.select("entity", "period", y, *xs).groupBy("period").applyInPandas(solve, "entity long, period date, residual double")
-    return rows.withColumn("residual", F.when(~F.isnan("residual"), c("residual")))
+    """entity, period, residual of y on xs and a constant, by least squares in each period, over the rows that have them all; null elsewhere and in
+    periods of fewer than two such rows.
+
+    Means and covariances of a period are summed where its rows are; one small system a period is solved (by the pseudo-inverse of the correlations,
+    so regressors may be constant or follow from others) and its coefficients come back by broadcast. A calendar bounds their number.
+    """
+    cols, k = [*xs, y], len(xs)
+    ok = reduce(lambda a, b: a & b, [c(n).isNotNull() for n in cols])
+    v = [F.when(ok, c(n)) for n in cols]
+    sums = df.groupBy("period").agg(
+        F.count(F.when(ok, 1)).alias("_n"), F.array(*[F.avg(a) for a in v]).alias("_mean"), F.array(*[F.covar_pop(v[i], v[j]) for i in range(k + 1) for j in range(i, k + 1)]).alias("_cov")
+    )
+
+    @F.pandas_udf("array<double>")
+    def coefficients(mean: pd.Series, cov: pd.Series) -> pd.Series:
+        out = []
+        for m, flat in zip(mean, cov):
+            a = np.zeros((k + 1, k + 1))
+            a[np.triu_indices(k + 1)] = flat
+            a = np.triu(a) + np.triu(a, 1).T
+            sd = np.sqrt(np.diag(a)[:k])
+            scale = np.where(sd > 1e-12 * np.maximum(1, np.abs(m[:k])), sd, np.inf)
+            slopes = np.linalg.pinv(a[:k, :k] / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (a[:k, k] / scale) / scale
+            out.append([float(m[k] - slopes @ m[:k]), *slopes.tolist()])
+        return pd.Series(out)
+
+    fit = sums.where("_n >= 2").select("period", coefficients("_mean", "_cov").alias("_b"))
+    line = reduce(lambda a, b: a + b, [c("_b")[i + 1] * c(x) for i, x in enumerate(xs)], c("_b")[0])
+    return df.select("entity", "period", *dict.fromkeys(cols)).join(F.broadcast(fit), "period", "left").select("entity", "period", F.when(ok, c(y) - line).alias("residual"))
 
 
 def correlations(df: DataFrame, xs: list[str]) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.elementwise import both
 from ..plans.flow import Flow, along, entity_rows
-from .cross_section import across
 
 c = F.col
 
@@ -381,7 +380,8 @@ def smooth_position(f: Flow, x: str, d: int) -> str:
 
 def over_cs_mean(f: Flow, x: str, d: int) -> str:
     w = d + 1
-    z = f.cs(F.when(F.stddev_pop(x).over(across()) > 1e-10, F.when(c(x) > F.avg(x).over(across()), 1.0).when(c(x).isNotNull(), 0.0)), x)
+    m, sd = f.ag(F.avg(x), x), f.ag(F.stddev_pop(x), x)
+    z = f.ew(F.when(c(sd) > 1e-10, F.when(c(x) > c(m), 1.0).when(c(x).isNotNull(), 0.0)), x, m, sd)
     return f.ts(F.when(n(z, w) >= enough(w), F.sum(z).over(along(w))), z)
 
 

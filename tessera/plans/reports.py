@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evolve as gp
-from ..operators import metrics, selection
+from ..operators import fitness, metrics, selection
 from ..sources.panel import PART_PANEL_SQL, dense, first_disclosed, part_panel, report_period, standalone_quarter, table, unpivoted
 from .expression import parse
 from .expression import evaluate
@@ -88,9 +88,53 @@ def portfolio_stats(spark, sf_dir):
     return s.select("bucket", R("annual").alias("annual"), R("sharpe").alias("sharpe"), R("drawdown").alias("drawdown"))
 
 
-@report(panel_sql(f"{_STATS} SELECT round(max(s), 6) AS hedge_sharpe FROM (SELECT avg(ret) / stddev_pop(ret) * sqrt(4) AS s FROM dd WHERE bucket IN (1, 10) GROUP BY bucket)"))
-def metric_hedge_sharpe(spark, sf_dir):
-    return metrics.hedge_sharpe(part_panel(spark, sf_dir), "x", "fwd_ret", periods=4).select(R("hedge_sharpe").alias("hedge_sharpe"))
+#: The hedged side's figure of buckets `bucket` and returns `r` of rows of k, over 4 periods a year.
+_HEDGE = """hb AS (SELECT period, count(*) FILTER (bucket = 1) AS n1, sum(r) FILTER (bucket = 1) AS s1, count(*) FILTER (bucket = 10) AS n2, sum(r) FILTER (bucket = 10) AS s2, count(r) AS any_r FROM bk GROUP BY 1),
+hr AS (SELECT CASE WHEN n1 > 0 AND any_r > 0 THEN coalesce(s1, 0) / n1 END AS lo, CASE WHEN n2 > 0 AND any_r > 0 THEN coalesce(s2, 0) / n2 END AS hi FROM hb)
+SELECT round(coalesce(CASE WHEN coalesce(sum(lo), 0) > coalesce(sum(hi), 0) THEN avg(lo) / stddev_samp(lo) ELSE avg(hi) / stddev_samp(hi) END * sqrt(4), -100), 6) AS {out} FROM hr"""
+
+
+# factor f (masked), label y1 and its residual yr on the style y, and their percentile ranks among a date's own values
+_K = "k AS (SELECT period, entity, y AS style, fwd_ret AS y1, CASE WHEN NOT restricted AND coverage >= 0.6 AND m >= 0.6 THEN x END AS f FROM p JOIN cv USING (period), mc)"
+_FIT = "ft AS (SELECT period, regr_slope(y1, style) AS b, avg(y1) FILTER (style IS NOT NULL) AS my, avg(style) FILTER (y1 IS NOT NULL) AS ms FROM k GROUP BY 1), kr AS (SELECT k.*, y1 - my - b * (style - ms) AS yr FROM k JOIN ft USING (period))"
+_OWN = lambda x, over="period": f"({avg_rank(x, over)} / count({x}) OVER (PARTITION BY {over}))"
+_PCT = f"pk AS (SELECT *, {_OWN('f')} AS pf, {_OWN('y1')} AS p1, {_OWN('yr')} AS pr FROM kr)"
+_METRIC = lambda rest: panel_sql(f"{_COVER}, {_K}, {_FIT}, {_PCT}, {rest}")
+_ICS = lambda a, b: f"ic AS (SELECT period, corr({a}, {b}) AS ic FROM pk WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)"
+
+
+def _metric(name: str, sql: str):
+    def run(spark, sf_dir):
+        return fitness.metric(name, part_panel(spark, sf_dir), "x", "fwd_ret", styles=["y"], least=0.6).select(R("value").alias("value"))
+
+    run.__name__ = f"metric_{name}"
+    report(_METRIC(sql))(run)
+
+
+_metric("pearson", f"{_ICS('f', 'y1')} SELECT round(coalesce(abs(avg(ic)), 0), 6) AS value FROM ic")
+_metric("alert_pearson", f"{_ICS('f', 'y1')} SELECT round(coalesce(avg(ic), -1), 6) + 0 AS value FROM ic")
+_metric("spearman", f"{_ICS('pf', 'p1')} SELECT round(coalesce(abs(avg(ic)), 0), 6) AS value FROM ic")
+_metric("alert_ic", f"{_ICS('pf', 'p1')} SELECT round(coalesce(avg(ic), -1), 6) + 0 AS value FROM ic")
+_metric("neutral_ic", f"{_ICS('pf', 'pr')} SELECT round(coalesce(abs(avg(ic)), 0), 6) AS value FROM ic")
+_metric("alert_icir", f"""q AS (SELECT *, CASE WHEN p1 IS NOT NULL THEN pf END AS a, CASE WHEN pf IS NOT NULL THEN p1 END AS b FROM pk), qr AS (SELECT period, {avg_rank('a')} AS ra, {avg_rank('b')} AS rb FROM q WHERE a IS NOT NULL),
+ic AS (SELECT corr(ra, rb) AS ic FROM qr GROUP BY period HAVING count(*) >= 2) SELECT round(coalesce(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), -100), 6) + 0 AS value FROM ic""")
+_SIDES = f"sd AS (SELECT *, CASE WHEN pf > 0.5 THEN yr END AS yt, CASE WHEN pf < 0.5 THEN yr END AS yb FROM pk), sr AS (SELECT *, {_OWN('yt')} AS pt, {_OWN('yb')} AS pb FROM sd), hv AS (SELECT period, corr(pf, pr) AS ic, corr(pf, pt) AS top, corr(pf, pb) AS bottom FROM sr GROUP BY 1)"
+_metric("long_only_neutral_ic", f"{_SIDES} SELECT round(coalesce(abs(CASE WHEN avg(ic) > 0 THEN avg(top) ELSE avg(bottom) END), 0), 6) AS value FROM hv")
+_metric("hedge_sharpe", "bk AS (SELECT period, y1 AS r, (10 - floor((1 - pf) * 10))::INTEGER AS bucket FROM pk), " + _HEDGE.format(out="value"))
+_metric("neutral_hedge_sharpe", "bk AS (SELECT period, yr AS r, (10 - floor((1 - pf) * 10))::INTEGER AS bucket FROM pk), " + _HEDGE.format(out="value"))
+
+
+@report(_METRIC(f"{_SIDES} SELECT period::VARCHAR AS period, round(ic, 6) + 0 AS ic, round(CASE WHEN (SELECT avg(ic) FROM hv) > 0 THEN top ELSE -bottom END, 6) + 0 AS long_ic FROM hv"))
+def two_ics(spark, sf_dir):
+    """Whole and long-only IC of each date, as the selection of factors goes by."""
+    d = fitness.neutral(metrics.masked(part_panel(spark, sf_dir), "x", 0.6), "fwd_ret", ["y"])
+    return fitness.two_ics(d, "x", "_residual").select(c("period").cast("string").alias("period"), R("ic").alias("ic"), R("long_ic").alias("long_ic"))
+
+
+@report(_METRIC(f"{_SIDES} SELECT period::VARCHAR AS period, entity, round(CASE WHEN (SELECT avg(ic) FROM hv) > 0 THEN CASE WHEN pf >= 0.5 THEN f END ELSE CASE WHEN pf <= 0.5 THEN -f END END, 6) + 0 AS f FROM pk"))
+def long_only_mask(spark, sf_dir):
+    d = fitness.neutral(metrics.masked(part_panel(spark, sf_dir), "x", 0.6), "fwd_ret", ["y"])
+    return fitness.long_only_mask(d, "x", "_residual").select(c("period").cast("string").alias("period"), "entity", R("x").alias("f"))
 
 
 @report(panel_sql(f"{_BUCKETS}, mm AS (SELECT bucket, avg(ret) AS r FROM gr GROUP BY 1) SELECT round(sum(abs(bucket - k)) / 50::DOUBLE, 6) AS mono FROM (SELECT bucket, rank() OVER (ORDER BY r) AS k FROM mm)"))
