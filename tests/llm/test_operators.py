@@ -69,7 +69,11 @@ def tokens(t):
     return (t or "").encode().lower().split()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1000, 3])
+def test_components(spark, monkeypatch, hub):
+    from tessera.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", hub)
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, x) for x in range(2, 60)] + [(59, 60), (7, 7), (None, 3), (3, 2)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 61)}}
