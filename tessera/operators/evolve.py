@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.expression import Node, canonical, evaluate, lookup
+from ..plans.expression import Node, canonical, evaluate, lookup, parse
 
 CONSTANT_OPS = {"cs_add", "cs_sub", "cs_mul", "cs_div", "cs_max", "cs_min"}
 
@@ -31,6 +31,12 @@ class Settings:
     seed: int = 7
     replacement: str = "generational"
     originality: float = 0.0
+    #: what a node costs; "auto" takes the covariance of lengths and scores over the variance of lengths
+    parsimony: float | str = 0.0
+    #: the search ends when a candidate reaches it
+    stop: float = math.inf
+    #: the most that a score of 0 takes off; a score of 10 takes nothing
+    penalty_weight: float = 0.0
 
 
 def grow(rng: random.Random, ops: list[str], features: list[str], depth: int, full: bool) -> Node:
@@ -120,19 +126,20 @@ def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50,
     names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
     under = {n: bare(t) for n, t in names.items()}
     out: dict[str, dict] = {}
+    # a row a value: one small aggregation over all trees, where hundreds of aggregates side by side would make code too long to compile well
+    x, y = F.when(F.col(label).isNotNull(), F.col("v")), F.when(F.col("v").isNotNull(), F.col(label))
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    ic = F.when((F.count(x) >= min_pairs) & (sd > 1e-12), F.covar_pop(x, y) / sd)
     for df, some in zip(evaluate(panel, {n: t for n, (t, _) in under.items()}, width), (list(names)[i : i + width] for i in range(0, len(names), width))):
-        aggs = []
-        for n in some:
-            value = F.when(~F.isnan(n) & (F.abs(F.col(n)) < 1e15), F.col(n))
-            x = F.when(F.col(label).isNotNull(), value)
-            y = F.when(x.isNotNull(), F.col(label))
-            sd = F.stddev_pop(x) * F.stddev_pop(y)
-            ok = (F.count(x) >= min_pairs) & (sd > 1e-12)
-            if under[n][1]:  # a date on which values hardly vary has no standardised ones
-                ok &= F.stddev_samp(value) >= 1e-10
-            aggs.append(F.when(ok, F.covar_pop(x, y) / sd).alias(n))
-        rows = df.groupBy("period").agg(*aggs).collect()
-        out |= {str(names[n]): {r.period: r[n] for r in sorted(rows, key=lambda r: r.period) if r[n] is not None} for n in some}
+        long = df.select("period", label, *[F.col(n).cast("double").alias(n) for n in some]).unpivot(["period", label], some, "name", "v")
+        long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < 1e15))
+        rows = long.groupBy("name", "period").agg(ic.alias("ic"), F.stddev_samp("v").alias("spread")).where("ic is not null").collect()
+        got: dict[str, dict] = {n: {} for n in some}
+        for r in sorted(rows, key=lambda r: r.period):
+            # a date on which values hardly vary has no standardised ones
+            if not under[r.name][1] or (r.spread or 0.0) >= 1e-10:
+                got[r.name][r.period] = r.ic
+        out |= {str(names[n]): got[n] for n in some}
     return out
 
 
@@ -180,20 +187,41 @@ def survivors(kept: list, born: list, value, mode: str, n: int) -> list:
     raise ValueError(f"no such replacement: {mode}")
 
 
-def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "fwd_ret", s: Settings = Settings()) -> list[dict]:
-    """Records of every candidate of every generation: generation, idx, formulation, ic, method. One seed gives one run, and a shorter
-    run is the start of a longer one. With s.originality, tournaments go by rank less that weight times the rank of what others explain."""
-    rng, records, series = random.Random(s.seed), [], {}
+def parsimony_coefficient(lengths: list[int], scores: list[float], s: Settings) -> float:
+    if s.parsimony != "auto":
+        return float(s.parsimony)
+    spread = float(np.var(lengths)) if len(lengths) > 1 else 0.0
+    return float(np.cov(lengths, scores)[1, 0]) / spread if spread else 0.0
+
+
+def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "fwd_ret", s: Settings = Settings(), crossover_ops: list[str] | None = None, judged: dict[str, float] | None = None) -> list[dict]:
+    """Records of every candidate of every generation: generation, idx, formulation, ic, penalty, fitness, method, n_nodes. One seed gives one run, and a shorter
+    run is the start of a longer one. With s.originality, tournaments go by rank less that weight times the rank of what others explain.
+
+    ops make new trees and mutations; trees of the first generation come of crossover_ops alone where given. fitness is ic less the penalty of the
+    candidate's score in `judged` (by formulation, 0 to 10; none without a score) and less s.parsimony a node.
+    """
+    rng, records, series, judged = random.Random(s.seed), [], {}, judged or {}
     key = lambda t: str(canonical(t))
-    pop = [("random", grow(rng, ops, features, rng.randint(*s.depth), rng.random() < 0.5)) for _ in range(s.population * s.warm_start)]
+    first = crossover_ops or ops
+    pop = [("random", grow(rng, first, features, rng.randint(*s.depth), rng.random() < 0.5)) for _ in range(s.population * s.warm_start)]
     pop = [(m, t if t.args else Node("cs_rank", (t,)), None) for m, t in pop]
     kept: list = []
     for g in range(s.generations + 1):
         new = [t for _, t, _ in pop if key(t) not in series]
         if new:
             series |= ic_series(panel, new, label)
-        fit = lambda t: _fitness(series[key(t)])
-        records += [{"generation": g, "idx": i, "formulation": str(t), "ic": fit(t), "method": m, "n_nodes": t.length()} for i, (m, t, _) in enumerate(pop)]
+        raw = lambda t: _fitness(series[key(t)])
+
+        def penalty(t: Node) -> float:
+            score = judged.get(str(t))
+            return 0.0 if score is None or raw(t) < 0 else s.penalty_weight * (1 - min(10.0, max(0.0, score)) / 10)
+
+        a_node = parsimony_coefficient([t.length() for _, t, _ in pop], [raw(t) - penalty(t) for _, t, _ in pop], s)
+        fit = lambda t: raw(t) - penalty(t) - a_node * t.length()  # noqa: B023, E731
+        records += [{"generation": g, "idx": i, "formulation": str(t), "ic": raw(t), "penalty": penalty(t), "fitness": fit(t), "method": m, "n_nodes": t.length()} for i, (m, t, _) in enumerate(pop)]
+        if max(raw(t) - penalty(t) for _, t, _ in pop) >= s.stop:
+            break
         kept = survivors(kept, [(t, o or t) for _, t, o in pop], fit, s.replacement, s.population)
         parents = [t for t, _ in kept]
         reward = {key(t): fit(t) for t in parents}
@@ -212,3 +240,32 @@ def hall_of_fame(records: DataFrame, k: int) -> DataFrame:
     last = records.where(F.col("generation") == records.agg(F.max("generation")).first()[0])
     w = Window.partitionBy("formulation").orderBy("idx")
     return last.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("ic"), F.desc("idx")).limit(k)
+
+
+def flat_correlations(df: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
+    """abs of the correlation of each two columns over all cells, each less its mean, missing cells as 0. One job; a number a pair reaches the driver."""
+    means = df.agg(*[F.avg(n).alias(n) for n in names])  # one row
+    flat = df.select(*names).crossJoin(F.broadcast(means.select(*[F.col(n).alias(f"{n}_m") for n in names])))
+    flat = flat.select(*[F.coalesce(F.col(n) - F.col(f"{n}_m"), F.lit(0.0)).alias(n) for n in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sd = lambda a, b: F.stddev_pop(a) * F.stddev_pop(b)
+    got = flat.agg(*[F.abs(F.when(sd(a, b) > 1e-18, F.covar_pop(a, b) / sd(a, b))).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else []
+    return {p: float(v or 0.0) for p, v in zip(pairs, got)}
+
+
+def best_programs(panel: DataFrame, records: DataFrame, k: int, n: int) -> list[str]:
+    """Formulations of the hall of fame of k, less the worse of the most correlated two, again and again, until n are left."""
+    names = [r.formulation for r in hall_of_fame(records, k).orderBy(F.desc("ic"), F.desc("idx")).collect()]
+    cols = {f"h{i}": parse(t) for i, t in enumerate(names)}
+    corr = flat_correlations(evaluate(panel, cols, max(50, len(cols)))[0], list(cols)) if len(names) > n else {}
+    left = list(cols)
+    while len(left) > n:
+        pairs = [(corr[a, b], i, j) for i, a in enumerate(left) for j, b in enumerate(left) if i < j]
+        _, _, worse = max(pairs, key=lambda p: (p[0], -p[1], -p[2]))
+        left.pop(worse)
+    return [names[int(c[1:])] for c in left]
+
+
+def execute(panel: DataFrame, formulations: list[str]) -> DataFrame:
+    """The panel with the programs as columns p0, p1, ..."""
+    return evaluate(panel, {f"p{i}": parse(t) for i, t in enumerate(formulations)}, max(50, len(formulations)))[0]

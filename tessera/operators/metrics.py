@@ -68,10 +68,16 @@ def long_only_ic(df: DataFrame, x: str, y: str) -> DataFrame:
     return sign.crossJoin(up).crossJoin(down).select(F.abs(F.when(c("mean_ic") >= 0, c("up")).otherwise(c("down"))).alias("long_only_ic"))
 
 
+def bucket_of(x: Column, n: int, *by: str) -> Column:
+    """1..n by percentile rank among a date's values (of each of `by`): n - floor((1 - pct) * n)."""
+    w = Window.partitionBy("period", *by, x.isNotNull())
+    rank = F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("period", *by, x)) - 1) / 2
+    return F.when(x.isNotNull(), (n - F.floor((1 - rank / F.count(F.lit(1)).over(w)) * n)).cast("int"))
+
+
 def bucketed(df: DataFrame, x: str, n: int = 10) -> DataFrame:
-    """bucket 1..n by percentile rank: n - floor((1 - pct) * n)."""
-    p = df.where(c(x).isNotNull())
-    return p.withColumn("bucket", (n - F.floor((1 - ranks(c(x)) / F.count(F.lit(1)).over(in_period())) * n)).cast("int"))
+    """The rows that have x, with their bucket."""
+    return df.where(c(x).isNotNull()).withColumn("bucket", bucket_of(c(x), n))
 
 
 def group_returns(df: DataFrame, x: str, ret: str, n: int = 10) -> DataFrame:

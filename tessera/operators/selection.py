@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import residual_of_many
+from .ranking import mean_ranks
 
 c = F.col
 
 
-def dependency_kind(features: Column, step1: list[str]) -> Column:
-    """constant_only without features; contains_step1 if any is derived; else base_only."""
-    known = F.array(*[F.lit(s) for s in step1]).cast("array<string>")
-    return F.when(F.size(features) == 0, "constant_only").when(F.exists(features, lambda f: F.array_contains(known, f)), "contains_step1").otherwise("base_only")
+def dependency_kind(features: Column, base: list[str], step1: list[str]) -> Column:
+    """constant_only without features; contains_step1 if any is derived; else base_only. A feature of neither kind is an error."""
+    known = lambda names: F.array(*[F.lit(s) for s in names]).cast("array<string>")
+    stranger = F.exists(features, lambda f: ~F.array_contains(known([*base, *step1]), f))
+    kind = F.when(F.size(features) == 0, "constant_only").when(F.exists(features, lambda f: F.array_contains(known(step1), f)), "contains_step1").otherwise("base_only")
+    return F.when(stranger, F.raise_error(F.lit("a feature without an origin"))).otherwise(kind)
 
 
 def passes_gate(score: Column, least: float) -> Column:
@@ -91,30 +96,48 @@ def _corr(a: str, b: str) -> Column:
 
 def paired_stats(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row on the differences b - a of the pairs that have both: pairs, mean_diff, mad, p95 (of the absolute differences), spearman, and the
-    signed-rank sum w_plus with its z. A row a compared candidate; the ranks are over all of them."""
+    signed-rank sum w_plus with its z and two-sided p of the normal approximation. A row a compared candidate; ranks are over all of them, by ranges of values."""
     p = df.where(c(a).isNotNull() & c(b).isNotNull()).select(c(a).alias("_a"), c(b).alias("_b"), (c(b) - c(a)).alias("_d"))
-    mean_rank = lambda x, *by: F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, x)) - 1) / 2
     size = F.abs("_d")
-    r = p.select("_d", mean_rank(c("_a")).alias("_ra"), mean_rank(c("_b")).alias("_rb"), F.when(c("_d") != 0, mean_rank(size, c("_d") != 0)).alias("_rd"))
-    n, plus = F.count("_rd"), F.coalesce(F.sum(F.when(c("_d") > 0, c("_rd"))), F.lit(0.0))
-    z = F.try_divide(plus - F.sum("_rd") / 2, F.sqrt(F.sum(c("_rd") * c("_rd"))) / 2)
-    return r.agg(
-        F.count(F.lit(1)).alias("pairs"), F.avg("_d").alias("mean_diff"), F.avg(size).alias("mad"), F.percentile(size, F.lit(0.95)).alias("p95"), _corr("_ra", "_rb").alias("spearman"),
-        n.alias("nonzero"), plus.alias("w_plus"), z.alias("z"),
-    )
+    ranked = p.join(mean_ranks(p, "_a", "_ra"), "_a").join(mean_ranks(p, "_b", "_rb"), "_b")
+    base = p.agg(F.count(F.lit(1)).alias("pairs"), F.avg("_d").alias("mean_diff"), F.avg(size).alias("mad"), F.percentile(size, F.lit(0.95)).alias("p95"))
+    # rows of one size of difference share a rank, so sizes are counted and the rows themselves stay
+    moved = p.where("_d != 0").select(size.alias("_s"), (c("_d") > 0).alias("_up"))
+    sizes = moved.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"), F.count(F.when(c("_up"), 1)).alias("_plus")).join(mean_ranks(moved, "_s", "_rd"), "_s")
+    plus, all_ = F.coalesce(F.sum(c("_plus") * c("_rd")), F.lit(0.0)), F.sum(c("_m") * c("_rd"))
+    z = F.try_divide(plus - all_ / 2, F.sqrt(F.sum(c("_m") * c("_rd") * c("_rd"))) / 2)
+    signed = sizes.agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("nonzero"), plus.alias("w_plus"), z.alias("z"))
+    return base.crossJoin(ranked.agg(_corr("_ra", "_rb").alias("spearman"))).crossJoin(signed.withColumn("p", _two_sided(c("z"))))
+
+
+def _two_sided(z: Column) -> Column:
+    """Probability that a normal variable is further from 0, by the rational approximation of the error function (error below 1.5e-7)."""
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)
 
 
 def bootstrap_mean(df: DataFrame, key: str, x: str, reps: int = 1000, seed: int = 11, share: float = 0.95) -> DataFrame:
     """mean, lo, hi: the mean of x and the bounds that `share` of its bootstrap means lie in. Each row counts in each repeat as often as a Poisson
-    variable of mean 1, drawn from a hash of seed, repeat and key, so rows are never gathered and reruns agree."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_rep", key), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    bounds, term, total = [], math.exp(-1), 0.0
-    for k in range(12):
-        total += term
-        bounds.append(total)
-        term /= k + 1
-    times = sum(((u > x_).cast("int") for x_ in bounds), F.lit(0))
-    rows = df.where(c(x).isNotNull()).select(key, x).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", times)
-    means = rows.groupBy("_rep").agg(F.try_divide(F.sum(c("_w") * c(x)), F.sum("_w")).alias("m"))  # one row a repeat
+    variable of mean 1, drawn from a hash of seed, repeat and key: a task adds up all repeats of its rows and gives one row a repeat, so rows are
+    never gathered or copied, and reruns agree."""
+    bounds = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def add_up(batches):
+        sums = np.zeros((2, reps))
+        rep = np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for pdf in batches:
+            for i in range(0, len(pdf), 256):
+                h = pdf.h.to_numpy()[i : i + 256].view(np.uint64)[:, None] ^ rep
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+                u = ((h ^ (h >> np.uint64(33))) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(bounds, u)
+                sums += (w * pdf.x.to_numpy()[i : i + 256, None]).sum(axis=0), w.sum(axis=0)
+        yield pd.DataFrame({"rep": np.arange(reps), "s": sums[0], "w": sums[1]})
+
+    rows = df.where(c(x).isNotNull()).select(F.xxhash64(F.lit(seed), key).alias("h"), c(x).cast("double").alias("x"))
+    means = rows.mapInPandas(add_up, "rep int, s double, w double").groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))  # one row a repeat
     whole = df.agg(F.avg(x).alias("mean"))
     return whole.crossJoin(means.agg(F.percentile("m", F.lit((1 - share) / 2)).alias("lo"), F.percentile("m", F.lit((1 + share) / 2)).alias("hi")))

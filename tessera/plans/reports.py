@@ -241,7 +241,7 @@ _CANDS = "cd AS (SELECT p_partkey AS idx, p_size % 5 AS generation, p_brand || '
 def _candidates(spark, sf_dir) -> DataFrame:
     features = F.when(c("p_partkey") % 3 == 0, F.array().cast("array<string>")).when(c("p_partkey") % 3 == 1, F.array(F.lit("f0"), F.lit("s1"))).otherwise(F.array(F.lit("f0")))
     return table(spark, sf_dir, "part").select(
-        c("p_partkey").alias("idx"), (c("p_size") % 5).alias("generation"), F.concat_ws("-", "p_brand", "p_type").alias("formulation"), (c("p_retailprice") / 10000 - 0.1).alias("ic"), selection.dependency_kind(features, ["s1"]).alias("kind")
+        c("p_partkey").alias("idx"), (c("p_size") % 5).alias("generation"), F.concat_ws("-", "p_brand", "p_type").alias("formulation"), (c("p_retailprice") / 10000 - 0.1).alias("ic"), selection.dependency_kind(features, ["f0"], ["s1"]).alias("kind")
     )
 
 
@@ -274,27 +274,26 @@ def input_coverage(spark, sf_dir):
 
 @report(None)
 def evolution(spark, sf_dir):
-    """A short seeded search; the records of all generations."""
+    """A seeded search of the module's own size; the records of all generations."""
     panel = part_panel(spark, sf_dir).select("entity", "period", "qidx", "industry", "x", "y", "fwd_ret")
-    ops = ["cs_add", "cs_sub", "cs_mul", "cs_rank", "cs_zscore", "ts_mean_4", "ts_delta_1", "ts_std_2"]
-    records = gp.evolve(panel, ops, ["x", "y"], s=gp.Settings(population=8, generations=2))
+    ops = ["cs_add", "cs_sub", "cs_mul", "cs_div", "cs_rank", "cs_zscore", "cs_abs", "cs_neg", "cs_demean", "ts_mean_4", "ts_delta_1", "ts_std_2", "ts_delay_1", "ts_max_4", "ts_min_4", "ts_pct_1"]
+    records = gp.evolve(panel, ops, ["x", "y"])
     return spark.createDataFrame(records, "generation int, idx int, formulation string, ic double, method string, n_nodes int")
 
 
-_PD = "pd AS (SELECT x, y * 1000 AS y, y * 1000 - x AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND qidx = 3)"
+_PD = "pd AS (SELECT x, y * 1000 AS y, y * 1000 - x AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL)"
 
 
 @report(panel_sql(f"{_PD}, rr AS (SELECT d, {avg_rank('x', '1')} AS ra, {avg_rank('y', '1')} AS rb, CASE WHEN d <> 0 THEN rank() OVER (PARTITION BY d <> 0 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY d <> 0, abs(d)) - 1) / 2::DOUBLE END AS rd FROM pd) SELECT count(*) AS pairs, round(avg(d), 4) AS mean_diff, round(avg(abs(d)), 4) AS mad, round(quantile_cont(abs(d), 0.95), 4) AS p95, round(corr(ra, rb), 6) AS spearman, count(rd) AS nonzero, coalesce(sum(rd) FILTER (d > 0), 0)::DOUBLE AS w_plus, round((coalesce(sum(rd) FILTER (d > 0), 0) - sum(rd) / 2) / (sqrt(sum(rd * rd)) / 2), 6) AS z FROM rr"))
 def paired_stats(spark, sf_dir):
-    """Two scores of the entities of one quarter, compared."""
-    p = part_panel(spark, sf_dir).where("qidx = 3").withColumn("y", c("y") * 1000)
-    s = selection.paired_stats(p, "x", "y")
+    """Two scores of all cells of the panel, compared."""
+    s = selection.paired_stats(part_panel(spark, sf_dir).withColumn("y", c("y") * 1000), "x", "y")
     return s.select("pairs", *[R(n, 4).alias(n) for n in ("mean_diff", "mad", "p95")], R("spearman").alias("spearman"), "nonzero", "w_plus", R("z").alias("z"))
 
 
 @report(None)
 def bootstrap_interval(spark, sf_dir):
-    return selection.bootstrap_mean(part_panel(spark, sf_dir).where("qidx = 3"), "entity", "x", reps=200)
+    return selection.bootstrap_mean(part_panel(spark, sf_dir).withColumn("cell", F.xxhash64("entity", "qidx")), "cell", "x")
 
 
 @report(None)

@@ -63,13 +63,78 @@ def unpivoted(wide: DataFrame, key: str, name: str, value: str) -> DataFrame:
     return wide.unpivot([key], [c for c in wide.columns if c != key], name, value)
 
 
-def statements(spark: SparkSession, path: str, schema: str, fields: list[str]) -> DataFrame:
-    """A statement CSV: only its named fields; main consolidated rows of six-digit tickers on the two exchanges at quarter ends; ids zero-padded with suffix."""
+def statements(spark: SparkSession, path: str, schema: str, fields: list[str], industry: str | None = None) -> DataFrame:
+    """A statement CSV: only its named fields; main consolidated rows (of one INDUSTRY_CATEGORY, where given) of tickers of six digits on the two exchanges,
+    at quarter ends; entity is the ticker with its suffix, period the end of the quarter that END_DATE lies in."""
     df = spark.read.schema(schema).option("header", True).csv(path).select(*fields)
-    end = F.last_day(F.try_to_timestamp("END_DATE").cast("date"))
-    ok = (F.col("MERGED_FLAG") == 1) & F.col("EXCHANGE_CD").isin("XSHG", "XSHE") & F.col("TICKER_SYMBOL").rlike("^[0-9]{1,6}$") & F.month(end).isin(3, 6, 9, 12)
-    suffix = F.when(F.col("EXCHANGE_CD") == "XSHG", ".SH").otherwise(".SZ")
-    return df.where(ok).withColumns({"entity": F.concat(F.lpad("TICKER_SYMBOL", 6, "0"), suffix), "period": end})
+    end = F.last_day(F.add_months(F.date_trunc("quarter", F.try_to_timestamp("END_DATE")), 2))
+    ok = (F.col("MERGED_FLAG") == 1) & F.col("EXCHANGE_CD").isin("XSHG", "XSHE") & F.col("TICKER_SYMBOL").rlike("^[0-9]{6}$") & end.isNotNull()
+    if industry is not None:
+        ok &= F.col("INDUSTRY_CATEGORY") == industry
+    return df.where(ok).withColumns({"entity": entity_id(F.col("TICKER_SYMBOL"), F.col("EXCHANGE_CD")), "period": end})
+
+
+def entity_id(ticker: Column, exchange: Column) -> Column:
+    """The ticker, filled up to six digits, with its exchange's suffix; none for an exchange unknown."""
+    suffix = F.when(exchange == "XSHG", ".SH").when(exchange == "XSHE", ".SZ").when(exchange == "XBSE", ".BJ").otherwise("")
+    return F.concat(F.lpad(ticker, 6, "0"), suffix)
+
+
+def features_of(df: DataFrame, names: list[str]) -> DataFrame:
+    """The panel's keys and the named features, in that order; a feature that is not there is an error that names it."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise KeyError(f"no such feature: {', '.join(missing)}")
+    return df.select("entity", "period", *names)
+
+
+def checked_coverage(df: DataFrame, names: list[str], least: float = 0.9) -> DataFrame:
+    """feature, period, coverage of every feature and period; an error that names those below `least`."""
+    cover = df.groupBy("period").agg(*[(F.count(n) / F.count(F.lit(1))).alias(n) for n in names]).unpivot(["period"], names, "feature", "coverage")
+    low = cover.where(F.col("coverage") < least).limit(5).collect()
+    if low:
+        raise ValueError("coverage below " + f"{least}: " + ", ".join(f"{r.feature} at {r.period} {r.coverage:.3f}" for r in low))
+    return cover
+
+
+def union_of_axes(frames: dict[str, DataFrame]) -> DataFrame:
+    """Frames (entity, period, ...) on the union of their entities and of their periods; columns are named frame_column."""
+    keys = [df.select("entity", "period") for df in frames.values()]
+    every = keys[0]
+    for k in keys[1:]:
+        every = every.unionByName(k)
+    grid = dense(every.distinct()).select("entity", "period", "qidx")
+    for name, df in frames.items():
+        grid = grid.join(df.select("entity", "period", *[F.col(x).alias(f"{name}_{x}") for x in df.columns if x not in ("entity", "period")]), ["entity", "period"], "left")
+    return grid
+
+
+def shared_dates(a: DataFrame, b: DataFrame, date: str) -> DataFrame:
+    """The rows of a on dates that b has too; dates are few, as a calendar bounds them."""
+    return a.join(F.broadcast(b.select(date).distinct()), date, "left_semi")
+
+
+def between(df: DataFrame, date: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """The rows of a span of dates, both ends included; an end that is not given is open."""
+    if first is not None:
+        df = df.where(F.col(date) >= F.lit(first).cast("date"))
+    return df if last is None else df.where(F.col(date) <= F.lit(last).cast("date"))
+
+
+def evaluated(date: Column, first: str, last: str) -> Column:
+    """Whether a date counts in an evaluation."""
+    return F.coalesce(date.between(F.lit(first).cast("date"), F.lit(last).cast("date")), F.lit(False))
+
+
+def daily_wide(spark: SparkSession, folder: str, name: str, key: str = "entity", first: str | None = None, last: str | None = None) -> DataFrame:
+    """entity, day, value of a wide CSV (a row an entity, a column a date) of a folder; of one named <name>_fill where <name> is not there."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    here = [fs.Path(f"{folder}/{n}.csv") for n in (name, f"{name}_fill")]
+    there = [p.toString() for p in here if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)]
+    if not there:
+        raise FileNotFoundError(f"{folder} has neither {name}.csv nor {name}_fill.csv")
+    wide = spark.read.option("header", True).csv(there[0])
+    long = unpivoted(wide, key, "day", "value").select(F.col(key).alias("entity"), F.to_date("day").alias("day"), F.expr("try_cast(value as double)").alias("value"))
+    return between(long, "day", first, last)
 
 
 def write_panel(df: DataFrame, path: str, by: str = "entity") -> None:

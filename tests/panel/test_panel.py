@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from collections import Counter
 
 import pytest
 
@@ -111,6 +112,7 @@ def test_counts():
     assert len(OPERATORS) == 45 and len(FAMILIES) == 73
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"evolution", "forward_selection", "bootstrap_interval"}
+    assert len(catalog.queries()) > 180
 
 
 def test_expressions(spark):
@@ -152,7 +154,7 @@ def test_metrics(spark):
     assert metrics.fitness(df, "x", "y", min_pairs=20).first().fitness == pytest.approx(0, abs=1e-12)
     assert metrics.fitness(df, "x", "y", min_pairs=21).first().fitness == -1
     g = metrics.group_returns(df, "x", "y").where("period = date'2020-01-01'").collect()
-    assert sorted(r.bucket for r in g)[-1] == 11 or len(g) == 10
+    assert {r.bucket: r.members for r in g} == Counter(10 - math.floor((1 - k / 20) * 10) for k in range(1, 21))
     r = metrics.residual_of_many(panel(spark, xs, ys), "x", ["y"]).collect()
     assert len(r) == 40 and all(abs(x.residual) < 1e-9 for x in r)
 
@@ -188,7 +190,7 @@ def test_ingest(spark, tmp_path):
     assert [r.p for r in days.collect()] == ["2020-09-30", "2020-09-30", "2021-03-31", "2021-06-30"]
     assert dense(spark.createDataFrame([(1, day(0), 1.0), (2, day(2), 2.0)], "entity long, period date, x double")).count() == 4
     assert unpivoted(spark.createDataFrame([(1, 2.0, 3.0)], "k int, a double, b double"), "k", "n", "v").count() == 2
-    (tmp_path / "s.csv").write_text("TICKER_SYMBOL,EXCHANGE_CD,END_DATE,MERGED_FLAG,A,B\n1,XSHE,2020-03-31,1,5,6\n600000,XSHG,2020-06-30,2,5,6\n600001,XSHG,2020-05-31,1,5,6\nAB,XSHG,2020-06-30,1,1,1\n600002,XSHG,bad,1,1,1\n")
+    (tmp_path / "s.csv").write_text("TICKER_SYMBOL,EXCHANGE_CD,END_DATE,MERGED_FLAG,A,B\n1,XSHE,2020-03-31,1,5,6\n000001,XSHE,2020-03-30,1,5,6\n600000,XSHG,2020-06-30,2,5,6\nAB,XSHG,2020-06-30,1,1,1\n600002,XSHG,bad,1,1,1\n600003,XBSE,2020-06-30,1,1,1\n")
     s = statements(spark, str(tmp_path / "s.csv"), "TICKER_SYMBOL string, EXCHANGE_CD string, END_DATE string, MERGED_FLAG int, A double, B double", ["TICKER_SYMBOL", "EXCHANGE_CD", "END_DATE", "MERGED_FLAG", "A"])
     assert [(r.entity, str(r.period), r.A) for r in s.collect()] == [("000001.SZ", "2020-03-31", 5.0)]
 
@@ -239,3 +241,184 @@ def test_paired_stats(spark):
     half = 1.96 * math.sqrt(33.25 / 400)
     assert b.mean == 9.5 and b.lo == pytest.approx(9.5 - half, abs=0.2) and b.hi == pytest.approx(9.5 + half, abs=0.2)
     assert selection.bootstrap_mean(wide.limit(0), "k", "x", reps=3).first().mean is None
+
+
+def test_policy():
+    from tessera.operators import candidates
+
+    assert candidates.population_target(249, 10) == 2490
+    for bad in (0, -1, 2.5, True):
+        with pytest.raises(ValueError):
+            candidates.population_target(249, bad)
+    with pytest.raises(ValueError):
+        candidates.population_target(0, 3)
+    groups = [{"source_group": g} for g in ("gate1", "base", "x20_a", "x100_b", "step1")]
+    assert candidates.feature_origins([*"abcde"], groups) == ["base", "base", "step1", "step1", "step1"]
+    assert candidates.feature_origins(["a"], [{"source_group": "?", "origin": "step1"}]) == ["step1"]
+    for names, mapping in ((["a"], [{"source_group": "unknown"}]), (["a", "b"], groups[:1])):
+        with pytest.raises(ValueError):
+            candidates.feature_origins(names, mapping)
+
+
+def test_provenance_and_gate(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import candidates
+
+    rows = spark.createDataFrame([(["b0"],), (["b0", "s1"],), ([],)], "f array<string>")
+    kind = selection.dependency_kind(F.col("f"), ["b0"], ["s1"])
+    assert [r[0] for r in rows.select(kind).collect()] == ["base_only", "contains_step1", "constant_only"]
+    with pytest.raises(Exception, match="without an origin"):
+        spark.createDataFrame([(["x9"],)], "f array<string>").select(kind).collect()
+    pool = spark.createDataFrame([(0.009,), (0.01,), (float("nan"),), (None,)], "s double")
+    assert [r.s for r in candidates.gated(pool, "s", 0.01).collect()] == [0.01] and candidates.gated(pool, "s", None).count() == 2
+    with pytest.raises(ValueError):
+        candidates.gated(pool, "s", 0.5)
+
+
+def test_post_run(spark):
+    import random
+
+    from tessera.operators import candidates
+
+    rng = random.Random(42)
+    p = panel(spark, {e: [rng.gauss(0, 1) for _ in range(8)] for e in range(60)}, {e: [rng.gauss(0, 1) for _ in range(8)] for e in range(60)})
+    three = [("a", parse("x"), 0.08), ("b", parse("cs_mul(x, 2.0)"), 0.07), ("c", parse("y"), 0.06)]
+    assert candidates.post_run(three[:2], p)["kept"] == ["a"] and candidates.post_run(three, p)["kept"] == ["a", "c"]
+
+    def forbidden(*_):
+        raise RuntimeError("must not be computed")
+
+    low = candidates.post_run([("low", parse("x"), 0.039), ("none", parse("x"), None)], p, materialise=forbidden)
+    assert (low["status"], low["materialised"], low["after_filter"]) == ("completed", 0, 0) and candidates.post_run([], p, materialise=forbidden)["after_filter"] == 0
+    failed = candidates.post_run(three, p, materialise=forbidden)
+    assert (failed["status"], failed["stage"]) == ("failed", "materialise")
+
+
+def test_search_controls(spark):
+    import random
+
+    rng = random.Random(1)
+    p = panel(spark, {e: [rng.random() for _ in range(4)] for e in range(40)}, {e: [rng.random() for _ in range(4)] for e in range(40)})
+    ops = ["cs_add", "cs_rank", "ts_delay_1"]
+    first = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2, stop=-2.0))
+    assert {r["generation"] for r in first} == {0}
+    plain = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0))
+    costly = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0, parsimony=0.5, penalty_weight=0.2), judged={plain[0]["formulation"]: 5.0})
+    for a, b in zip(plain, costly):
+        owed = 0.1 if a["formulation"] == plain[0]["formulation"] and a["ic"] >= 0 else 0.0
+        assert a["fitness"] == a["ic"] and b["fitness"] == pytest.approx(b["ic"] - owed - 0.5 * b["n_nodes"])
+    auto = gp.Settings(parsimony="auto")
+    assert gp.parsimony_coefficient([1, 2, 3], [1.0, 2.0, 3.0], auto) == pytest.approx(1.5) and gp.parsimony_coefficient([2, 2], [1.0, 3.0], auto) == 0
+    only = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0), crossover_ops=["cs_mul"])
+    assert all("cs_rank(" not in r["formulation"] or r["n_nodes"] == 2 for r in only)
+    records = spark.createDataFrame([(0, i, t, v) for i, (t, v) in enumerate([("x", 0.5), ("cs_mul(x, 2.0)", 0.4), ("y", 0.3), ("x", 0.2)])], "generation int, idx int, formulation string, ic double")
+    assert gp.best_programs(p, records, 3, 2) == ["x", "y"] and gp.best_programs(p, records, 9, 9) == ["x", "cs_mul(x, 2.0)", "y"]
+    assert gp.execute(p, ["cs_add(x, y)"]).where("abs(p0 - x - y) < 1e-12").count() == 160
+
+
+def test_scores_see_through_lines(spark):
+    import random
+
+    rng = random.Random(2)
+    p = panel(spark, {e: [rng.random() if q < 3 else 0.5 for q in range(4)] for e in range(40)}, {e: [rng.random() for _ in range(4)] for e in range(40)})
+    got = gp.ic_series(p, [parse("cs_zscore(cs_demean(x))"), parse("cs_neg(x)"), parse("x")], "y")
+    a, b, c_ = (got[str(canonical(parse(t)))] for t in ("cs_zscore(cs_demean(x))", "cs_neg(x)", "x"))
+    assert len(a) == len(c_) == 3 and all(a[d] == pytest.approx(c_[d]) == pytest.approx(-b[d]) for d in c_)
+
+
+def test_metric_registry(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import fitness
+
+    p = panel(spark, {e: [float(e), float(-e)] for e in range(30)}, {e: [float(e * e), float(e)] for e in range(30)})
+    assert fitness.metric("alert_ic", p, "x", "y").first().value == pytest.approx(0) and fitness.metric("spearman", p, "x", "x").first().value == pytest.approx(1)
+    nothing = p.withColumn("x", F.lit(None).cast("double"))
+    assert [fitness.metric(n, nothing, "x", "y", styles=["x"]).first().value for n in ("pearson", "alert_pearson", "alert_icir", "neutral_ic", "hedge_sharpe")] == [0, -1, -100, 0, -100]
+    fitness.register_metric("most", lambda df, x, y: df.agg(F.max(x).alias("value")), True, p)
+    assert fitness.metric("most", p, "x", "y").first().value == 29
+    for bad in ((lambda df, x, y: df.select(F.col(x).alias("value")), True), (lambda df, x: df, True), (lambda df, x, y: df, "yes")):
+        with pytest.raises(ValueError):
+            fitness.register_metric("bad", *bad, p)
+    with pytest.raises(KeyError):
+        fitness.metric("bad", p, "x", "y")
+
+
+def test_residual_of_dependent_regressors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(e, day(q), *map(float, rng.normal(size=2)), 7.0, float(rng.normal())) for e in range(40) for q in range(2)] + [(99, day(0), None, 1.0, 7.0, 1.0), (1, day(2), 1.0, 1.0, 7.0, 1.0)]
+    df = spark.createDataFrame(rows, "entity long, period date, a double, b double, flat double, y double").selectExpr("*", "a + 2 * b as twin")
+    got = {(r.entity, r.period): r.residual for r in metrics.residual_of_many(df, "y", ["a", "b", "flat", "twin"]).collect()}
+    for q in range(2):
+        own = [r for r in rows if r[1] == day(q) and r[2] is not None]
+        x = np.array([[1, r[2], r[3]] for r in own])
+        y = np.array([r[5] for r in own])
+        want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert all(got[r[0], r[1]] == pytest.approx(w, abs=1e-8) for r, w in zip(own, want))
+    assert got[99, day(0)] is None and got[1, day(2)] is None
+
+
+def test_mean_ranks(spark):
+    from tessera.operators.ranking import mean_ranks
+
+    xs = [float(i % 37 if i % 3 else 5) for i in range(900)]
+    df = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double")
+    got = {r.x: r.k for r in mean_ranks(df, "x", "k", 8).collect()}
+    assert got == {v: sum(x < v for x in xs) + (xs.count(v) + 1) / 2 for v in set(xs)}
+    assert mean_ranks(df.limit(0), "x", "k").count() == 0
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.sources import formula, results
+    from tessera.sources import panel as source
+
+    p = panel(spark, {1: [1.0, None, 3.0], 2: [4.0, 5.0, 6.0]}, {1: [1.0, 2.0, 0.0], 2: [1.0, 1.0, 1.0]})
+    with pytest.raises(KeyError, match="nope"):
+        source.features_of(p, ["x", "nope"])
+    assert source.features_of(p, ["y", "x"]).columns == ["entity", "period", "y", "x"]
+    with pytest.raises(ValueError, match="x at 2020-04-01 0.500"):
+        source.checked_coverage(p, ["x", "y"])
+    assert source.checked_coverage(p, ["y"]).count() == 3
+    with pytest.raises(KeyError):
+        formula.with_formulas(p, {"f": "TTM(nope)"})
+    got = formula.with_formulas(p, {"f": "diff1q(x / y)", "g": "x / y"}).orderBy("entity", "qidx").collect()
+    assert [(r.f, r.g) for r in got] == [(None, 1.0), (None, None), (None, None), (None, 4.0), (1.0, 5.0), (1.0, 6.0)]
+    results.write_factors(p, ["x", "y"], f"{tmp_path}/factors")
+    wide = results.factor_wide(spark, f"{tmp_path}/factors", "x").orderBy("period").collect()
+    assert [(r["1"], r["2"]) for r in wide] == [(1.0, 4.0), (None, 5.0), (3.0, 6.0)] and results.factor_wide(spark, f"{tmp_path}/factors", "x", "entity").count() == 2
+    assert {r.factor for r in results.finished(spark, f"{tmp_path}/factors").collect()} == {"x", "y"} and results.finished(spark, f"{tmp_path}/none").count() == 0
+    results.write_generations(spark.createDataFrame([(g, f"f{g}") for g in range(9)], "generation int, formulation string"), f"{tmp_path}/run")
+    assert results.snapshot(spark, f"{tmp_path}/run", 4).count() == 5
+    for at, v in ((1, 7.0), (2, 3.0)):
+        results.append_scores(spark.createDataFrame([("e", "m", v, at)], "expression string, model string, score double, at int"), f"{tmp_path}/scores")
+    assert [tuple(r) for r in results.scores(spark, f"{tmp_path}/scores").collect()] == [("e", "m", 7.0, 1)]
+    (tmp_path / "usage.jsonl").write_text('{"prompt_tokens": 3, "completion_tokens": 4, "total_tokens": 7}\n{"prompt_tokens": 5}\n')
+    assert tuple(results.token_usage(spark, f"{tmp_path}/usage.jsonl").first()) == (2, 8, 4, 7)
+    (tmp_path / "ret_fill.csv").write_text("entity,2024-01-02,2024-01-03\na,1.5,\nb,x,2\n")
+    daily = source.daily_wide(spark, str(tmp_path), "ret", first="2024-01-03").orderBy("entity").collect()
+    assert [(r.entity, str(r.day), r.value) for r in daily] == [("a", "2024-01-03", None), ("b", "2024-01-03", 2.0)]
+    with pytest.raises(FileNotFoundError):
+        source.daily_wide(spark, str(tmp_path), "other")
+    assert results.union_all([p.select("entity"), p.select("entity", "x")]).where(F.col("x").isNull()).count() == 7
+
+
+def test_period_sums_of_a_stream(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tessera.streaming.incremental import period_sums
+
+    rows = [("2024-12-10", 1, 2.0), ("2025-01-10", 1, 3.0), ("2024-11-01", 2, 1.0), ("2025-05-02", 1, 9.0)]
+    days = spark.createDataFrame(rows, "d string, k long, v double").select(F.to_timestamp("d").alias("ts"), "k", "v")
+    want = {(1, "2024-09-30"): (5.0, 2), (2, "2024-09-30"): (1.0, 1), (1, "2025-03-31"): (9.0, 1)}
+    read = lambda df: {(r.k, str(r.period)): (r.total, r.rows) for r in df.collect()}
+    assert read(period_sums(days, "ts", "k", "v")) == want
+    days.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(days.schema).parquet(f"{tmp_path}/in")
+    q = period_sums(stream, "ts", "k", "v").writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert read(spark.table("sums")) == want
