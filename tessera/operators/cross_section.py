@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.elementwise import BINARY, TERNARY, UNARY, both, ratio
-from ..plans.flow import Flow, across
+from ..plans.flow import Flow
 
 c = F.col
 
 
-def average_rank(x: str, *by: str) -> Column:
-    """1 for the smallest; ties share their mean rank; null stays null."""
-    w = Window.partitionBy("period", *by, c(x).isNotNull())
-    ties = F.count(F.lit(1)).over(Window.partitionBy("period", *by, x))
-    return F.when(c(x).isNotNull(), F.rank().over(w.orderBy(x)) + (ties - 1) / 2)
+def average_rank(f: Flow, x: str, *by: str) -> str:
+    """1 for the smallest of a date (and of `by`); ties share their mean rank; null stays null.
+
+    In f.parts ranges, between approximate quantiles of the date: a value's rank is the number of values in the ranges below and its rank in its own.
+    """
+    if f.parts < 2:
+        w = Window.partitionBy("period", *by, c(x).isNotNull())
+        ties = F.count(F.lit(1)).over(Window.partitionBy("period", *by, x))
+        return f.cs(F.when(c(x).isNotNull(), F.rank().over(w.orderBy(x)) + (ties - 1) / 2), x, *by)
+    group = ("period", *by)
+    bounds = f.ag(F.percentile_approx(x, [i / f.parts for i in range(1, f.parts)], 100 * f.parts), x, *by, by=group)
+    part = f.ew(F.when(c(x).isNotNull(), F.size(F.filter(bounds, lambda b: b < c(x)))), x, bounds)
+    sizes = f.ag(F.array(*[F.count(F.when(c(part) == i, 1)) for i in range(f.parts)]), part, *by, by=group)
+    below = F.aggregate(F.slice(sizes, 1, c(part)), F.lit(0).cast("long"), lambda a, n: a + n)
+    w = Window.partitionBy(*group, part)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, part, x))
+    inside = f.cs(F.rank().over(w.orderBy(x)) + (ties - 1) / 2, x, part, *by)
+    return f.ew(F.when(c(x).isNotNull(), below + c(inside)), x, part, sizes, inside)
 
 
 def mean_and_dev(f: Flow, x: str, by: tuple[str, ...] = ("period",)) -> tuple[str, str]:
@@ -28,11 +41,13 @@ def zscore(f: Flow, x: str) -> str:
 
 
 def rank(f: Flow, x: str) -> str:
-    return f.cs(average_rank(x), x)
+    return average_rank(f, x)
 
 
 def pct_rank(f: Flow, x: str, *by: str) -> str:
-    return f.cs(average_rank(x, *by) / F.count(x).over(across(*by)), x, *by)
+    """The rank over the number of values."""
+    r, n = average_rank(f, x, *by), f.ag(F.count(x), x, *by, by=("period", *by))
+    return f.ew(c(r) / c(n), r, n)
 
 
 def residual(f: Flow, y: str, x: str) -> str:
@@ -59,7 +74,8 @@ def ind_neutral(f: Flow, x: str) -> str:
 
 
 def ind_rank(f: Flow, x: str) -> str:
-    return f.cs(F.when(c("industry") > 0, average_rank(x, "industry") / F.count(x).over(across("industry"))), x)
+    r = pct_rank(f, x, "industry")
+    return f.ew(F.when(c("industry") > 0, c(r)), r)
 
 
 def demean(f: Flow, x: str) -> str:
@@ -95,13 +111,13 @@ def fold(f: Flow, x: str) -> str:
 def double_scored(f: Flow, x: str, y: str) -> str:
     """Half the percentile rank of x, half that of y inside x's quintile (edges from the linear percentiles, repeated ones once)."""
     px, py = f.ew(both(c(y), c(x), c(x)), x, y), f.ew(both(c(x), c(y), c(y)), x, y)
-    n = F.count(px).over(across())
-    rx = f.cs(F.when(n >= 5, average_rank(px) / n), px)
-    edges = f.cs(F.array_distinct(F.percentile(rx, F.array(*[F.lit(i / 5) for i in range(6)])).over(across())), rx)
+    r, n = average_rank(f, px), f.ag(F.count(px), px)
+    rx = f.ew(F.when(c(n) >= 5, c(r) / c(n)), r, n)
+    edges = f.ag(F.array_distinct(F.percentile(rx, F.array(*[F.lit(i / 5) for i in range(6)]))), rx)
     # right-closed bins, the lowest value in the first
     bin_ = f.ew(F.when(c(rx).isNotNull(), F.greatest(F.lit(1), F.size(F.filter(edges, lambda e: e < c(rx))))), rx, edges)
-    inside = f.cs(F.count(py).over(across(bin_)), py, bin_)
-    ry = f.cs(average_rank(py, bin_) / F.count(py).over(across(bin_)), py, bin_)
+    inside = f.ag(F.count(py), py, bin_, by=("period", bin_))
+    ry = pct_rank(f, py, bin_)
     return f.ew(F.when(c(rx).isNotNull() & (c(inside) >= 2), 0.5 * c(rx) + 0.5 * c(ry)), rx, ry, inside)
 
 

@@ -15,11 +15,12 @@ class Flow:
 
     A figure of a whole date (a mean, a deviation, a slope) is a sum: it is aggregated where the rows are and comes back by broadcast, so the
     panel is not moved for it. A calendar bounds that table: a century of days has 36,525 rows, times the industries where
-    sums are by industry. Only ranks need the rows of a date in order, and so an exchange by period.
+    sums are by industry. Only ranks need the rows of a date in order, and so an exchange by period; with `parts`, a date's rows are ranked in as many
+    ranges of values apart, so that a date is no one's task. Ranks are the same then, for two more aggregations.
     """
 
-    def __init__(self, df: DataFrame):
-        self.df, self.steps, self.memo = df, {}, {}
+    def __init__(self, df: DataFrame, parts: int = 1):
+        self.df, self.steps, self.memo, self.parts = df, {}, {}, parts
         self.count = 0
 
     def step(self, kind: str | tuple, col: Column, deps: tuple[str, ...]) -> str:

@@ -422,3 +422,19 @@ def test_period_sums_of_a_stream(spark, tmp_path):
     q = period_sums(stream, "ts", "k", "v").writeStream.format("memory").queryName("sums").outputMode("complete").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert read(spark.table("sums")) == want
+
+
+@pytest.mark.parametrize("text", ["cs_rank(x)", "cs_indrank(x)", "cs_fold(x)", "cs_rank_diff(x, y)", "cs_double_scored(x, y)"])
+def test_ranks_in_parts(spark, text):
+    """A date's rows ranked in ranges of values apart have the ranks of the whole date, with ties, nulls and dates without a value."""
+    import random
+
+    rng = random.Random(5)
+    cell = lambda q: None if rng.random() < 0.2 or q == 2 else float(rng.randrange(30)) if q else 7.0
+    df = panel(spark, {e: [cell(q) for q in range(4)] for e in range(90)}, {e: [cell(q) for q in range(4)] for e in range(90)}, industry=[e % 4 for e in range(90)])
+    got = []
+    for parts in (1, 6):
+        f = Flow(df, parts)
+        got.append({(r.entity, r.qidx): r.v for r in f.run({"v": build(f, parse(text))}).select("entity", "qidx", "v").collect()})
+    assert got[0].keys() == got[1].keys() and any(v is not None for v in got[0].values())
+    assert all(got[1][k] == (v if v is None else pytest.approx(v)) for k, v in got[0].items())
