@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, by_hot_key, by_ids, chunks, cut, mixed, scratch, small_batches
@@ -307,6 +307,35 @@ def _decide(k: int):
     return decide
 
 
+def dealt(df: DataFrame, keys: list[str], nth: Column) -> DataFrame:
+    """Rows by the groups of keys, sorted by them. The blocks of one tile (or class), numbered by nth, go to partitions one after another, so
+    that few meet in one task by chance."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(n, F.pmod(F.xxhash64(keys[0]) % n + nth, F.lit(n)).cast("int")).sortWithinPartitions(*keys)
+
+
+def _by_group(keys: list[str], f):
+    """f of each group of rows with equal keys, which come one after another; one group is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for pdf in batches:
+            k = pdf[keys].to_numpy()
+            edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if b > a:
+                    key = tuple(k[a])
+                    if held and key != now:
+                        yield f(pd.concat(held, ignore_index=True))
+                        held = []
+                    held.append(pdf[a:b])
+                    now = key
+        if held:
+            yield f(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def _side(df: DataFrame, x: str) -> DataFrame:
     return df.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}{c}") for c in df.columns if c != "doc_id"])
 
@@ -352,7 +381,7 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         several = s.cut(large.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1"))
         large = by_hot_key(large.drop("n"), several, "tile").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         large = s.cut(large.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)")))
-        leaders = large.join(sig.hint("shuffle_merge"), "doc_id").groupBy("tile", "part").applyInPandas(_of_leaders, "a long, b long")
+        leaders = dealt(large.join(sig.hint("shuffle_merge"), "doc_id"), ["tile", "part"], F.col("part")).mapInPandas(_by_group(["tile", "part"], _of_leaders), "a long, b long")
         candidates = s.cut(near(found.where("not large").select("a", "b").union(leaders).distinct()))
         # what candidates connect so far; of large tiles' pairs only those that would still join two classes say more
         classes = components(candidates)
@@ -360,7 +389,8 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         open_ = parts.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tile")
         parts = by_hot_key(parts, s.cut(open_), "tile", "inner").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         parts = parts.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(sig.hint("shuffle_merge"), "doc_id")
-        rest = s.cut(parts.groupBy("tile", "i", "j").applyInPandas(_across, "a long, b long").distinct())
+        parts = dealt(parts, ["tile", "i", "j"], F.col("i") * F.col("blocks") + F.col("j"))
+        rest = s.cut(parts.mapInPandas(_by_group(["tile", "i", "j"], _across), "a long, b long").distinct())
         if rest.limit(1).count():
             star = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
             classes = components(star.union(rest))
@@ -368,10 +398,10 @@ def ngram_join(docs: DataFrame, k: int = 5) -> DataFrame:
         placed = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class_id")).join(sig.select("doc_id", "n").hint("shuffle_merge"), "doc_id")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / ELEMENTS)).cast("int")
         placed = placed.join(placed.groupBy("class_id").agg(blocks.alias("blocks")), "class_id").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "class_id", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("doc_id", "class_id", "blocks", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         placed = s.cut(placed)
         some = once(by_ids(texts, s.cut(placed.select("doc_id").distinct()), "doc_id", "left_semi")) if repeated else texts
-        some = by_ids(some, placed, "doc_id", "inner").repartition("class_id", "i", "j").sortWithinPartitions("class_id", "i", "j")
+        some = dealt(by_ids(some, placed, "doc_id", "inner"), ["class_id", "i", "j"], F.col("i") * F.col("blocks") + F.col("j"))
         linked = s.cut(some.mapInPandas(_decide(k), "doc_id long, near long, n_links long"))
         classes = components(linked, "doc_id", "near")
         number = linked.groupBy(F.col("doc_id").alias("owner")).agg(F.sum("n_links").alias("n_links"))

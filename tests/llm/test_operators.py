@@ -269,6 +269,15 @@ def test_runs_hold_no_large_tile_whole():
                 assert n == sizes[t] if not part else sizes[t] > nj.SMALL
 
 
+def test_groups_over_batches():
+    rows = pd.DataFrame({"tile": [1] * 5 + [2] * 3 + [2] * 4 + [9], "part": [0] * 8 + [1] * 5, "doc_id": range(13)})
+    for step in (1, 2, 5, 20):
+        batches = [rows[:0], *[rows[i : i + step] for i in range(0, 13, step)], rows[:0]]
+        got = list(nj._by_group(["tile", "part"], lambda g: g)(iter(batches)))
+        assert [g.doc_id.tolist() for g in got] == [[*range(5)], [5, 6, 7], [8, 9, 10, 11], [12]]
+    assert list(nj._by_group(["tile"], lambda g: g)(iter([]))) == []
+
+
 def test_sharding(docs):
     rows = plain(docs)
     got = shard(docs, 4).collect()
