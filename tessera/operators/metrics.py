@@ -104,11 +104,36 @@ def hedge_sharpe(df: DataFrame, x: str, ret: str, periods: int = 250, n: int = 1
     return per.agg(F.coalesce(F.when(total("_lo") > total("_hi"), sharpe("_lo")).otherwise(sharpe("_hi")), F.lit(-100.0)).alias("hedge_sharpe"))
 
 
-def monotonicity(returns: DataFrame) -> DataFrame:
-    """Sum of the distances between each bucket's number and the rank of its mean return, over 50."""
+def monotonicity(returns: DataFrame, rising: bool = True, mode: str = "full") -> DataFrame:
+    """Sum of the distances between each bucket's number and the rank of its mean return (falling ones ranked from the top), over 50. longonly looks at
+    the half that is held: the upper five buckets if returns rise with the factor, else the lower five, over 12."""
     m = returns.groupBy("bucket").agg(F.avg("ret").alias("ret"))  # one row a bucket
-    r = m.withColumn("_r", F.rank().over(Window.orderBy("ret")))
-    return r.agg((F.sum(F.abs(c("bucket") - c("_r"))) / 50).alias("mono"))
+    if mode not in ("full", "longonly"):
+        raise ValueError("mode is full or longonly")
+    first, out_of = 0, 50
+    if mode == "longonly":
+        first, out_of = (5 if rising else 0), 12
+        m = m.where(c("bucket") > 5 if rising else c("bucket") <= 5)
+    r = m.withColumn("_r", F.rank().over(Window.orderBy(c("ret").asc() if rising else c("ret").desc())) + first)
+    return r.agg((F.sum(F.abs(c("bucket") - c("_r"))) / out_of).alias("mono"))
+
+
+def winsorized(df: DataFrame, x: str, share: float = 0.975) -> DataFrame:
+    """df with x held to its quantiles at share and 1 - share over all rows."""
+    q = df.agg(F.percentile(x, F.lit(1 - share)).alias("_lo"), F.percentile(x, F.lit(share)).alias("_hi"))  # one row
+    held = F.when(c(x).isNotNull(), F.greatest(c("_lo"), F.least(c("_hi"), c(x))))
+    return df.crossJoin(F.broadcast(q)).withColumn(x, held).drop("_lo", "_hi")
+
+
+def positive_share(x: str) -> Column:
+    """Rows above 0 over all rows of a group, missing ones counted among all."""
+    return F.count(F.when(c(x) > 0, 1)) / F.count(F.lit(1))
+
+
+def weighted_sum(x: str, weight: str) -> Column:
+    """Sum of x by weights made to sum to 1 over the group; weights that sum to 0 stay as they are; missing values add nothing."""
+    whole = F.coalesce(F.sum(weight), F.lit(0.0))
+    return F.coalesce(F.sum(c(x) * c(weight)), F.lit(0.0)) / F.when(whole == 0, 1.0).otherwise(whole)
 
 
 def residual_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:

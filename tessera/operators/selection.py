@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import residual_of_many
+from .metrics import bucket_of, residual_of_many
 from .ranking import mean_ranks
 
 c = F.col
@@ -65,10 +65,12 @@ def penalty(score: Column, weight: float) -> Column:
     return F.coalesce(weight * (1 - F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)) / 10), F.lit(0.0))
 
 
-def forward_selection(df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int) -> list[tuple[str, float]]:
+def forward_selection(df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int, by: str = "ic") -> list[tuple[str, float]]:
     """Factors in the order they are taken, each with the mean period IC it had then: in every round the label is what styles and the factors
-    taken leave of it, the factor of best abs(IC), `least` at least, is taken, and those that correlate with it above most_corr go. One job a
-    round scores all that are left; only scores reach the driver."""
+    taken leave of it, the factor of best abs(IC), `least` at least, is taken (with by="mono" the one whose buckets' returns are most in order), and those
+    that correlate with it above most_corr go. One job a round scores all that are left; only scores, and returns of buckets, reach the driver."""
+    if by not in ("ic", "mono"):
+        raise ValueError("by is ic or mono")
     taken, left = [], list(factors)
     while left and len(taken) < most:
         known = [*styles, *(n for n, _ in taken)]
@@ -79,7 +81,12 @@ def forward_selection(df: DataFrame, factors: list[str], label: str, styles: lis
         able = [n for n in left if got[n] is not None and abs(got[n]) >= least]
         if not able:
             break
-        new = max(able, key=lambda n: (abs(got[n]), n))
+        order = lambda n: (abs(got[n]), n)  # noqa: B023, E731
+        if by == "mono":
+            mono = _disorder(rows, able, got)
+            new = min(able, key=lambda n: (mono[n], *(-v if isinstance(v, float) else v for v in order(n))))
+        else:
+            new = max(able, key=order)
         taken.append((new, float(got[new])))
         left = [n for n in able if n != new]
         if left:
@@ -88,6 +95,23 @@ def forward_selection(df: DataFrame, factors: list[str], label: str, styles: lis
     return taken
 
 
+def _disorder(rows: DataFrame, names: list[str], ic, n: int = 10) -> dict[str, float]:
+    """For each factor how far its buckets' mean returns are from the order that its IC's sign says."""
+    long = rows.select("period", "_r", *names).unpivot(["period", "_r"], names, "name", "v").where("v is not null")
+    buckets = long.withColumn("bucket", bucket_of(c("v"), n, "name")).groupBy("name", "bucket").agg(F.avg("_r").alias("ret")).collect()
+    out = {}
+    for name in names:
+        own = {r.bucket: (r.ret or 0.0) * (1 if ic[name] > 0 else -1) for r in buckets if r.name == name}
+        out[name] = sum(abs(b - 1 - sum(v < own[b] for v in own.values())) for b in own) / 50
+    return out
+
+
+def both_selections(df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int) -> list[str]:
+    """Factors that a selection by IC or one by order takes, as they stand in factors."""
+    taken = {n for by in ("ic", "mono") for n, _ in forward_selection(df, factors, label, styles, least, most_corr, most, by)}
+    return [n for n in factors if n in taken]
+
+
 def _corr(a: str, b: str) -> Column:
     x, y = F.when(c(b).isNotNull(), c(a)), F.when(c(a).isNotNull(), c(b))
     sd = F.stddev_pop(x) * F.stddev_pop(y)

@@ -142,6 +142,22 @@ def monotonicity(spark, sf_dir):
     return metrics.monotonicity(metrics.group_returns(part_panel(spark, sf_dir), "x", "fwd_ret")).select(R("mono").alias("mono"))
 
 
+@report(panel_sql(f"{_BUCKETS}, mm AS (SELECT bucket, avg(ret) AS r FROM gr WHERE bucket <= 5 GROUP BY 1) SELECT round(sum(abs(bucket - k)) / 12::DOUBLE, 6) AS mono FROM (SELECT bucket, rank() OVER (ORDER BY r DESC) AS k FROM mm)"))
+def monotonicity_long_only(spark, sf_dir):
+    return metrics.monotonicity(metrics.group_returns(part_panel(spark, sf_dir), "x", "fwd_ret"), False, "longonly").select(R("mono").alias("mono"))
+
+
+@report(panel_sql("q AS (SELECT quantile_cont(x, 0.025) AS lo, quantile_cont(x, 0.975) AS hi FROM p) SELECT entity, qidx, round(CASE WHEN x IS NOT NULL THEN greatest(lo, least(hi, x)) END, 6) AS x FROM p, q"))
+def winsor_whole(spark, sf_dir):
+    return metrics.winsorized(part_panel(spark, sf_dir), "x").select("entity", "qidx", R("x").alias("x"))
+
+
+@report(panel_sql("SELECT entity, round(count(*) FILTER (y > 0) / count(*)::DOUBLE, 6) AS positive, round(coalesce(sum(x * y), 0) / CASE WHEN coalesce(sum(y), 0) = 0 THEN 1 ELSE sum(y) END, 4) + 0 AS weighted FROM p GROUP BY 1"))
+def entity_figures(spark, sf_dir):
+    g = part_panel(spark, sf_dir).groupBy("entity").agg(metrics.positive_share("y").alias("positive"), metrics.weighted_sum("x", "y").alias("weighted"))
+    return g.select("entity", R("positive").alias("positive"), R("weighted", 4).alias("weighted"))
+
+
 @report(panel_sql("ok AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), s AS (SELECT entity, qidx, x - (CASE WHEN var_pop(y) OVER q > 0 THEN covar_pop(x, y) OVER q / var_pop(y) OVER q * (y - avg(y) OVER q) ELSE 0 END + avg(x) OVER q) AS r, count(*) OVER q AS n FROM ok WINDOW q AS (PARTITION BY period)) SELECT entity, qidx, round(r, 5) + 0 AS residual FROM p LEFT JOIN s USING (entity, qidx)").replace("WINDOW q", "WINDOW q"))
 def neutral_residual(spark, sf_dir):
     p = part_panel(spark, sf_dir)

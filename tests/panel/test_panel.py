@@ -228,6 +228,37 @@ def test_forward_selection(spark):
     assert selection.forward_selection(df, ["a", "b"], "r", ["a", "b"], 0.05, 0.9, 5) == []
 
 
+def test_forward_selection_by_order(spark):
+    import random
+
+    rng = random.Random(8)
+    # a and r rise together in every bucket; b goes with r in the two outer buckets alone, and correlates better there
+    rows = [(e, day(q), float(e), float((e // 10 == 9) - (e // 10 == 0)) * 50 + rng.random(), 0.2 * e + ((e // 10 == 9) - (e // 10 == 0)) * 100.0) for e in range(100) for q in range(2)]
+    df = spark.createDataFrame(rows, "entity long, period date, a double, b double, r double")
+    by = lambda how: selection.forward_selection(df, ["a", "b"], "r", [], 0.05, 0.1, 1, how)[0][0]
+    assert (by("ic"), by("mono")) == ("b", "a") and selection.both_selections(df, ["a", "b"], "r", [], 0.05, 0.1, 1) == ["a", "b"]
+    with pytest.raises(ValueError):
+        by("other")
+
+
+def test_monotonicity_of_halves(spark):
+    rets = lambda v: spark.createDataFrame([(day(0), b + 1, float(x)) for b, x in enumerate(v)], "period date, bucket int, ret double")
+    up = [*range(10)]
+    mono = lambda *a: metrics.monotonicity(rets(a[0]), *a[1:]).first().mono
+    assert mono(up) == 0 and mono(up[::-1]) == 1 and mono(up[::-1], False) == 0
+    assert mono(up, True, "longonly") == 0 and mono(up, False, "longonly") == 1 and mono([0, 1, 2, 3, 4, 9, 8, 7, 6, 5], True, "longonly") == 1
+    with pytest.raises(ValueError):
+        mono(up, True, "half")
+
+
+def test_production_subsets():
+    from tessera.plans.expression import lookup
+    from tessera.plans.subsets import CROSSOVER, MUTATION, PRODUCTION
+
+    assert (len(MUTATION), len(CROSSOVER), len(set(PRODUCTION))) == (66, 24, 90)
+    assert {lookup(n)[2] for n in MUTATION} == {1} and {lookup(n)[2] for n in CROSSOVER} == {2}
+
+
 def test_paired_stats(spark):
     pairs = [(1, 1.0, 2.0), (2, 5.0, 3.0), (3, 2.0, 2.0), (4, 4.0, 7.0), (5, None, 1.0), (6, 3.0, 4.0)]
     df = spark.createDataFrame(pairs, "k long, a double, b double")
