@@ -152,9 +152,9 @@ def winsor_whole(spark, sf_dir):
     return metrics.winsorized(part_panel(spark, sf_dir), "x").select("entity", "qidx", R("x").alias("x"))
 
 
-@report(panel_sql("SELECT entity, round(count(*) FILTER (y > 0) / count(*)::DOUBLE, 6) AS positive, round(coalesce(sum(x * y), 0) / CASE WHEN coalesce(sum(y), 0) = 0 THEN 1 ELSE sum(y) END, 4) + 0 AS weighted FROM p GROUP BY 1"))
+@report(panel_sql("SELECT entity, round(count(*) FILTER (y > 0) / count(*)::DOUBLE, 6) AS positive, round(coalesce(sum(x * (y + 4)), 0) / CASE WHEN coalesce(sum(y + 4), 0) = 0 THEN 1 ELSE sum(y + 4) END, 4) + 0 AS weighted FROM p GROUP BY 1"))
 def entity_figures(spark, sf_dir):
-    g = part_panel(spark, sf_dir).groupBy("entity").agg(metrics.positive_share("y").alias("positive"), metrics.weighted_sum("x", "y").alias("weighted"))
+    g = part_panel(spark, sf_dir).withColumn("w", c("y") + 4).groupBy("entity").agg(metrics.positive_share("y").alias("positive"), metrics.weighted_sum("x", "w").alias("weighted"))
     return g.select("entity", R("positive").alias("positive"), R("weighted", 4).alias("weighted"))
 
 
