@@ -19,10 +19,12 @@ from .url_filter import url_filter
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies of all documents by five-word shingles, and each one's number of links; null and empty texts link with nothing."""
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: counts and digest of the fixed rules' spans, and all spans as text; a null text has none."""
     found = secrets(table(spark, sf_dir, "documents"))
     join = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     base = F.filter("found", lambda s: s.kind != "format")
@@ -31,40 +33,49 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and lattice scores of all documents; a null text is one end."""
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes; a null text has one byte."""
     return shard(table(spark, sf_dir, "documents"))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; a null source is one of its own, a document without words gives none."""
     return mix(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness; a null text is empty."""
     return syncmers(table(spark, sf_dir, "documents"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of the benchmark; a null text has no words."""
     judged = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages; a null url has an empty host and path and is allowed."""
     return url_filter(table(spark, sf_dir, "pages")).drop("alias_verdict")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences of all documents in order, and the licences they make; a null text has none."""
     found = licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from the labels of those not held out; null and empty texts have a score too."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents: where each one that is left lies."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
