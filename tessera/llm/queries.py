@@ -9,13 +9,16 @@ from .common import table
 from .decontaminate import decontaminate
 from .lattice import lm_scores
 from .licenses import LICENSE_RULES, LONGER, SENTENCES, licenses
+from .minhash import minhash_dedup
 from .mixing import mix
+from .negatives import hard_negatives
 from .ngram_join import ngram_join
 from .secrets import secrets
 from .sharding import shard
 from .syncmers import syncmers
 from .toxicity import toxicity
 from .url_filter import url_filter
+from .whitening import whiten
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +77,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh go up by one first. Rows with a null or not finite entry take no part."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of all embeddings; rows with a null or not finite entry are left out."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near copies of all documents by two-word shingles, and which document of each stays; null and empty texts are alone."""
+    return minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents: where each one that is left lies."""
     import corpus_pipeline
@@ -81,7 +101,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_lm_lattice, op4_sharding, op5_source_mix, op6_syncmers, op7_decontaminate, op8_url_filter, op9_license_scan, op10_toxicity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secret_scan, op3_lm_lattice, op4_sharding, op5_source_mix, op6_syncmers, op7_decontaminate, op8_url_filter, op9_license_scan, op10_toxicity, op11_hard_negatives, op12_whitening, op13_minhash_dedup, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -141,5 +161,35 @@ found AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct([{_FITS}])), ','), '') AS licenses
 FROM documents LEFT JOIN found USING (doc_id)"""
 
+_OP11 = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+_OP13 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN w
+    ELSE list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) END AS s FROM words),
+class AS (SELECT list_sort(s) AS k, min(doc_id) AS rep, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1),
+every AS MATERIALIZED (SELECT rep, n, unnest(k) AS w FROM class),
+often AS MATERIALIZED (SELECT w, row_number() OVER (ORDER BY c, w) AS x FROM (SELECT w, count(*) AS c FROM every GROUP BY 1)),
+-- shingles by number, rare ones first; two sets that link share one of the first n - ceil(0.8 n) + 1 of each
+items AS MATERIALIZED (SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY x) AS r FROM every JOIN often USING (w)),
+rare AS MATERIALIZED (SELECT rep, n, x FROM items WHERE r <= n - (4 * n + 4) // 5 + 1),
+near AS MATERIALIZED (SELECT DISTINCT a.rep AS a, b.rep AS b FROM rare a JOIN rare b ON a.x = b.x AND a.rep < b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+edges AS (SELECT a, b FROM near JOIN items i ON i.rep = a JOIN items j ON j.rep = b AND j.x = i.x GROUP BY a, b HAVING 9 * count(*) >= 4 * (any_value(i.n) + any_value(j.n))),
+both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT a AS v, a AS r FROM both_ways UNION SELECT e.b, reach.r FROM reach JOIN both_ways e ON e.a = reach.v),
+comp AS (SELECT v, min(r) AS c FROM reach GROUP BY 1)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(comp.c, class.rep, sets.doc_id) AS component_id, coalesce(comp.c, class.rep, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN class ON class.k = list_sort(sets.s) LEFT JOIN comp ON comp.v = class.rep"""
+
 #: The aliases of op8 need links that no page of the tables has; the tests hold those against a brute-force version.
-ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op7_decontaminate": _OP7, "op8_url_filter": _OP8, "op9_license_scan": _OP9}
+ORACLE_SQL = {"op1_ngram_jaccard": _OP1, "op7_decontaminate": _OP7, "op8_url_filter": _OP8, "op9_license_scan": _OP9, "op11_hard_negatives": _OP11, "op13_minhash_dedup": _OP13}
