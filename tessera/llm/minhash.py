@@ -204,9 +204,11 @@ def minhash_dedup(docs: DataFrame, k: int = 2) -> DataFrame:
         repeated = several.limit(1).count() > 0
         one = by_ids(texts, several, "doc_id", "left_anti").union(by_ids(texts, several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))) if repeated else texts
         sets = s.keep(_sets(one, k), "sets")
-        rows = s.keep(_sets(texts, k).select("doc_id", "n", "d1", "d2"), "rows") if repeated else sets.select("doc_id", "n", "d1", "d2")
         owners = s.cut(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("owner")))
         own = s.keep(sets.join(owners.select(F.col("owner").alias("doc_id")), "doc_id", "left_semi"), "own")
+        nodes = s.keep(sets.select("doc_id", "n", "d1", "d2"), "nodes")
+        s.drop("sets")
+        rows = s.keep(_sets(texts, k).select("doc_id", "n", "d1", "d2"), "rows") if repeated else nodes
         sig = own.select("doc_id", "n", "sig", "bits")
         keyed = own.select(F.explode("keys").alias("key"), "doc_id")
         shared = s.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
@@ -230,7 +232,7 @@ def minhash_dedup(docs: DataFrame, k: int = 2) -> DataFrame:
         of_set = owners.join(classes, owners["owner"] == classes["node"], "left").select("d1", "d2", F.coalesce("component", "owner").alias("of_set"))
         out = rows.join(of_set, ["d1", "d2"], "left")
         if repeated:
-            least = s.cut(sets.where("n > 0").join(of_set, ["d1", "d2"]).where("doc_id is not null").select("doc_id", F.col("of_set").alias("of_id")))
+            least = s.cut(nodes.where("n > 0").join(of_set, ["d1", "d2"]).where("doc_id is not null").select("doc_id", F.col("of_set").alias("of_id")))
             out = out.join(by_ids(least, several, "doc_id", "left_semi"), "doc_id", "left")
         component = F.when(F.col("n") > 0, F.coalesce("of_set", "of_id", "doc_id") if repeated else F.col("of_set")).otherwise(F.col("doc_id"))
         return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
