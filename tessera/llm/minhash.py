@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, WordHashes, by_hot_key, by_ids, cut, mixed, scratch, small_batches
-from .components import HUB, components
+from .common import Scratch, WordHashes, by_hot_key, by_ids, cut, mixed, scratch, small_batches
+from .components import components
 from .ngram_join import _bits, _side, bitmap, links, overlap_bound, shingle_sets
 
 #: Bands of so many minima each: two sets at the threshold share no band once in 40 million times.
@@ -24,8 +24,8 @@ BLOCK, BLOCK_BYTES = 1024, 8 << 20
 PAIRS = 512
 #: Shingles and functions whose hashes are taken at once.
 STEP, TURN = 4096, 16
-#: Turns of linking all sets of a bucket with one of them, before whole buckets are compared.
-TURNS = 2
+#: So many sets of each bucket are looked at with all others of it, before whole buckets are compared.
+ORDERS = 2
 
 
 def universal(n: int, seed: int = 13) -> tuple[np.ndarray, np.ndarray]:
@@ -161,26 +161,22 @@ class _Texts:
         return self.s.cut(rows.select("first", "a", "b", "text").mapInPandas(_confirm(self.k), "a long, b long"))
 
 
-def _leaders(keyed: DataFrame, turn: int, s: Scratch) -> DataFrame:
-    """(doc_id, leader) of the buckets of keyed (key, doc_id): each set and one of its bucket's, which is the first in an order that a few
-    buckets have in common. A bucket's rows are not gathered: the first is found by aggregation and comes back by broadcast where there are many."""
-    order = F.xxhash64("doc_id", F.pmod(F.col("key"), F.lit(3)), F.lit(turn)) if turn else F.col("doc_id")
-    least = s.cut(keyed.groupBy("key").agg(F.min_by("doc_id", order).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    bound = max(HUB, 2 * least.agg(F.sum("n")).first()[0] // BROADCAST_ROWS) if least.limit(1).count() else HUB
-    hot = F.broadcast(least.where(F.col("n") >= bound).select("key", "leader"))
-    rest = keyed.join(hot.select("key"), "key", "left_anti").join(least.where(F.col("n") < bound).select("key", "leader").hint("shuffle_merge"), "key")
-    both = keyed.join(hot, "key").select("doc_id", "leader").union(rest.select("doc_id", "leader"))
-    return both.where("doc_id != leader").distinct()
+def _leaders(keyed: DataFrame, s: Scratch) -> DataFrame:
+    """(a, b) of the buckets of keyed (key, doc_id): each set, and those of its bucket that are first in ORDERS orders, of which all but one are the same for a few buckets only.
+    A bucket's rows are not gathered: the first is found by aggregation and comes back to them."""
+    order = lambda n: F.xxhash64("doc_id", F.pmod(F.col("key"), F.lit(3)), F.lit(n)) if n else F.col("doc_id")
+    firsts = F.array_distinct(F.array(*[F.min_by("doc_id", order(n)) for n in range(ORDERS)]))
+    both = by_hot_key(keyed.select("key", "doc_id"), s.cut(keyed.groupBy("key").agg(firsts.alias("firsts"))), "key", "inner")
+    return both.select(F.col("doc_id").alias("a"), F.explode("firsts").alias("b")).where("a != b").distinct()
 
 
-def _open(keyed: DataFrame, classes: DataFrame, sig: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, doc_id, comp, w) of the buckets of three sets and more that are not all of one class yet, w being how heavy a set is; and the number c and weight w of each such
+def _open(keyed: DataFrame, classes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, doc_id, w, comp) of the buckets of three sets and more that are not all of one class yet, w being how heavy a set is; and the number c and weight w of each such
     bucket's rows of each class. Of a bucket of two sets the one pair has been looked at."""
-    now = keyed.select("key", "doc_id").join(classes.select(F.col("node").alias("doc_id"), "component").hint("shuffle_merge"), "doc_id", "left")
-    now = now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    now = keyed.join(classes.select(F.col("node").alias("doc_id"), "component").hint("shuffle_merge"), "doc_id", "left")
+    now = s.cut(now.select("key", "doc_id", "w", F.coalesce("component", "doc_id").alias("comp")))
     several = s.cut(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("key"))
-    weight = F.greatest(F.lit(1.0), (F.length("sig") + F.length("bits")) * (BLOCK / BLOCK_BYTES))
-    now = s.cut(by_hot_key(now, several, "key", "inner").join(sig.select("doc_id", weight.alias("w")).hint("shuffle_merge"), "doc_id"))
+    now = s.cut(by_hot_key(now, several, "key", "inner"))
     return now, now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("w").alias("w"))
 
 
@@ -210,23 +206,15 @@ def minhash_dedup(docs: DataFrame, k: int = 2) -> DataFrame:
         s.drop("sets")
         rows = s.keep(_sets(texts, k).select("doc_id", "n", "d1", "d2"), "rows") if repeated else nodes
         sig = own.select("doc_id", "n", "sig", "bits")
-        keyed = own.select(F.explode("keys").alias("key"), "doc_id")
+        weight = F.greatest(F.lit(1.0), (F.length("sig") + F.length("bits")) * (BLOCK / BLOCK_BYTES))
+        keyed = own.select(F.explode("keys").alias("key"), "doc_id", weight.alias("w"))
         shared = s.cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
         keyed = s.cut(by_hot_key(keyed, shared, "key", "inner"))
         pairs = _Texts(one, sig, k, s)
-        classes = components(pairs.linked(_leaders(keyed, 0, s).select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))))
-        for turn in range(1, TURNS + 1):
-            keyed, held = _open(keyed, classes, sig, s)
-            if not keyed.limit(1).count():
-                break
-            if turn < TURNS:
-                of = s.cut(keyed.select("doc_id", "comp").distinct())
-                star = _leaders(keyed.select("key", "doc_id"), turn, s).join(of.hint("shuffle_merge"), "doc_id")
-                star = star.join(of.select(F.col("doc_id").alias("leader"), F.col("comp").alias("other")).hint("shuffle_merge"), "leader")
-                more = star.where("comp != other").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
-            else:
-                more = s.cut(_rest(keyed, held, sig, s))
-            more = pairs.linked(more)
+        classes = components(pairs.linked(_leaders(keyed, s)))
+        keyed, held = _open(keyed, classes, s)
+        if keyed.limit(1).count():
+            more = pairs.linked(s.cut(_rest(keyed, held, sig, s)))
             if more.limit(1).count():
                 classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         of_set = owners.join(classes, owners["owner"] == classes["node"], "left").select("d1", "d2", F.coalesce("component", "owner").alias("of_set"))

@@ -174,7 +174,7 @@ def minhash_rows():
 @pytest.mark.parametrize("small", [False, True])
 def test_minhash(spark, monkeypatch, small):
     if small:
-        for name, value in {"BLOCK": 8, "PAIRS": 3, "HUB": 5, "STEP": 10, "TURN": 7}.items():
+        for name, value in {"BLOCK": 8, "PAIRS": 3, "STEP": 10, "TURN": 7}.items():
             monkeypatch.setattr(mh, name, value)
     rows = minhash_rows()
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, n long, key string, component_id int").repartition(5)
@@ -190,8 +190,8 @@ def test_minhash(spark, monkeypatch, small):
 
 
 def test_minhash_whole_buckets(spark, monkeypatch):
-    """With no turn of linking to a second leader, what the first leaves is found by comparing whole buckets, in blocks."""
-    monkeypatch.setattr(mh, "TURNS", 1)
+    """What the first of each bucket leaves is found by comparing whole buckets, in blocks."""
+    monkeypatch.setattr(mh, "ORDERS", 1)
     monkeypatch.setattr(mh, "BLOCK", 10)
     rows = [r for r in minhash_rows() if r[0] is not None and r[0] != 990]
     got = {r.doc_id: r.component_id for r in mh.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
