@@ -69,6 +69,8 @@ SENTENCES = {
     "bsd-advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: The clause on names with any holder's, and with the words that SENTENCES has.
+HOLDER = ("^neither the name of [a-z0-9 ]+ nor the names of (its|any|other) contributors", "neither the name of the copyright holder nor the names of its contributors")
 #: (license, identifiers that follow one another in this order, others between them or not)
 LICENSE_RULES = (
     ("apache-2.0", ("apache-2",)),
@@ -144,28 +146,37 @@ LONGER = {seq: [other for _, other in LICENSE_RULES if len(other) > len(seq) and
 
 
 def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "))
+    """A sentence in lower case, all but a-z and 0-9 one space; in the clause on names any holder is `the copyright holder`."""
+    t = F.trim(F.regexp_replace(ascii_lower(s), "[^a-z0-9]+", " "))
+    return F.regexp_replace(t, *HOLDER)
+
+
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once: what a lambda's argument stands for is, what an expression inside a lambda says is not."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences in order, A-Z lower-cased, all but a-z and 0-9 one space, so that comment marks go. Two readings: whole lines, cut at
+    """Known normalised sentences in order, A-Z lower-cased, all but a-z and 0-9 one space, so that comment marks go. Two readings: whole lines, cut at
     . ! or ? before white space; and sentences over lines, which end at . ! ? : or ; before white space, at lines without letters and
-    digits and before list numbers, which are left out. What both give counts once; a sentence may also hold a : or ; inside.
+    digits and before list numbers, which are left out. What both give counts once; a sentence may also hold a : or ; inside. Every line is
+    normalised a bounded number of times, however long its block is.
     """
     number = r"(?:[0-9]{1,2}|[A-Za-z])[.)][ \t]+"
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?][ \t\r]+", "\n\n")
     t = F.regexp_replace(t, r"[.!?][\"')\]]*\n", "\n\n")
     t = F.regexp_replace(t, rf"\n(?=[^\p{{L}}\p{{N}}\n]{{0,20}}{number})", "\n\n")
-    whole = lambda s: _normal(F.regexp_replace(s, rf"^[^\p{{L}}\p{{N}}]*{number}", ""))
-    lines = lambda s: F.transform(F.split(s, "\n"), _normal)
-
-    def both(s: Column) -> Column:
-        own = lines(s)
-        return F.concat(F.filter(F.array(whole(s)), lambda x: ~F.array_contains(own, x)), own)
+    known = lambda a: F.filter(a, lambda s: s.isin(*SENTENCES.values()))
+    whole = lambda s: known(F.array(_normal(F.regexp_replace(s, rf"^[^\p{{L}}\p{{N}}]*{number}", ""))))
+    lines = lambda s: known(F.transform(F.split(s, "\n"), _normal))
+    # the first's that the second lacks, then the second's; and the other way round
+    before = lambda a, b: _let(F.struct(a.alias("a"), b.alias("b")), lambda r: F.concat(F.filter(r.a, lambda x: ~F.array_contains(r.b, x)), r.b))
+    after = lambda a, b: _let(F.struct(a.alias("a"), b.alias("b")), lambda r: F.concat(r.a, F.filter(r.b, lambda x: ~F.array_contains(r.a, x))))
+    both = lambda s: before(whole(s), lines(s))
 
     def read(s: Column) -> Column:
         pieces = F.flatten(F.transform(F.split(s, r"[:;][\"')\]]*\s+"), both))
-        return F.when(s.rlike(r"[:;][\"')\]]*\s"), F.concat(pieces, F.filter(both(s), lambda x: ~F.array_contains(pieces, x)))).otherwise(both(s))
+        return F.when(s.rlike(r"[:;][\"')\]]*\s"), after(pieces, both(s))).otherwise(both(s))
 
     return F.flatten(F.transform(F.split(t, r"\n[^\p{L}\p{N}]*\n"), read))
 
@@ -178,7 +189,7 @@ def licenses(docs: DataFrame) -> DataFrame:
     rows are each scanned; an empty table gives an empty one; other columns of docs are not looked at.
     """
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    ids = F.transform(F.filter(sentences(F.col("text")), lambda s: s.isin(*SENTENCES.values())), lambda s: known[s])
+    ids = F.transform(sentences(F.col("text")), lambda s: known[s])
     marked = docs.select("doc_id", ids.alias("sentence_ids")).withColumn("_seq", F.concat_ws("", F.transform("sentence_ids", lambda i: F.concat(F.lit("|"), i, F.lit("|")))))
     fits = lambda seq: F.col("_seq").like("%" + "%".join(f"|{i}|" for i in seq) + "%")
     names = [F.when(reduce(lambda a, b: a & ~fits(b), LONGER[seq], fits(seq)), name) for name, seq in LICENSE_RULES]

@@ -248,12 +248,12 @@ def _may_link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield own.loc[links(overlap_bound(_bits(own.abits, int(w)), _bits(own.bbits, int(w)), n, m), n, m), ["a", "b"]]
 
 
-def _linked(sets: list[np.ndarray], part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each set its number of links, and a set that it reaches by links, the same for all that reach one another. Where there are
-    two parts, only pairs of a set of each count."""
+def _linked(sets: list[np.ndarray], part: np.ndarray, two: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each set its number of links, and a set that it reaches by links, the same for all that reach one another. In a group of
+    two parts, of which one may be empty, only pairs of a set of each count."""
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    n, part, two = n[order], part[order], part.min() != part.max()
+    n, part = n[order], part[order]
     start = np.r_[0, np.cumsum(n)]
     names, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
     bits = _bits(pd.Series([bitmap(sets[i]) for i in order])) if len(n) > SMALL else None
@@ -287,7 +287,7 @@ def _decide(k: int):
 
         def of(held: list[tuple]) -> pd.DataFrame:
             ids = np.array([h[0] for h in held])
-            number, root = _linked([h[1] for h in held], np.array([h[2] for h in held]))
+            number, root = _linked([h[1] for h in held], np.array([h[2] for h in held]), group[1] != group[2])
             return pd.DataFrame({"doc_id": ids, "near": ids[root], "n_links": number})[number > 0]
 
         group, held, done = None, [], []

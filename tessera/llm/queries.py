@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import decontaminate
 from .lattice import lm_scores
-from .licenses import LICENSE_RULES, LONGER, SENTENCES, licenses
+from .licenses import HOLDER, LICENSE_RULES, LONGER, SENTENCES, licenses
 from .minhash import minhash_dedup
 from .mixing import mix
 from .negatives import hard_negatives
@@ -157,7 +157,7 @@ WITH lines AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[
 pos AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM lines),
 known(id, sentence) AS (VALUES {_KNOWN}),
 found AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sentence_ids, string_agg('|' || id || '|', '' ORDER BY i) AS seq
-  FROM pos JOIN known ON sentence = trim(regexp_replace({_LOWER.format("s")}, '[^a-z0-9]+', ' ', 'g')) GROUP BY 1)
+  FROM pos JOIN known ON sentence = regexp_replace(trim(regexp_replace({_LOWER.format("s")}, '[^a-z0-9]+', ' ', 'g')), '{HOLDER[0]}', '{HOLDER[1]}') GROUP BY 1)
 SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(list_sort(list_distinct([{_FITS}])), ','), '') AS licenses
 FROM documents LEFT JOIN found USING (doc_id)"""
 

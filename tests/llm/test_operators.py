@@ -119,6 +119,18 @@ def test_ngram_join_counts_all_links(docs, monkeypatch, group):
     assert max(links.values()) > 2 and got == {i: links[s] for i, s in sets.items()}
 
 
+def test_ngram_join_counts_once_in_one_part(spark, monkeypatch):
+    """Two sets whose class has several blocks but which lie in one of them are one link."""
+    monkeypatch.setattr(nj, "ELEMENTS", 500)
+    rng = random.Random(2)
+    rows = []
+    for i in range(10, 70, 10):
+        w = words(rng, 400, 10**6)
+        rows += [(i, " ".join(w)), (i + 1, " ".join(w[:-1] + ["z"]))]
+    got = {(r.component_id, r.n_links) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i in range(10, 70, 10)}
+
+
 def test_ngram_join_repeats_and_empty(spark, docs):
     twice = docs.union(docs.where("doc_id % 2 = 0"))
     assert nj.ngram_join(twice).count() == twice.count()
@@ -709,6 +721,26 @@ def test_licenses_in_files(spark):
     assert {i: (got[i], rows[i][1]) for i in want if got[i] != want[i]} == {}
 
 
+def test_licenses_in_long_blocks(spark):
+    """Blocks of ten thousand lines, with a mark that ends a sentence in each, are read in seconds."""
+    import time
+
+    json = "{\n" + ",\n".join(f'"key{i}": {i}' for i in range(10_000)) + "\n}"
+    c = "\n".join(f"x{i} = f({i}); y{i} = {i};" for i in range(10_000)) + "\nReleased under the MIT License;\n" + "All rights reserved\n" * 100
+    df = spark.createDataFrame([(1, json), (2, c)], "doc_id long, text string").coalesce(1)
+    licenses(df.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r.sentence_ids for r in licenses(df).collect()}
+    assert time.time() - began < 20 and got == {1: [], 2: ["mit-name"] + ["arr"] * 100}
+
+
+def test_bsd_of_any_holder(spark):
+    three = [SENTENCES[k] for k in ("bsd-head", "bsd-source", "bsd-binary")]
+    ends = [f"Neither the name of {who} nor the names of its\n * contributors may be used to endorse or promote products derived from this software\n * without specific prior written permission." for who in ("the University", "Some One, Inc", "the copyright holder")]
+    rows = [(i, ".\n".join(three) + ".\n * 3. " + e) for i, e in enumerate(ends)]
+    assert [r.licenses for r in licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [["bsd-3-clause"]] * 3
+
+
 def test_licenses_over_lines(spark):
     bsd = """Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
