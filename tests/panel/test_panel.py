@@ -274,21 +274,32 @@ def test_paired_stats(spark):
     assert selection.bootstrap_mean(wide.limit(0), "k", "x", reps=3).first().mean is None
 
 
-def test_policy():
+def test_policy(spark):
     from tessera.operators import candidates
 
-    assert candidates.population_target(249, 10) == 2490
-    for bad in (0, -1, 2.5, True):
+    assert candidates.generation_size(249, 50) == 12450
+    for features, per in ((249, 0), (249, -1), (249, 2.5), (249, True), (0, 3)):
         with pytest.raises(ValueError):
-            candidates.population_target(249, bad)
-    with pytest.raises(ValueError):
-        candidates.population_target(0, 3)
-    groups = [{"source_group": g} for g in ("gate1", "base", "x20_a", "x100_b", "step1")]
-    assert candidates.feature_origins([*"abcde"], groups) == ["base", "base", "step1", "step1", "step1"]
-    assert candidates.feature_origins(["a"], [{"source_group": "?", "origin": "step1"}]) == ["step1"]
-    for names, mapping in ((["a"], [{"source_group": "unknown"}]), (["a", "b"], groups[:1])):
+            candidates.generation_size(features, per)
+    table = lambda rows: spark.createDataFrame(rows, "name string, source_group string, origin string")
+    groups = [(g, g, None) for g in ("gate1", "base", "x20_ic0.02_corr0.8", "x100_b", "step1")] + [("own", "?", "step1")]
+    got = {r.name: r.origin for r in candidates.with_origins(table(groups)).collect()}
+    assert got == {"gate1": "base", "base": "base", "x20_ic0.02_corr0.8": "step1", "x100_b": "step1", "step1": "step1", "own": "step1"}
+    for row in (("a", "unknown", None), ("a", None, None), ("a", "x30_z", None), ("a", "base", "step2")):
+        with pytest.raises(ValueError, match="a"):
+            candidates.with_origins(table([row]))
+
+
+def test_formula_language():
+    from tessera.sources.formula import parse_formula
+
+    f = lambda n: ("field", n)
+    assert parse_formula("a / b / c") == ("over", f("a"), ("over", f("b"), f("c")))
+    assert parse_formula("diff4q( TTM(net income) / y )") == ("call", "diff4q", ("over", ("call", "TTM", f("net income")), f("y")))
+    assert parse_formula("(a / b) / QTR(c)") == ("over", ("over", f("a"), f("b")), ("call", "QTR", f("c")))
+    for bad in ("", "a /", "TTM(a", "a)", "/ a", "()", "TTM(a) b"):
         with pytest.raises(ValueError):
-            candidates.feature_origins(names, mapping)
+            parse_formula(bad)
 
 
 def test_provenance_and_gate(spark):
