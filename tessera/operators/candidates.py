@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.expression import Node, evaluate
 from . import metrics
+from .ranking import with_bucket
 from .selection import without_correlated
 
 c = F.col
@@ -160,8 +161,7 @@ def node_metrics(panel: DataFrame, trees: dict[str, Node], label: str, least: fl
         long = long.unionByName(more)
     both = c("v").isNotNull() & c(label).isNotNull()
     sd = F.stddev_pop(F.when(both, c("v"))) * F.stddev_pop(F.when(both, c(label)))
-    bucket = metrics.bucket_of(c("v"), n, "node")
-    d = long.withColumn("_b", bucket)
+    d = with_bucket(long, "v", n, ("node", "period"), "_b")
     per = d.groupBy("node", "period").agg(
         F.when((F.count(F.when(both, 1)) >= 2) & (sd > 1e-12), F.covar_pop(F.when(both, c("v")), F.when(both, c(label))) / sd).alias("ic"), (F.count("v") / F.count(F.lit(1))).alias("cover"),
         (F.avg(F.when(c("_b") == n, c(label))) - F.avg(F.when(c("_b") == 1, c(label)))).alias("spread"),

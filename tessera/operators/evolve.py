@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.expression import Node, canonical, evaluate, lookup, parse
+from ..sources.store import IcStore
+from .batch import Rule, fitness_of, ic_series, labelled, score  # noqa: F401  (scores of a batch go by the search's name too)
 
 CONSTANT_OPS = {"cs_add", "cs_sub", "cs_mul", "cs_div", "cs_max", "cs_min"}
 
@@ -107,51 +109,6 @@ def child(rng: random.Random, s: Settings, parent: Node, donor: Node, ops: list[
     return how, (new if new.depth() <= s.most_depth and new.args else parent)
 
 
-#: Operators that map a date's values by a rising line, which no correlation across the date sees.
-_LINES = {"cs_zscore", "cs_demean"}
-
-
-def bare(t: Node) -> tuple[Node, bool]:
-    """The tree under the outermost operators that leave a date's correlations as they are, and whether a standardisation was among them."""
-    standardised = False
-    while t.op in _LINES:
-        standardised |= t.op == "cs_zscore"
-        t = t.args[0]
-    return t, standardised
-
-
-def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, dict]:
-    """For each distinct canonical tree its IC of each valid period. One job a batch; a number a tree and period reaches the driver. A tree whose
-    outermost operators only move and stretch a date's values is scored by what is under them."""
-    names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
-    under = {n: bare(t) for n, t in names.items()}
-    out: dict[str, dict] = {}
-    # a row a value: one small aggregation over all trees, where hundreds of aggregates side by side would make code too long to compile well
-    x, y = F.when(F.col(label).isNotNull(), F.col("v")), F.when(F.col("v").isNotNull(), F.col(label))
-    sd = F.stddev_pop(x) * F.stddev_pop(y)
-    ic = F.when((F.count(x) >= min_pairs) & (sd > 1e-12), F.covar_pop(x, y) / sd)
-    for df, some in zip(evaluate(panel, {n: t for n, (t, _) in under.items()}, width), (list(names)[i : i + width] for i in range(0, len(names), width))):
-        long = df.select("period", label, *[F.col(n).cast("double").alias(n) for n in some]).unpivot(["period", label], some, "name", "v")
-        long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < 1e15))
-        rows = long.groupBy("name", "period").agg(ic.alias("ic"), F.stddev_samp("v").alias("spread")).where("ic is not null").collect()
-        got: dict[str, dict] = {n: {} for n in some}
-        for r in sorted(rows, key=lambda r: r.period):
-            # a date on which values hardly vary has no standardised ones
-            if not under[r.name][1] or (r.spread or 0.0) >= 1e-10:
-                got[r.name][r.period] = r.ic
-        out |= {str(names[n]): got[n] for n in some}
-    return out
-
-
-def score(panel: DataFrame, trees: list[Node], label: str, width: int = 50, min_pairs: int = 30) -> dict[str, float]:
-    """abs of the mean period IC of each distinct canonical tree; -1 without a valid period."""
-    return {n: _fitness(ics) for n, ics in ic_series(panel, trees, label, width, min_pairs).items()}
-
-
-def _fitness(ics: dict) -> float:
-    return abs(math.fsum(ics.values()) / len(ics)) if ics else -1.0
-
-
 def explained(series: dict[str, dict], components: int = 5) -> dict[str, float]:
     """The share of each candidate's variation over the periods that the leading components of all candidates' ICs explain. A missing period counts
     as the candidate's mean; 0 for a candidate without variation. A matrix of candidates by periods, on the driver."""
@@ -166,9 +123,9 @@ def explained(series: dict[str, dict], components: int = 5) -> dict[str, float]:
     return dict(zip(series, np.where(whole > 1e-18, along / np.maximum(whole, 1e-18), 0.0).tolist()))
 
 
-def original_first(series: dict[str, dict], weight: float, components: int = 5) -> dict[str, float]:
+def original_first(series: dict[str, dict], weight: float, components: int = 5, value=fitness_of) -> dict[str, float]:
     """The rank of each candidate by fitness less weight times its rank by the share that others explain; ranks from 1, ties by their mean."""
-    fit, share = {n: _fitness(s) for n, s in series.items()}, explained(series, components)
+    fit, share = {n: value(s) for n, s in series.items()}, explained(series, components)
     rank = lambda v: {n: sum(x < v[n] for x in v.values()) + (sum(x == v[n] for x in v.values()) + 1) / 2 for n in v}
     by_fit, by_share = rank(fit), rank(share)
     return {n: by_fit[n] - weight * by_share[n] for n in series}
@@ -194,14 +151,17 @@ def parsimony_coefficient(lengths: list[int], scores: list[float], s: Settings)
     return float(np.cov(lengths, scores)[1, 0]) / spread if spread else 0.0
 
 
-def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "fwd_ret", s: Settings = Settings(), crossover_ops: list[str] | None = None, judged: dict[str, float] | None = None) -> list[dict]:
+def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "fwd_ret", s: Settings = Settings(), crossover_ops: list[str] | None = None, judged: dict[str, float] | None = None, rule: Rule = Rule(), store: IcStore | None = None) -> list[dict]:
     """Records of every candidate of every generation: generation, idx, formulation, ic, penalty, fitness, method, n_nodes. One seed gives one run, and a shorter
     run is the start of a longer one. With s.originality, tournaments go by rank less that weight times the rank of what others explain.
 
     ops make new trees and mutations; trees of the first generation come of crossover_ops alone where given. fitness is ic less the penalty of the
-    candidate's score in `judged` (by formulation, 0 to 10; none without a score) and less s.parsimony a node.
+    candidate's score in `judged` (by formulation, 0 to 10; none without a score) and less s.parsimony a node. `ic` is the metric that `rule` names, of the factor masked as it
+    says; -1 for one that fails it. What `store` holds of the same rule and label is read instead of computed, and what it lacks is added.
     """
     rng, records, series, judged = random.Random(s.seed), [], {}, judged or {}
+    dates = labelled(panel, label)
+    value = lambda ics: fitness_of(ics, rule, dates)
     key = lambda t: str(canonical(t))
     first = crossover_ops or ops
     pop = [("random", grow(rng, first, features, rng.randint(*s.depth), rng.random() < 0.5)) for _ in range(s.population * s.warm_start)]
@@ -210,8 +170,12 @@ def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "
     for g in range(s.generations + 1):
         new = [t for _, t, _ in pop if key(t) not in series]
         if new:
-            series |= ic_series(panel, new, label)
-        raw = lambda t: _fitness(series[key(t)])
+            known = store.read(rule, label, {key(t) for t in new}) if store else {}
+            made = ic_series(panel, left, label, rule=rule) if (left := [t for t in new if key(t) not in known]) else {}
+            if store and made:
+                store.add(rule, label, made)
+            series |= known | made
+        raw = lambda t: value(series[key(t)])
 
         def penalty(t: Node) -> float:
             score = judged.get(str(t))
@@ -226,7 +190,7 @@ def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "
         parents = [t for t, _ in kept]
         reward = {key(t): fit(t) for t in parents}
         if s.originality:
-            reward = original_first({n: series[n] for n in reward}, s.originality)
+            reward = original_first({n: series[n] for n in reward}, s.originality, value=value)
         best = lambda: max((rng.choice(parents) for _ in range(s.tournament)), key=lambda t: reward[key(t)])
         pop = []
         for _ in range(s.population):

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import metrics
 from .metrics import ic_rows, masked, residual_of_many
+from .ranking import with_ranks
 
 c = F.col
 
 
-def own_rank(x: Column) -> Column:
-    """Percentile rank among a date's values, ties by their mean; null stays null."""
-    return metrics.ranks(x) / F.count(F.lit(1)).over(Window.partitionBy("period", x.isNotNull()))
+def own_ranks(df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
+    """df with percentile ranks among each date's values, ties by their mean; null stays null."""
+    r = with_ranks(df, columns)
+    return r.withColumns({n: c(n) / c(f"{n}_n") for n in columns}).drop(*[f"{n}_n" for n in columns])
 
 
 def _value(x: Column, otherwise: float) -> Column:
@@ -23,7 +25,7 @@ def _value(x: Column, otherwise: float) -> Column:
 
 
 def _ranked(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.select("period", own_rank(c(x)).alias("_f"), own_rank(c(y)).alias("_r"))
+    return own_ranks(df.select("period", c(x).alias("_x"), c(y).alias("_y")), {"_f": "_x", "_r": "_y"})
 
 
 def neutral(df: DataFrame, y: str, styles: list[str]) -> DataFrame:
@@ -34,8 +36,7 @@ def neutral(df: DataFrame, y: str, styles: list[str]) -> DataFrame:
 
 def halves(df: DataFrame, x: str, y: str) -> DataFrame:
     """period, ic (of the percentile ranks of x and y), top and bottom (x's ranks above and below the middle against the ranks of y among those rows)."""
-    r = df.select("period", own_rank(c(x)).alias("_f"), own_rank(c(y)).alias("_r"), c(y).alias("_y"))
-    sides = r.withColumns({"_top": own_rank(F.when(c("_f") > 0.5, c("_y"))), "_bottom": own_rank(F.when(c("_f") < 0.5, c("_y")))})
+    sides = own_ranks(_ranked(df, x, y), {"_top": F.when(c("_f") > 0.5, c("_y")), "_bottom": F.when(c("_f") < 0.5, c("_y"))})
     both = lambda a, b: F.when(c(a).isNotNull() & c(b).isNotNull(), c(a))
 
     def corr(side: str) -> Column:
@@ -56,7 +57,7 @@ def two_ics(df: DataFrame, x: str, y: str) -> DataFrame:
 def long_only_mask(df: DataFrame, x: str, y: str) -> DataFrame:
     """df with x null in the half that its mean IC says not to hold, and turned round if that is the upper one."""
     sign = halves(df, x, y).agg((F.avg("ic") > 0).alias("_up"))  # one row
-    d = df.withColumn("_p", own_rank(c(x))).crossJoin(F.broadcast(sign))
+    d = own_ranks(df, {"_p": x}).crossJoin(F.broadcast(sign))
     held = F.when(c("_up"), F.when(c("_p") >= 0.5, c(x))).otherwise(F.when(c("_p") <= 0.5, -c(x)))
     return d.withColumn(x, held).drop("_p", "_up")
 

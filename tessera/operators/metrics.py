@@ -10,11 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-c = F.col
-
+from .ranking import with_bucket, with_ranks
 
-def in_period() -> Window:
-    return Window.partitionBy("period")
+c = F.col
 
 
 def masked(df: DataFrame, x: str, least: float = 0.9) -> DataFrame:
@@ -26,17 +24,11 @@ def masked(df: DataFrame, x: str, least: float = 0.9) -> DataFrame:
     return at.withColumn(x, F.when(ok, c(x)))
 
 
-def ranks(x: Column) -> Column:
-    """Mean ranks over the pairs of a period; x is null outside them."""
-    w = Window.partitionBy("period", x.isNotNull())
-    return F.when(x.isNotNull(), F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("period", x)) - 1) / 2)
-
-
 def ic_rows(df: DataFrame, x: str, y: str, method: str = "pearson", min_pairs: int = 2) -> DataFrame:
     """period, pairs, ic: the correlation of x and y over the entities of a period that have both; null below min_pairs or where a side is constant."""
     p = df.where(c(x).isNotNull() & c(y).isNotNull()).select("period", c(x).alias("_a"), c(y).alias("_b"))
     if method == "spearman":
-        p = p.select("period", ranks(c("_a")).alias("_a"), ranks(c("_b")).alias("_b"))
+        p = with_ranks(p, {"_ra": "_a", "_rb": "_b"}).select("period", c("_ra").alias("_a"), c("_rb").alias("_b"))
     s = p.groupBy("period").agg(F.count(F.lit(1)).alias("pairs"), F.covar_pop("_a", "_b").alias("_c"), (F.stddev_pop("_a") * F.stddev_pop("_b")).alias("_s"))
     return s.select("period", "pairs", F.when((c("pairs") >= min_pairs) & (c("_s") > 1e-12), c("_c") / c("_s")).alias("ic"))
 
@@ -56,8 +48,8 @@ def fitness(df: DataFrame, x: str, y: str, min_pairs: int = 100, share: float =
 
 def half(df: DataFrame, x: str, y: str, top: bool = True) -> DataFrame:
     """The rows of the better (or worse) half of x's percentile ranks in each period."""
-    p = df.where(c(x).isNotNull() & c(y).isNotNull()).withColumn("_p", ranks(c(x)) / F.count(F.lit(1)).over(in_period()))
-    return p.where(c("_p") > 0.5 if top else c("_p") <= 0.5).drop("_p")
+    p = with_ranks(df.where(c(x).isNotNull() & c(y).isNotNull()), {"_p": x}).withColumn("_p", c("_p") / c("_p_n"))
+    return p.where(c("_p") > 0.5 if top else c("_p") <= 0.5).drop("_p", "_p_n")
 
 
 def long_only_ic(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -68,16 +60,9 @@ def long_only_ic(df: DataFrame, x: str, y: str) -> DataFrame:
     return sign.crossJoin(up).crossJoin(down).select(F.abs(F.when(c("mean_ic") >= 0, c("up")).otherwise(c("down"))).alias("long_only_ic"))
 
 
-def bucket_of(x: Column, n: int, *by: str) -> Column:
-    """1..n by percentile rank among a date's values (of each of `by`): n - floor((1 - pct) * n)."""
-    w = Window.partitionBy("period", *by, x.isNotNull())
-    rank = F.rank().over(w.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("period", *by, x)) - 1) / 2
-    return F.when(x.isNotNull(), (n - F.floor((1 - rank / F.count(F.lit(1)).over(w)) * n)).cast("int"))
-
-
 def bucketed(df: DataFrame, x: str, n: int = 10) -> DataFrame:
     """The rows that have x, with their bucket."""
-    return df.where(c(x).isNotNull()).withColumn("bucket", bucket_of(c(x), n))
+    return with_bucket(df.where(c(x).isNotNull()), x, n)
 
 
 def group_returns(df: DataFrame, x: str, ret: str, n: int = 10) -> DataFrame:

@@ -1,10 +1,12 @@
-"""Ranks over a whole table, without its rows meeting in one task."""
+"""Ranks over a whole table or a date, without its rows meeting in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import cut
+
 c = F.col
 
 
@@ -22,3 +24,30 @@ def mean_ranks(df: DataFrame, x: str, name: str, parts: int = 64) -> DataFrame:
     below = below.select("_part", F.coalesce(F.sum("_m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
     inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
     return values.join(F.broadcast(below), "_part").select(x, (c("_below") + inside - c("_n") + (c("_n") + 1) / 2).alias(name))
+
+
+def with_ranks(df: DataFrame, columns: dict[str, Column | str], keys: tuple[str, ...] = ("period",), parts: int = 16) -> DataFrame:
+    """df with, for each name and column, the mean rank (1 for the least, null for null) among the values of the keys' rows, and in name_n their number.
+
+    The rows of a key are ranked in ranges between approximate quantiles, each from the number of values below it: one aggregation for the bounds and one for
+    the sizes of the ranges, which come back by broadcast (a row a key; a calendar bounds dates). df is written once first, as it is read three times.
+    """
+    x = {n: f"_{n}_x" for n in columns}
+    less = lambda name: lambda b: b < c(name)
+    d = cut(df.withColumns({x[n]: c(v) if isinstance(v, str) else v for n, v in columns.items()}))
+    bounds = d.groupBy(*keys).agg(*[F.percentile_approx(x[n], [i / parts for i in range(1, parts)], 100 * parts).alias(f"_{n}_b") for n in x], *[F.count(x[n]).alias(f"{n}_n") for n in x])
+    d = d.join(F.broadcast(bounds), [*keys]).withColumns({f"_{n}_part": F.when(c(x[n]).isNotNull(), F.size(F.filter(f"_{n}_b", less(x[n])))) for n in x})
+    sizes = d.groupBy(*keys).agg(*[F.array(*[F.count(F.when(c(f"_{n}_part") == i, 1)) for i in range(parts)]).alias(f"_{n}_s") for n in x])
+    d = d.join(F.broadcast(sizes), [*keys])
+    for n in x:
+        below = F.aggregate(F.slice(f"_{n}_s", 1, c(f"_{n}_part")), F.lit(0).cast("long"), lambda a, m: a + m)
+        part = Window.partitionBy(*keys, f"_{n}_part")
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, f"_{n}_part", x[n]))
+        d = d.withColumn(n, F.when(c(x[n]).isNotNull(), below + F.rank().over(part.orderBy(x[n])) + (ties - 1) / 2))
+    return d.select(*[k for k in df.columns if k not in x], *x, *[f"{n}_n" for n in x])
+
+
+def with_bucket(df: DataFrame, x: str, n: int, keys: tuple[str, ...] = ("period",), name: str = "bucket") -> DataFrame:
+    """df with the bucket, 1 to n, of x's percentile rank among the values of the keys' rows: n - floor((1 - pct) * n)."""
+    r = with_ranks(df, {"_rank_of": x}, keys)
+    return r.withColumn(name, F.when(c(x).isNotNull(), (n - F.floor((1 - c("_rank_of") / c("_rank_of_n")) * n)).cast("int"))).drop("_rank_of", "_rank_of_n")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.panel import report_period
-from .fitness import own_rank
+from .fitness import own_ranks
+from .ranking import with_ranks
 
 c = F.col
 
@@ -68,8 +69,7 @@ def group_returns_by_threshold(df: DataFrame, x: str, ret: str, n: int = 10) ->
     0 for an empty bucket, and for all of a date of fewer than n rows."""
     ok = c(x).isNotNull() & c(ret).isNotNull() & ~c("restricted")
     d = df.select("period", F.when(ok, c(x)).alias("_x"), F.when(ok, c(ret)).alias("_y"))
-    p = own_rank(c("_x"))
-    d = d.withColumn("_p", p).withColumn("bucket", reduce(lambda a, b: a + b, [(c("_p") > k / n).cast("int") for k in range(1, n)], F.lit(1)))
+    d = own_ranks(d, {"_p": "_x"}).withColumn("bucket", reduce(lambda a, b: a + b, [(c("_p") > k / n).cast("int") for k in range(1, n)], F.lit(1)))
     first = df.agg(F.min("period").alias("_first"))  # one row
     d = d.crossJoin(F.broadcast(first)).where("period > _first")
     means = d.groupBy("period").agg(F.count("_p").alias("_n"), *[F.avg(F.when(c("bucket") == k, c("_y"))).alias(f"_b{k}") for k in range(1, n + 1)])
@@ -84,9 +84,9 @@ def weekly_rebalanced(df: DataFrame, x: str, ret: str, n: int = 10) -> DataFrame
     of its members' over their number. Before a first bucket an entity is in none.
     """
     ok = ~F.coalesce(c("restricted"), F.lit(True)) & c(ret).isNotNull()
-    flat = Window.partitionBy("period")
-    d = df.withColumn("_x", F.when(F.stddev_samp(x).over(flat) > 0, c(x))).withColumn("_x", F.when(ok, c("_x")))
-    d = d.withColumn("_p", own_rank(c("_x"))).withColumn("_p", F.when(F.count("_p").over(flat) >= n, c("_p")))
+    spread = df.groupBy("period").agg((F.stddev_samp(x) > 0).alias("_varies"))  # one row a day
+    d = df.join(F.broadcast(spread), "period").withColumn("_x", F.when(ok & c("_varies"), c(x)))
+    d = with_ranks(d, {"_p": "_x"}).withColumn("_p", F.when(c("_p_n") >= n, c("_p") / c("_p_n")))
     d = d.withColumn("_g", F.coalesce((n - F.floor((1 - c("_p")) * n)).cast("int"), F.lit(-1)))
     by = Window.partitionBy("entity").orderBy("period")
     d = d.withColumn("_was", F.lag("_g").over(by)).withColumn("_week", F.date_trunc("week", "period"))

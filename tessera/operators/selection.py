@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import bucket_of, residual_of_many
-from .ranking import mean_ranks
+from .metrics import residual_of_many
+from .ranking import mean_ranks, with_bucket
 
 c = F.col
 
@@ -98,7 +98,7 @@ def forward_selection(df: DataFrame, factors: list[str], label: str, styles: lis
 def _disorder(rows: DataFrame, names: list[str], ic, n: int = 10) -> dict[str, float]:
     """For each factor how far its buckets' mean returns are from the order that its IC's sign says."""
     long = rows.select("period", "_r", *names).unpivot(["period", "_r"], names, "name", "v").where("v is not null")
-    buckets = long.withColumn("bucket", bucket_of(c("v"), n, "name")).groupBy("name", "bucket").agg(F.avg("_r").alias("ret")).collect()
+    buckets = with_bucket(long, "v", n, ("name", "period")).groupBy("name", "bucket").agg(F.avg("_r").alias("ret")).collect()
     out = {}
     for name in names:
         own = {r.bucket: (r.ret or 0.0) * (1 if ic[name] > 0 else -1) for r in buckets if r.name == name}

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stage import cut
+
+#: Ranges of values that a date's rows are ranked in.
+PARTS = 16
+
 
 class Flow:
     """Named columns to be computed over a dense panel (entity, qidx, period, industry, ...), and what each one needs.
@@ -15,11 +20,13 @@ class Flow:
 
     A figure of a whole date (a mean, a deviation, a slope) is a sum: it is aggregated where the rows are and comes back by broadcast, so the
     panel is not moved for it. A calendar bounds that table: a century of days has 36,525 rows, times the industries where
-    sums are by industry. Only ranks need the rows of a date in order, and so an exchange by period; with `parts`, a date's rows are ranked in as many
-    ranges of values apart, so that a date is no one's task. Ranks are the same then, for two more aggregations.
+    sums are by industry. Sums and rows both come of the panel below them, so that is read twice; where it holds such sums itself, or where sums by several
+    keys want it, it is written once first. What is read grows with the number of levels, then, and does not double with each.
+
+    Only ranks need the rows of a date in order. They are taken in `parts` ranges of values apart, so that a date is no one's task, for two more aggregations.
     """
 
-    def __init__(self, df: DataFrame, parts: int = 1):
+    def __init__(self, df: DataFrame, parts: int = PARTS):
         self.df, self.steps, self.memo, self.parts = df, {}, {}, parts
         self.count = 0
 
@@ -45,21 +52,38 @@ class Flow:
     def run(self, keep: dict[str, str] | None = None) -> DataFrame:
         """The panel with the columns in keep (new name -> step), or all steps."""
         df, left, done = self.df, dict(self.steps), set(self.df.columns)
+        levels = 0  # of sums since the panel was written
         while left:
-            sums = sorted({k for k, _, _ in left.values() if k[0] == "AG"})
-            for kind in ("EW", "TS", *sums, "CS"):
-                while ready := {n: c for n, (k, c, deps) in left.items() if k == kind and all(d in done for d in deps)}:
-                    if kind in sums:
-                        df = df.join(F.broadcast(df.groupBy(*kind[1]).agg(*[c.alias(n) for n, c in ready.items()])), [*kind[1]], "left")
-                    else:
-                        df = df.withColumns(ready)
-                    done |= set(ready)
-                    left = {n: s for n, s in left.items() if n not in ready}
+            for kind in ("EW", "TS"):
+                while ready := self._ready(left, done, lambda k: k == kind):  # noqa: B023
+                    df = df.withColumns({n: c for n, (_, c, _) in ready.items()})
+            if sums := self._ready(left, done, lambda k: k[0] == "AG"):
+                by: dict[tuple, list] = {}
+                for n, (kind, col, _) in sums.items():
+                    by.setdefault(kind[1], []).append(col.alias(n))
+                if levels + len(by) > 1:
+                    wanted = {d for _, _, deps in (*left.values(), *sums.values()) for d in deps} | set(self.df.columns) | (done if keep is None else set(keep.values()))
+                    df, levels = cut(df.select(*[x for x in df.columns if x in wanted])), 0
+                below, levels = df, levels + 1
+                for keys, cols in by.items():
+                    df = df.join(F.broadcast(below.groupBy(*keys).agg(*cols)), [*keys], "left")
+            elif ready := self._ready(left, done, lambda k: k == "CS"):
+                df = df.withColumns({n: c for n, (_, c, _) in ready.items()})
         if keep is None:
             return df
         return df.select(*[c for c in self.df.columns if c not in keep], *[F.col(s).alias(n) for n, s in keep.items()])
 
 
+    @staticmethod
+    def _ready(left: dict, done: set, fits) -> dict:
+        """Takes the steps of a kind whose columns are there out of what is left."""
+        ready = {n: s for n, s in left.items() if fits(s[0]) and all(d in done for d in s[2])}
+        for n in ready:
+            del left[n]
+        done |= set(ready)
+        return ready
+
+
 def along(k: int) -> Window:
     """The last k rows of the entity, this one included."""
     return Window.partitionBy("entity").orderBy("qidx").rowsBetween(-(k - 1), 0)

@@ -9,8 +9,9 @@ from ..operators import evolve as gp
 from ..operators import fitness, metrics, selection
 from ..sources.panel import PART_PANEL_SQL, dense, first_disclosed, part_panel, report_period, standalone_quarter, table, unpivoted
 from .expression import parse
-from .expression import evaluate
+from .expression import canonical, evaluate
 from .operator_sql import avg_rank, change, query, w, z
+from .stage import cut
 
 c = F.col
 R = lambda x, n=6: (F.round(x, n) + 0.0)
@@ -158,7 +159,7 @@ def entity_figures(spark, sf_dir):
     return g.select("entity", R("positive").alias("positive"), R("weighted", 4).alias("weighted"))
 
 
-@report(panel_sql("ok AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), s AS (SELECT entity, qidx, x - (CASE WHEN var_pop(y) OVER q > 0 THEN covar_pop(x, y) OVER q / var_pop(y) OVER q * (y - avg(y) OVER q) ELSE 0 END + avg(x) OVER q) AS r, count(*) OVER q AS n FROM ok WINDOW q AS (PARTITION BY period)) SELECT entity, qidx, round(r, 5) + 0 AS residual FROM p LEFT JOIN s USING (entity, qidx)").replace("WINDOW q", "WINDOW q"))
+@report(panel_sql("ok AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL), ft AS (SELECT period, CASE WHEN var_pop(y) > 0 THEN covar_pop(x, y) / var_pop(y) ELSE 0 END AS b, avg(x) AS mx, avg(y) AS my FROM ok GROUP BY period HAVING count(*) >= 2) SELECT p.entity, p.qidx, round(p.x - (ft.b * (p.y - ft.my) + ft.mx), 5) + 0 AS residual FROM p LEFT JOIN ft ON ft.period = p.period"))
 def neutral_residual(spark, sf_dir):
     p = part_panel(spark, sf_dir)
     r = metrics.residual_of_many(p, "x", ["y"])
@@ -194,9 +195,9 @@ def winsor_forward_return(spark, sf_dir):
     by = Window.partitionBy("entity").orderBy("qidx")
     last = F.lead(F.lit(1), 5).over(by)
     f = g.withColumn("f", F.when(last.isNotNull(), F.sum("ret").over(by.rowsBetween(1, 5)) / 5))
-    day = Window.partitionBy("period")
-    lo, hi = (F.percentile("f", F.lit(q)).over(day) for q in (0.025, 0.975))
-    return f.select("entity", c("period").cast("string").alias("day"), R(F.when(c("f").isNotNull(), F.greatest(lo, F.least(hi, c("f"))))).alias("fwd"))
+    f = cut(f.select("entity", "period", "f"))
+    held = f.groupBy("period").agg(*[F.percentile("f", F.lit(q)).alias(n) for n, q in (("lo", 0.025), ("hi", 0.975))])  # one row a day
+    return f.join(F.broadcast(held), "period").select("entity", c("period").cast("string").alias("day"), R(F.when(c("f").isNotNull(), F.greatest("lo", F.least("hi", "f")))).alias("fwd"))
 
 
 @report(f"WITH {_DAYS}, s AS (SELECT entity, day, CASE WHEN ret > 300 THEN 1 ELSE 0 END AS restricted FROM dy) SELECT entity, (date_trunc('month', day)::DATE)::VARCHAR AS period, avg(CASE WHEN restricted = 0 THEN 1 ELSE 0 END) <= 0.5 AS restricted FROM s GROUP BY 1, 2")
@@ -293,10 +294,33 @@ def evolution(spark, sf_dir):
     """A seeded search of the module's own size; the records of all generations."""
     panel = part_panel(spark, sf_dir).select("entity", "period", "qidx", "industry", "x", "y", "fwd_ret")
     ops = ["cs_add", "cs_sub", "cs_mul", "cs_div", "cs_rank", "cs_zscore", "cs_abs", "cs_neg", "cs_demean", "ts_mean_4", "ts_delta_1", "ts_std_2", "ts_delay_1", "ts_max_4", "ts_min_4", "ts_pct_1"]
-    records = gp.evolve(panel, ops, ["x", "y"])
+    records = gp.evolve(panel, ops, ["x", "y"], rule=gp.Rule(coverage=0.5))
     return spark.createDataFrame(records, "generation int, idx int, formulation string, ic double, method string, n_nodes int")
 
 
+#: Programs that a search scores at once, and the same in SQL.
+_PROGRAMS = {"x": "x", "cs_add(x, y)": "x + y", "cs_neg(y)": "-y", "cs_zscore(x)": "(x - avg(x) OVER (PARTITION BY period)) / stddev_samp(x) OVER (PARTITION BY period)", "cs_mul(x, x)": "x * x"}
+
+
+def _searched(name: str, picked: str):
+    def run(spark, sf_dir):
+        rule = gp.Rule(name, 0.6, 2, 0.0, ("y",))
+        got = gp.score(part_panel(spark, sf_dir), [parse(t) for t in _PROGRAMS], "fwd_ret", rule=rule)
+        rows = [(t, got[str(canonical(parse(t)))]) for t in _PROGRAMS]
+        return spark.createDataFrame(rows, "program string, value double").select("program", R("value").alias("value"))
+
+    run.__name__ = f"search_by_{name}"
+    parts = f"{_COVER}, {_K}, {_FIT}, {_PCT}, {picked}".replace("y AS style", "y0 AS style").replace("FROM p ", "FROM pz ")
+    of = lambda text, sql: f"SELECT '{text}' AS program, value FROM (WITH pz AS (SELECT entity, period, restricted, fwd_ret, y AS y0, {sql} AS x FROM p), {parts})"
+    report(panel_sql("every AS (" + " UNION ALL ".join(of(*pair) for pair in _PROGRAMS.items()) + ") SELECT program, value FROM every"))(run)
+
+
+_searched("pearson", f"{_ICS('f', 'y1')} SELECT round(coalesce(abs(avg(ic)), -1), 6) AS value FROM ic")
+_searched("spearman", f"{_ICS('pf', 'p1')} SELECT round(coalesce(abs(avg(ic)), -1), 6) AS value FROM ic")
+_searched("neutral_ic", f"{_ICS('pf', 'pr')} SELECT round(coalesce(abs(avg(ic)), -1), 6) AS value FROM ic")
+_searched("alert_ic", f"{_ICS('pf', 'p1')} SELECT round(coalesce(avg(ic), -1), 6) + 0 AS value FROM ic")
+
+
 _PD = "pd AS (SELECT x, y * 1000 AS y, y * 1000 - x AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL)"
 
 

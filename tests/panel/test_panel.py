@@ -42,6 +42,8 @@ def near(got, want):
 
 
 N = None
+#: For panels of a few entities.
+LOOSE = gp.Rule(coverage=0.0, pairs=2, share=0.0)
 
 
 @pytest.mark.parametrize(
@@ -174,8 +176,8 @@ def test_search_is_seeded_and_prefix(spark):
     p = panel(spark, {e: [rng.random() for _ in range(4)] for e in range(40)}, {e: [rng.random() for _ in range(4)] for e in range(40)})
     ops = ["cs_add", "cs_rank", "ts_delay_1"]
     s = gp.Settings(population=4, generations=1)
-    short = gp.evolve(p, ops, ["x", "y"], "y", s)
-    long = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2))
+    short = gp.evolve(p, ops, ["x", "y"], "y", s, rule=LOOSE)
+    long = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2), rule=LOOSE)
     assert long[: len(short)] == short and len(short) == 4 * 2 + 4
 
 
@@ -216,7 +218,7 @@ def test_original_first():
 def test_evolution_with_originality_and_elitists(spark):
     p = panel(spark, {e: [float(e * q % 7) for q in range(4)] for e in range(1, 41)}, {e: [float(e + q) for q in range(4)] for e in range(1, 41)})
     s = gp.Settings(population=4, generations=2, replacement="elitist", originality=0.3)
-    first = gp.evolve(p, ["cs_add", "cs_rank", "cs_mul"], ["x", "y"], "y", s)
+    first = gp.evolve(p, ["cs_add", "cs_rank", "cs_mul"], ["x", "y"], "y", s, rule=LOOSE)
     assert {r["generation"] for r in first} == {0, 1, 2} and len(first) == 8 + 4 + 4
 
 
@@ -343,16 +345,16 @@ def test_search_controls(spark):
     rng = random.Random(1)
     p = panel(spark, {e: [rng.random() for _ in range(4)] for e in range(40)}, {e: [rng.random() for _ in range(4)] for e in range(40)})
     ops = ["cs_add", "cs_rank", "ts_delay_1"]
-    first = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2, stop=-2.0))
+    first = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=2, stop=-2.0), rule=LOOSE)
     assert {r["generation"] for r in first} == {0}
-    plain = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0))
-    costly = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0, parsimony=0.5, penalty_weight=0.2), judged={plain[0]["formulation"]: 5.0})
+    plain = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0), rule=LOOSE)
+    costly = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0, parsimony=0.5, penalty_weight=0.2), rule=LOOSE, judged={plain[0]["formulation"]: 5.0})
     for a, b in zip(plain, costly):
         owed = 0.1 if a["formulation"] == plain[0]["formulation"] and a["ic"] >= 0 else 0.0
         assert a["fitness"] == a["ic"] and b["fitness"] == pytest.approx(b["ic"] - owed - 0.5 * b["n_nodes"])
     auto = gp.Settings(parsimony="auto")
     assert gp.parsimony_coefficient([1, 2, 3], [1.0, 2.0, 3.0], auto) == pytest.approx(1.5) and gp.parsimony_coefficient([2, 2], [1.0, 3.0], auto) == 0
-    only = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0), crossover_ops=["cs_mul"])
+    only = gp.evolve(p, ops, ["x", "y"], "y", gp.Settings(population=4, generations=0), rule=LOOSE, crossover_ops=["cs_mul"])
     assert all("cs_rank(" not in r["formulation"] or r["n_nodes"] == 2 for r in only)
     records = spark.createDataFrame([(0, i, t, v) for i, (t, v) in enumerate([("x", 0.5), ("cs_mul(x, 2.0)", 0.4), ("y", 0.3), ("x", 0.2)])], "generation int, idx int, formulation string, ic double")
     assert gp.best_programs(p, records, 3, 2) == ["x", "y"] and gp.best_programs(p, records, 9, 9) == ["x", "cs_mul(x, 2.0)", "y"]
