@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.expression import Node, evaluate
-from . import metrics
-from .ranking import with_bucket
+from ..plans.stage import cut
+from ..sources.results import union_all
+from . import batch, metrics
+from .ranking import with_bucket, with_ranks
 from .selection import without_correlated
 
 c = F.col
@@ -175,6 +177,28 @@ def node_metrics(panel: DataFrame, trees: dict[str, Node], label: str, least: fl
     return names.join(got, "node", "left")
 
 
+def daily_node_metrics(panel: DataFrame, trees: dict[str, Node], label: str, n: int = 10, periods: int = 250) -> DataFrame:
+    """node, formulation, mean_ic, icir, days (of rank ICs), annual, sharpe, drawdown: every part of the expressions day by day. The return of a day is that of the
+    highest bucket of the part's values less that of the lowest (of n; with few different values the outermost that there are), turned round if the mean rank IC is negative.
+
+    All parts are ranked in one table that is range-partitioned by part, day and value, and only sums by part, day and bucket go on; the largest fall is over a row a part and day.
+    """
+    parts = nodes_of(trees)
+    ranked = with_ranks(panel, {"_rank": label}).withColumn("_rank", c("_rank") / c("_rank_n")).drop("_rank_n")
+    frames = evaluate(ranked, {k: t for k, (_, t) in parts.items()})
+    names = [[k for k in parts if k in df.columns] for df in frames]
+    ics = union_all([batch.rank_ics(batch._long(df, some, "_rank"), 2) for df, some in zip(frames, names)])
+    long = union_all([batch._long(df, some, label) for df, some in zip(frames, names)])
+    buckets = with_bucket(long, "v", n, ("name", "period")).where("label is not null").groupBy("name", "period", "bucket").agg(F.avg("label").alias("ret"))
+    spread = buckets.groupBy("name", "period").agg((F.max_by("ret", "bucket") - F.min_by("ret", "bucket")).alias("spread"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    total = ics.groupBy("name").agg(F.avg("ic").alias("mean_ic"), (F.try_divide(F.avg("ic"), F.stddev_samp("ic")) * F.sqrt(F.count("ic"))).alias("icir"), F.count("ic").alias("days"))
+    total = cut(total)  # a row a part
+    signed = spread.join(F.broadcast(total.select("name", F.when(c("mean_ic") < 0, -1.0).otherwise(1.0).alias("sign"))), "name").select("name", "period", (c("sign") * c("spread")).alias("ret"))
+    texts = panel.sparkSession.createDataFrame([(k, str(t)) for k, (_, t) in parts.items()], "name string, formulation string")
+    stats = metrics.portfolio_stats(signed, "name", periods)
+    return texts.join(total, "name", "left").join(stats, "name", "left").withColumnRenamed("name", "node")
+
+
 def post_run(cands: list[tuple[str, Node, float]], panel: DataFrame, least: float = 0.04, most_corr: float = 0.6, materialise=evaluate) -> dict:
     """What is left of a snapshot (name, tree, score): scores from `least` on, then the best first, each that no better one that stays correlates with
     above most_corr (mean over dates). The report says how many were tested and left, or which stage failed; below the cut nothing is computed."""

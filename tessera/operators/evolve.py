@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -40,6 +41,26 @@ class Settings:
     #: the most that a score of 0 takes off; a score of 10 takes nothing
     penalty_weight: float = 0.0
 
+    def __post_init__(self):
+        """Values as JSON has them: a depth can be a list."""
+        object.__setattr__(self, "depth", tuple(self.depth))
+        if self.replacement not in ("generational", "parent", "elitist"):
+            raise ValueError(f"no such replacement: {self.replacement}")
+        if min(self.population, self.warm_start, self.tournament) < 1 or self.generations < 0:
+            raise ValueError("population, warm start and tournament are whole numbers from 1")
+
+    def to_json(self) -> str:
+        """One object; an endless `stop` is null."""
+        return json.dumps({k: None if v == math.inf else v for k, v in asdict(self).items()}, indent=2, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Settings:
+        """Settings from one object; what it lacks has its usual value, and a name that is no setting is an error."""
+        given = json.loads(text)
+        if strange := set(given) - {f.name for f in fields(cls)}:
+            raise KeyError(f"no such setting: {', '.join(sorted(strange))}")
+        return cls(**{k: math.inf if k == "stop" and v is None else v for k, v in given.items()})
+
 
 def grow(rng: random.Random, ops: list[str], features: list[str], depth: int, full: bool) -> Node:
     """A random tree; constants only under operators that take them."""

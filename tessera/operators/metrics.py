@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import cut
 from .ranking import with_bucket, with_ranks
 
 c = F.col
@@ -153,9 +154,89 @@ def residual_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return df.select("entity", "period", *dict.fromkeys(cols)).join(F.broadcast(fit), "period", "left").select("entity", "period", F.when(ok, c(y) - line).alias("residual"))
 
 
+#: Columns of a tile of the matrix of correlations, and states of tiles that a task holds.
+TILE, STATES = 64, 64
+
+
+def _tile_state(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each column of x and each of y, over the rows that have both: their number, either's mean, the sum of products and of either's squares about the means."""
+    here, there = ~np.isnan(x), ~np.isnan(y)
+    mid = lambda v, ok: np.where(ok.any(axis=0), np.where(ok, v, 0.0).sum(axis=0) / np.maximum(1, ok.sum(axis=0)), 0.0)
+    cx, cy = mid(x, here), mid(y, there)
+    u, w = np.where(here, x - cx, 0.0), np.where(there, y - cy, 0.0)
+    here, there = here.astype(float), there.astype(float)
+    n = here.T @ there
+    su, sw, one = u.T @ there, here.T @ w, np.maximum(n, 1)
+    return np.stack([n, cx[:, None] + su / one, cy[None, :] + sw / one, u.T @ w - su * sw / one, (u * u).T @ there - su * su / one, here.T @ (w * w) - sw * sw / one])
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The state of the rows of two states."""
+    n = a[0] + b[0]
+    share, both = b[0] / np.maximum(n, 1), a[0] * b[0] / np.maximum(n, 1)
+    du, dw = b[1] - a[1], b[2] - a[2]
+    return np.stack([n, a[1] + du * share, a[2] + dw * share, a[3] + b[3] + du * dw * both, a[4] + b[4] + du * du * both, a[5] + b[5] + dw * dw * both])
+
+
 def correlations(df: DataFrame, xs: list[str]) -> DataFrame:
-    """a, b, corr: the mean over periods of the correlation of each two columns."""
-    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :]]
-    long = df.select("period", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(a).alias("p"), c(b).alias("q")) for a, b in pairs])).alias("s")).select("period", "s.*").where("p is not null and q is not null")
-    per = long.groupBy("period", "a", "b").agg(F.covar_pop("p", "q").alias("cv"), (F.stddev_pop("p") * F.stddev_pop("q")).alias("s"))
-    return per.groupBy("a", "b").agg(F.avg(F.when(c("s") > 1e-12, c("cv") / c("s"))).alias("corr"))
+    """a, b, corr: the mean over periods of the correlation of each two columns, each over the rows that have both.
+
+    One pass: rows are dealt out in ranges of dates, a task turns those of a date into matrices of products of TILE columns by TILE, and what several tasks have of
+    a date and tile is put together from their states, one at a time. Work on a row is a matrix product, and no row is copied for a pair.
+    """
+    k, starts = len(xs), range(0, len(xs), TILE)
+    tiles = [(i, j) for i in starts for j in starts if i <= j]
+    d = cut(df.select("period", *[c(n).cast("double").alias(f"_{i}") for i, n in enumerate(xs)]))
+    if k < 2:
+        return d.sparkSession.createDataFrame([], "a string, b string, corr double")
+    days = d.schema["period"].dataType.simpleString()
+
+    def states(batches):
+        held: dict = {}
+
+        def out():
+            rows = [(p, i, j, s.tobytes()) for (p, i, j), s in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=["period", "i", "j", "state"])
+
+        for pdf in batches:
+            code, day = pd.factorize(pdf.period)
+            m = pdf[[f"_{i}" for i in range(k)]].to_numpy(float)
+            for n, p in enumerate(day):
+                own = m[code == n]
+                for i, j in tiles:
+                    s = _tile_state(own[:, i : i + TILE], own[:, j : j + TILE])
+                    held[p, i, j] = _merged(held[p, i, j], s) if (p, i, j) in held else s
+                if len(held) > STATES:
+                    yield out()
+        if held:
+            yield out()
+
+    def ends(batches):
+        key, state = None, None
+
+        def out():
+            n, s = state[0], np.sqrt(np.maximum(state[4], 0) * np.maximum(state[5], 0)) / np.maximum(state[0], 1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = np.where(s > 1e-12, state[3] / np.maximum(n, 1) / s, np.nan)
+            i, j = np.nonzero(n > 0)
+            on = i + key[1] < j + key[2]
+            i, j = i[on], j[on]
+            return pd.DataFrame({"i": i + key[1], "j": j + key[2], "r": r[i, j]})
+
+        for pdf in batches:
+            for p, i, j, raw in zip(pdf.period, pdf.i, pdf.j, pdf.state):
+                s = np.frombuffer(raw).reshape(6, min(TILE, k - i), min(TILE, k - j))
+                if (p, i, j) == key:
+                    state = _merged(state, s)
+                    continue
+                if key is not None:
+                    yield out()
+                key, state = (p, i, j), s
+        if key is not None:
+            yield out()
+
+    parts = d.repartitionByRange("period", F.xxhash64(*d.columns)).mapInPandas(states, f"period {days}, i int, j int, state binary")
+    per = parts.repartition("period", "i", "j").sortWithinPartitions("period", "i", "j").mapInPandas(ends, "i int, j int, r double")
+    names = F.array(*[F.lit(n) for n in xs])
+    return per.groupBy("i", "j").agg(F.avg(F.when(~F.isnan("r"), c("r"))).alias("corr")).select(names[c("i")].alias("a"), names[c("j")].alias("b"), "corr")

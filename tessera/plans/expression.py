@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cross_section import OPERATORS
@@ -150,3 +152,24 @@ def register_operator(name: str, arity: int, build_, sample: DataFrame) -> None:
     if any(bad):
         raise ValueError(f"{name} is not closed on ones, zeros and negatives")
     USER[name] = (arity, build_)
+
+
+#: Functions that can be applied to what a program gives, under their names.
+TRANSFORMERS: dict[str, Callable[[Column], Column]] = {"sigmoid": lambda x: 1 / (1 + F.exp(-x))}
+
+
+def register_transformer(name: str, f: Callable[[Column], Column], spark: SparkSession) -> None:
+    """An output transformer: one column to one column of finite or missing doubles, tried on ones, zeros and negatives first."""
+    got = spark.createDataFrame([(v,) for v in (1.0, 0.0, -1.0)], "x double").select(f(F.col("x")).cast("double").alias("y")).collect()
+    if any(r.y is not None and not math.isfinite(r.y) for r in got):
+        raise ValueError(f"{name} is not finite on ones, zeros and negatives")
+    TRANSFORMERS[name] = f
+
+
+def transformed(df: DataFrame, names: list[str], transformer: str | None) -> DataFrame:
+    """df with the named columns as the transformer makes them; as they are without one."""
+    if transformer is None:
+        return df
+    if transformer not in TRANSFORMERS:
+        raise KeyError(f"no transformer {transformer}")
+    return df.withColumns({n: TRANSFORMERS[transformer](F.col(n)) for n in names})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -140,3 +142,21 @@ def daily_wide(spark: SparkSession, folder: str, name: str, key: str = "entity",
 def write_panel(df: DataFrame, path: str, by: str = "entity") -> None:
     """A panel as Parquet, clustered by entity so that work along time reads whole entities together."""
     df.repartition(by).sortWithinPartitions(by, "qidx").write.mode("overwrite").parquet(path)
+
+
+def write_panel(df: DataFrame, names: list[str], path: str, about: dict | None = None) -> dict:
+    """Writes the features of a panel, and beside them a JSON line of what is known of them: names, rows, each one's coverage over all cells, and `about`. Coverage is counted in
+    the job that writes, so the panel is computed once; it is returned too."""
+    seen = Observation()
+    counted = df.select("entity", "period", *names).observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(f"n{i}") for i, n in enumerate(names)])
+    counted.write.mode("overwrite").parquet(f"{path}/data")
+    got = seen.get
+    known = {**(about or {}), "features": names, "rows": got["rows"], "coverage": {n: got[f"n{i}"] / max(1, got["rows"]) for i, n in enumerate(names)}}
+    df.sparkSession.createDataFrame([(json.dumps(known, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+    return known
+
+
+def read_panel(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[DataFrame, dict]:
+    """The features asked for (all without), and what is known of the panel; a feature that is not there is an error."""
+    known = json.loads(spark.read.text(f"{path}/about").first().value)
+    return features_of(spark.read.parquet(f"{path}/data"), names or known["features"]), known
