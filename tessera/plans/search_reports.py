@@ -171,3 +171,18 @@ _W = "(PARTITION BY entity ORDER BY qidx"
 def feature_formulas(spark, sf_dir):
     formulas = {"f1": "diff4q(TTM(x) / y)", "f2": "diff1q(x)", "f3": "QTR(x) / diff1q(x)"}
     return with_formulas(part_panel(spark, sf_dir).select("entity", "qidx", "x", "y"), formulas).select("entity", "qidx", R("f1", 5).alias("f1"), R("f2").alias("f2"), R(c("f3") + 1e-9, 4).alias("f3"))
+
+
+_DAY = """{n}a AS (SELECT period, {v} AS v, fwd_ret AS r, pr FROM lr WHERE NOT restricted AND {v} IS NOT NULL), {n}b AS (SELECT *, {rank} / count(*) OVER (PARTITION BY period) AS pv FROM {n}a),
+{n}i AS (SELECT avg(ic) AS mean_ic, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) AS icir, count(ic) AS days FROM (SELECT corr(pv, pr) AS ic FROM {n}b WHERE pr IS NOT NULL GROUP BY period HAVING count(*) >= 2)),
+{n}g AS (SELECT period, (10 - floor((1 - pv) * 10))::INTEGER AS b, avg(r) AS ret FROM {n}b WHERE r IS NOT NULL GROUP BY 1, 2),
+{n}s AS (SELECT period, CASE WHEN mean_ic < 0 THEN -1 ELSE 1 END * (arg_max(ret, b) - arg_min(ret, b)) AS ret FROM {n}g, {n}i GROUP BY period, mean_ic HAVING count(*) > 1),
+{n}c AS (SELECT *, sum(ret) OVER (ORDER BY period) AS cum FROM {n}s), {n}d AS (SELECT *, greatest(0, max(cum) OVER (ORDER BY period)) - cum AS dd FROM {n}c),
+{n} AS (SELECT '{t}' AS formulation, any_value(mean_ic) AS mean_ic, any_value(icir) AS icir, any_value(days) AS days, avg(ret) * 4 AS annual, avg(ret) / stddev_pop(ret) * sqrt(4) AS sharpe, max(dd) AS drawdown FROM {n}d, {n}i)"""
+
+
+@report(panel_sql(f"l1 AS (SELECT *, x - {lag('x')} AS d FROM p), lr AS (SELECT *, {avg_rank('fwd_ret')} / count(fwd_ret) OVER (PARTITION BY period) AS pr FROM l1), " + ", ".join(_DAY.format(n=n, v=v, t=t, rank=avg_rank("v")) for n, v, t in (("ka", "d", "ts_delta_1(`x`)"), ("kb", "x", "`x`"))) + " SELECT formulation, round(mean_ic, 6) + 0 AS mean_ic, round(icir, 6) + 0 AS icir, days, round(annual, 6) + 0 AS annual, round(sharpe, 6) + 0 AS sharpe, round(drawdown, 6) + 0 AS drawdown FROM (FROM ka UNION ALL FROM kb)"))
+def daily_node_metrics(spark, sf_dir):
+    """Every part of a program, date by date: rank ICs and the hedged return's figures."""
+    n = candidates.daily_node_metrics(part_panel(spark, sf_dir), {"f": parse("ts_delta_1(x)")}, "fwd_ret", periods=4)
+    return n.select("formulation", R("mean_ic").alias("mean_ic"), R("icir").alias("icir"), "days", *[R(k).alias(k) for k in ("annual", "sharpe", "drawdown")])
