@@ -64,6 +64,8 @@ def _open(panel: DataFrame, label: str) -> dict:
 
 def _covered(counts: dict, dates: dict, least: float) -> set:
     """The dates on which an expression with so many values a date counts."""
+    if least <= 0:
+        return set(counts)
     share = {p: counts.get(p, 0) / n for p, (n, _) in dates.items() if n}
     if not share or math.fsum(share.values()) / len(share) < least:
         return set()
@@ -97,7 +99,7 @@ def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50,
     if rule.metric not in METRICS:
         raise KeyError(f"no search goes by {rule.metric}")
     names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
-    dates = _open(panel, label)
+    dates = _open(panel, label) if rule.coverage > 0 else {}
     ics, ranked = {str(t): {} for t in names.values()}, METRICS[rule.metric]
     if ranked:
         if rule.metric == "neutral_ic":

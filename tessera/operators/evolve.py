@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.expression import Node, canonical, evaluate, lookup, parse
+from ..plans.stage import cut
 from ..sources.store import IcStore
 from .batch import Rule, fitness_of, ic_series, labelled, score  # noqa: F401  (scores of a batch go by the search's name too)
 
@@ -181,6 +182,7 @@ def evolve(panel: DataFrame, ops: list[str], features: list[str], label: str = "
     says; -1 for one that fails it. What `store` holds of the same rule and label is read instead of computed, and what it lacks is added.
     """
     rng, records, series, judged = random.Random(s.seed), [], {}, judged or {}
+    panel = cut(panel)  # every generation reads it
     dates = labelled(panel, label)
     value = lambda ics: fitness_of(ics, rule, dates)
     key = lambda t: str(canonical(t))
