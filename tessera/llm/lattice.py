@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from .common import cut, scratch, small_batches, space_words
 
 #: Words whose scores every task holds; those of all others come by a join.
 FREQUENT = 100_000
+#: Characters of a word whose arcs are held at a time.
+BLOCK = 1 << 14
 #: A word's pieces start with this mark.
 MARK = "▁"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -32,14 +35,15 @@ class Lattice:
     def __init__(self, pieces: dict[str, int], byte_ids: list[int], logp: np.ndarray, end: float):
         self.pieces, self.byte_ids, self.logp, self.end = pieces, byte_ids, logp.tolist(), end
         self.single = frozenset(p for p in pieces if len(p) == 1)
+        self.longest = max(map(len, pieces), default=1)
         self._found = None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "_found": None}
 
-    def arcs(self, word: str) -> list[tuple[int, int, float, int | tuple]]:
-        """(start, end, log probability, piece) of all pieces in the marked word, by end. A character that is no piece itself can only be
-        spelled in bytes: its arc has all of them."""
+    def arcs(self, s: str, lo: int, hi: int) -> list[tuple[int, int, float, int | tuple]]:
+        """(start, end, log probability, piece) of all pieces in the marked word s that end after lo, by hi at most; by end. Every character has an
+        arc of its own: one that is no piece itself can only be spelled in bytes, and its arc has all of them."""
         if self._found is None:  # once a process
             import ahocorasick
 
@@ -48,58 +52,57 @@ class Lattice:
                 self._found.add_word(p, (len(p) - 1, self.logp[i], i))
             if self.pieces:
                 self._found.make_automaton()
-        s = MARK + word
-        out = [(e - n, e + 1, p, i) for e, (n, p, i) in self._found.iter(s)] if self.pieces else []
-        if strange := set(s) - self.single:
-            for i, c in enumerate(s):
-                if c in strange:
-                    b = tuple(self.byte_ids[x] for x in c.encode())
+        a = max(0, lo + 1 - self.longest)
+        out = [(a + e - n, a + e + 1, p, i) for e, (n, p, i) in self._found.iter(s[a:hi]) if a + e >= lo] if self.pieces else []
+        if strange := set(s[lo:hi]) - self.single:
+            for i in range(lo, hi):
+                if s[i] in strange:
+                    b = tuple(self.byte_ids[x] for x in s[i].encode())
                     out.append((i, i + 1, sum(self.logp[x] for x in b), b))
             out.sort(key=lambda x: x[1])
         return out
 
-    def _forward(self, word: str, arcs: list) -> list[float | None]:
-        at: list[float | None] = [None] * (len(word) + 2)
-        at[0] = 0.0
-        now, into = 0, []
-        for start, end, p, _ in arcs:
-            if end != now:
-                at[now] = _log_sum(into) if now else 0.0
-                now, into = end, []
-            if (a := at[start]) is not None:
-                into.append(a + p)
-        if now:
+    def _forward(self, s: str) -> array:
+        """For each place in s the log of the sum over the segmentations up to it; of arcs only a block's are held."""
+        at = array("d", bytes(8 * (len(s) + 1)))
+        for lo in range(0, len(s), BLOCK):
+            now, into = lo, []
+            for start, end, p, _ in self.arcs(s, lo, min(lo + BLOCK, len(s))):
+                if end != now:
+                    if into:
+                        at[now] = _log_sum(into)
+                    now, into = end, []
+                into.append(at[start] + p)
             at[now] = _log_sum(into)
         return at
 
     def word(self, word: str) -> float:
         """Log of the sum, over all segmentations of the marked word into pieces, of the product of their probabilities."""
-        return self._forward(word, self.arcs(word))[-1]
+        return self._forward(MARK + word)[-1]
 
     def expect(self, word: str, c: float, sums: np.ndarray) -> None:
-        """Adds to sums, by id, c times how often each piece is expected in a segmentation of the word."""
-        arcs = self.arcs(word)
-        before = self._forward(word, arcs)
-        after: list[list[float]] = [[] for _ in before]
-        after[-1] = [0.0]
-        whole, now, rest = before[-1], -1, None
-        for start, end, p, i in reversed(arcs):
-            if end != now:
-                now, rest = end, _log_sum(after[end])
-            if rest is None or before[start] is None:
-                continue
-            after[start].append(rest + p)
-            share = c * math.exp(before[start] + p + rest - whole)
-            if isinstance(i, tuple):
-                for b in i:
-                    sums[b] += share
-            else:
-                sums[i] += share
-
-
-def _log_sum(x: list[float]) -> float | None:
-    if len(x) < 2:
-        return x[0] if x else None
+        """Adds to sums, by id, c times how often each piece is expected in a segmentation of the word. Blocks are read again from the last;
+        what comes after a place is held until the arcs that end there are done."""
+        s = MARK + word
+        before = self._forward(s)
+        whole, after = before[-1], {len(s): [0.0]}
+        for lo in reversed(range(0, len(s), BLOCK)):
+            now, rest = -1, 0.0
+            for start, end, p, i in reversed(self.arcs(s, lo, min(lo + BLOCK, len(s)))):
+                if end != now:
+                    now, rest = end, _log_sum(after.pop(end))
+                after.setdefault(start, []).append(rest + p)
+                share = c * math.exp(before[start] + p + rest - whole)
+                if isinstance(i, tuple):
+                    for b in i:
+                        sums[b] += share
+                else:
+                    sums[i] += share
+
+
+def _log_sum(x: list[float]) -> float:
+    if len(x) == 1:
+        return x[0]
     m = max(x)
     return m + math.log(sum([math.exp(v - m) for v in x]))
 

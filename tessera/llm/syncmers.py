@@ -16,8 +16,8 @@ from .common import by_hot_key, by_ids, cut, mixed, running_totals, small_batche
 K, S = 40, 8
 #: Texts of fewer than SHORT characters have finer anchors: of any 12 characters in a row at least one.
 SHORT, FINE_K, FINE_S = 200, 8, 3
-#: Bytes of text in a part, which one task holds row by row: a bound on a task's work and on how many parts are known to the driver.
-PART_BYTES = 16 << 20
+#: Bytes of text in a part, which one task reads row by row, and how many parts the driver knows at most (or four times the shuffle partitions, if more).
+PART_BYTES, PARTS = 16 << 20, 2048
 _B = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -131,8 +131,9 @@ def syncmers(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
     The edited text is the text with its last n_chars // 4 code points replaced by the first as many of the next row's, by ascending
     doc_id (null first, ties by the text's md5), the first row's after the last. Null counts as empty, whose fingerprint is empty; two such are alike (1).
-    Rows go into contiguous parts of about part_bytes of text; the first row of each part also goes, marked, to the part
-    before, so the texts are shuffled once. Equal rows of one id follow one another and travel as one with their number, so no id
+    Rows go into contiguous parts of about part_bytes of text, larger ones where there would be more than PARTS parts or four times the
+    session's shuffle partitions: the driver knows the first row of each, so their number must not follow the data. A part's rows are
+    streamed. The first row of each part also goes, marked, to the part before, so the texts are shuffled once. Equal rows of one id follow one another and travel as one with their number, so no id
     or missing id is a hot key. An empty table gives an empty one; other columns of docs are not looked at.
     """
     spark = docs.sparkSession
@@ -142,8 +143,11 @@ def syncmers(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     keys = base.groupBy("doc_id", "m").agg(F.max(F.octet_length("text") + 1).cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("m")]
     placed = running_totals(keys, order, "size")
-    at = cut(placed.withColumn("part", F.floor(F.col("before") / part_bytes)))
-    # where each part starts: one row for part_bytes of text
+    at = cut(placed)
+    most = max(PARTS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = at.agg(F.coalesce(F.max(F.col("before") + F.col("size")), F.lit(0))).first()[0]
+    at = at.withColumn("part", F.expr(f"before div {max(part_bytes, -(-whole // most))}"))
+    # where each part starts: one row a part
     starts = [(r.doc_id is not None, r.doc_id or 0, r.m) for r in at.groupBy("part").agg(F.min_by(F.struct("doc_id", "m"), "before").alias("r")).select("part", "r.*").orderBy("part").collect()]
     repeated = cut(at.where("n > 1").select("doc_id", "m", "n"))
     if repeated.limit(1).count():
