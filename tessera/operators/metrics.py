@@ -122,6 +122,14 @@ def weighted_sum(x: str, weight: str) -> Column:
     return F.coalesce(F.sum(c(x) * c(weight)), F.lit(0.0)) / F.when(whole == 0, 1.0).otherwise(whole)
 
 
+def slopes(mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Least-squares slopes of the last column on the others, from means and covariances; by the pseudo-inverse of the correlations."""
+    k = len(mean) - 1
+    sd = np.sqrt(np.maximum(np.diag(cov)[:k], 0))
+    scale = np.where(sd > 1e-12 * np.maximum(1, np.abs(mean[:k])), sd, np.inf)
+    return np.linalg.pinv(cov[:k, :k] / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (cov[:k, k] / scale) / scale
+
+
 def residual_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     """entity, period, residual of y on xs and a constant, by least squares in each period, over the rows that have them all; null elsewhere and in
     periods of fewer than two such rows.
@@ -143,10 +151,8 @@ def residual_of_many(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
             a = np.zeros((k + 1, k + 1))
             a[np.triu_indices(k + 1)] = flat
             a = np.triu(a) + np.triu(a, 1).T
-            sd = np.sqrt(np.diag(a)[:k])
-            scale = np.where(sd > 1e-12 * np.maximum(1, np.abs(m[:k])), sd, np.inf)
-            slopes = np.linalg.pinv(a[:k, :k] / np.outer(scale, scale), rcond=1e-10, hermitian=True) @ (a[:k, k] / scale) / scale
-            out.append([float(m[k] - slopes @ m[:k]), *slopes.tolist()])
+            b = slopes(m, a)
+            out.append([float(m[k] - b @ m[:k]), *b.tolist()])
         return pd.Series(out)
 
     fit = sums.where("_n >= 2").select("period", coefficients("_mean", "_cov").alias("_b"))

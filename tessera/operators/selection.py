@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import cut
 from .metrics import residual_of_many
+from .moments import Moments
 from .ranking import mean_ranks, with_bucket
 
 c = F.col
@@ -65,18 +67,32 @@ def penalty(score: Column, weight: float) -> Column:
     return F.coalesce(weight * (1 - F.least(F.lit(10.0), F.greatest(F.lit(0.0), score)) / 10), F.lit(0.0))
 
 
-def forward_selection(df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int, by: str = "ic") -> list[tuple[str, float]]:
+def forward_selection(
+    df: DataFrame, factors: list[str], label: str, styles: list[str], least: float, most_corr: float, most: int, by: str = "ic", alike: str = "values"
+) -> list[tuple[str, float]]:
     """Factors in the order they are taken, each with the mean period IC it had then: in every round the label is what styles and the factors
     taken leave of it, the factor of best abs(IC), `least` at least, is taken (with by="mono" the one whose buckets' returns are most in order), and those
-    that correlate with it above most_corr go. One job a round scores all that are left; only scores, and returns of buckets, reach the driver."""
-    if by not in ("ic", "mono"):
-        raise ValueError("by is ic or mono")
-    taken, left = [], list(factors)
+    too like it go: those that correlate with it above most_corr, in the mean of the periods (alike="values") or by their series of ICs of this round
+    (alike="ics"). Rows without a period take no part.
+
+    By IC the rows are read once: all rounds follow from products summed by date, a small job each, unless nulls come in too many combinations for that.
+    Then, and by order, a round reads the rows. Only scores, and returns of buckets, reach the driver.
+    """
+    if by not in ("ic", "mono") or alike not in ("values", "ics"):
+        raise ValueError("by is ic or mono, alike is values or ics")
+    taken, left = [], list(dict.fromkeys(factors))
+    df = df.where(c("period").isNotNull())
+    sums = Moments.of(df, [*styles, *left, label]) if by == "ic" and left else None
     while left and len(taken) < most:
         known = [*styles, *(n for n, _ in taken)]
-        rest = residual_of_many(df, label, known).select("entity", "period", c("residual").alias("_r")) if known else df.select("entity", "period", c(label).alias("_r"))
-        rows = df.select("entity", "period", *dict.fromkeys([*left, *(n for n, _ in taken)])).join(rest, ["entity", "period"])
-        per = rows.groupBy("period").agg(*[_corr(n, "_r").alias(n) for n in left])
+        if sums:
+            per = sums.ics(label, known, left)
+        else:
+            rest = residual_of_many(df, label, known).select("entity", "period", c("residual").alias("_r")) if known else df.select("entity", "period", c(label).alias("_r"))
+            rows = df.select("entity", "period", *dict.fromkeys([*left, *(n for n, _ in taken)])).join(rest, ["entity", "period"])
+            per = rows.groupBy("period").agg(*[_corr(n, "_r").alias(n) for n in left])
+        if alike == "ics":
+            per = cut(per)
         got = per.agg(*[F.avg(n).alias(n) for n in left]).first()
         able = [n for n in left if got[n] is not None and abs(got[n]) >= least]
         if not able:
@@ -89,8 +105,12 @@ def forward_selection(df: DataFrame, factors: list[str], label: str, styles: lis
             new = max(able, key=order)
         taken.append((new, float(got[new])))
         left = [n for n in able if n != new]
-        if left:
-            like = df.groupBy("period").agg(*[_corr(n, new).alias(n) for n in left]).agg(*[F.avg(n).alias(n) for n in left]).first()
+        if left and len(taken) < most:
+            if alike == "ics":
+                like = per.agg(*[_corr(n, new).alias(n) for n in left]).first()
+            else:
+                per = sums.like(new, left) if sums else df.groupBy("period").agg(*[_corr(n, new).alias(n) for n in left])
+                like = per.agg(*[F.avg(n).alias(n) for n in left]).first()
             left = [n for n in left if abs(like[n] or 0.0) <= most_corr]
     return taken
 

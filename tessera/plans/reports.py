@@ -336,7 +336,37 @@ def bootstrap_interval(spark, sf_dir):
     return selection.bootstrap_mean(part_panel(spark, sf_dir).withColumn("cell", F.xxhash64("entity", "qidx")), "cell", "x")
 
 
-@report(None)
+def _guarded(a: str, b: str) -> str:
+    return f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 1e-12 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END"
+
+
+def _taken(i: int, rest: str, names: str) -> str:
+    """The i-th choice t{i} by what is left of the label in `rest`, among `names`, and n{i}, the names that stay."""
+    per = f"SELECT name, period, {_guarded('v', 'r')} AS ic FROM long JOIN {rest} USING (entity, period) WHERE r IS NOT NULL AND name IN ({names}) GROUP BY ALL"
+    like = f"SELECT b.name, b.period, {_guarded('a.v', 'b.v')} AS k FROM long a JOIN t{i} ON a.name = t{i}.name JOIN long b ON a.entity = b.entity AND a.period = b.period WHERE b.name <> a.name GROUP BY ALL"
+    return (
+        f"i{i} AS (SELECT name, avg(ic) AS m FROM ({per}) GROUP BY 1 HAVING count(ic) > 0), t{i} AS (SELECT * FROM i{i} ORDER BY abs(m) DESC, name DESC LIMIT 1), "
+        f"n{i} AS (SELECT name FROM i{i} JOIN (SELECT name, coalesce(avg(k), 0) AS k FROM ({like}) GROUP BY 1) USING (name) WHERE abs(k) <= 0.9)"
+    )
+
+
+_SELECTION = f"""f AS (SELECT entity, period, fwd_ret AS r, {avg_rank('x')} AS f1, {z('y')} AS f2, avg(x) {w(5)} AS f3, y - lag(y) OVER (PARTITION BY entity ORDER BY qidx) AS f4 FROM p),
+long AS (SELECT entity, period, name, v FROM (SELECT entity, period, f1, f2, f3, f4 FROM f) UNPIVOT (v FOR name IN (f1, f2, f3, f4))),
+{_taken(1, 'f', "'f1', 'f2', 'f3', 'f4'")},
+q1 AS (SELECT f.entity, f.period, v AS a, r FROM f JOIN long USING (entity, period) JOIN t1 ON long.name = t1.name WHERE r IS NOT NULL),
+g1 AS (SELECT period, avg(a) AS ma, avg(r) AS mr, CASE WHEN var_pop(a) > 0 THEN covar_pop(a, r) / var_pop(a) ELSE 0 END AS s FROM q1 GROUP BY 1 HAVING count(*) >= 2),
+r1 AS (SELECT entity, period, r - mr - s * (a - ma) AS r FROM q1 JOIN g1 USING (period)),
+{_taken(2, 'r1', 'SELECT name FROM n1')},
+q2 AS (SELECT q1.entity, q1.period, a, v AS b, r FROM q1 JOIN long USING (entity, period) JOIN t2 ON long.name = t2.name),
+g2 AS (SELECT period, avg(a) AS ma, avg(b) AS mb, avg(r) AS mr, CASE WHEN var_pop(a) > 0 THEN covar_pop(a, r) / var_pop(a) ELSE 0 END AS s, CASE WHEN var_pop(a) > 0 THEN covar_pop(a, b) / var_pop(a) ELSE 0 END AS sb FROM q2 GROUP BY 1 HAVING count(*) >= 2),
+h2 AS (SELECT entity, period, r - mr - s * (a - ma) AS u, b - mb - sb * (a - ma) AS g FROM q2 JOIN g2 USING (period)),
+s2 AS (SELECT period, CASE WHEN var_pop(g) > 1e-18 THEN covar_pop(u, g) / var_pop(g) ELSE 0 END AS s FROM h2 GROUP BY 1),
+r2 AS (SELECT entity, period, u - s * g AS r FROM h2 JOIN s2 USING (period)),
+{_taken(3, 'r2', 'SELECT name FROM n2')}
+SELECT name AS factor, round(m, 6) + 0 AS ic FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3)"""
+
+
+@report(panel_sql(_SELECTION))
 def forward_selection(spark, sf_dir):
     p = evaluate(part_panel(spark, sf_dir), {n: parse(t) for n, t in {"f1": "cs_rank(x)", "f2": "cs_zscore(y)", "f3": "ts_mean_4(x)", "f4": "ts_delta_1(y)"}.items()})[0]
-    return spark.createDataFrame(selection.forward_selection(p, ["f1", "f2", "f3", "f4"], "fwd_ret", [], 0.0, 0.9, 3), "factor string, ic double")
+    return spark.createDataFrame(selection.forward_selection(p, ["f1", "f2", "f3", "f4"], "fwd_ret", [], 0.0, 0.9, 3), "factor string, ic double").select("factor", R("ic").alias("ic"))

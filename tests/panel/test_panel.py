@@ -113,7 +113,7 @@ def test_double_scored_needs_five(spark):
 def test_counts():
     assert len(OPERATORS) == 45 and len(FAMILIES) == 73
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"evolution", "forward_selection", "bootstrap_interval"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"evolution", "bootstrap_interval"}
     assert len(catalog.queries()) > 180
 
 
