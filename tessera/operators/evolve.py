@@ -121,9 +121,10 @@ def child(rng: random.Random, s: Settings, parent: Node, donor: Node, ops: list[
             if rng.random() < s.point_replace:
                 old = _get(new, p)
                 if old.args:
-                    same = [o for o in ops if lookup(o)[2] == len(old.args)]
-                    op, k, _ = lookup(rng.choice(same))
-                    new = _put(new, p, Node(op, old.args, k))
+                    # an operator of a first tree stays where mutations have none of as many arguments
+                    if same := [o for o in ops if lookup(o)[2] == len(old.args)]:
+                        op, k, _ = lookup(rng.choice(same))
+                        new = _put(new, p, Node(op, old.args, k))
                 elif old.op == "feature":
                     new = _put(new, p, Node("feature", value=rng.choice(features)))
     else:

@@ -139,11 +139,6 @@ def daily_wide(spark: SparkSession, folder: str, name: str, key: str = "entity",
     return between(long, "day", first, last)
 
 
-def write_panel(df: DataFrame, path: str, by: str = "entity") -> None:
-    """A panel as Parquet, clustered by entity so that work along time reads whole entities together."""
-    df.repartition(by).sortWithinPartitions(by, "qidx").write.mode("overwrite").parquet(path)
-
-
 def write_panel(df: DataFrame, names: list[str], path: str, about: dict | None = None) -> dict:
     """Writes the features of a panel, and beside them a JSON line of what is known of them: names, rows, each one's coverage over all cells, and `about`. Coverage is counted in
     the job that writes, so the panel is computed once; it is returned too."""
