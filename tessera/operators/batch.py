@@ -2,10 +2,13 @@
 
 Ranks of all expressions are taken at once: rows are counted by expression, date and value, that table is range-partitioned by the three, and a value's rank is
 the number of rows before its range and before it in its range. No date, and no expression, is one task's.
+
+Metrics that give one number a factor, those that a user registers among them, take a pass over the panel a program.
 """
 
 from __future__ import annotations
 
+import inspect
 import math
 from dataclasses import dataclass
 
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.expression import Node, canonical, evaluate
 from ..plans.stage import cut
+from ..sources.results import union_all
+from . import fitness
 from .fitness import neutral
 from .ranking import with_ranks
 
@@ -23,14 +28,17 @@ c = F.col
 _LINES = {"cs_zscore", "cs_demean"}
 #: Metrics that give a number a date, and whether they are of percentile ranks.
 METRICS = {"pearson": False, "alert_pearson": False, "spearman": True, "alert_ic": True, "neutral_ic": True}
-#: What a factor without a value scores by a metric that has a sign.
-NOTHING = -1.0
+#: What a factor without a value scores by a metric that has a sign, and by one of a whole factor.
+NOTHING, NO_FIGURE = -1.0, -100.0
 
 
 @dataclass(frozen=True)
 class Rule:
     """What a search asks of a factor. A date counts if at least `coverage` of its unrestricted entities have a value, no date if the mean over dates is lower; it
-    needs `pairs` of value and label, and a factor a date for at least `share` of those with labels. Styles are taken out of the label by neutral_ic."""
+    needs `pairs` of value and label, and a factor a date for at least `share` of those with labels. Styles are taken out of the label by neutral metrics.
+
+    The metric is one of METRICS, or any that fitness.METRICS has: such a one gives a number for the whole factor, masked by coverage where it masks, and asks for no
+    pairs and dates but its own."""
 
     metric: str = "pearson"
     coverage: float = 0.9
@@ -97,7 +105,7 @@ def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50,
     """
     rule = rule or Rule(coverage=0.0, pairs=min_pairs, share=0.0)
     if rule.metric not in METRICS:
-        raise KeyError(f"no search goes by {rule.metric}")
+        return whole_figures(panel, trees, label, rule, width)
     names = {f"_e{i}": t for i, t in enumerate(dict.fromkeys(map(canonical, trees)))}
     dates = _open(panel, label) if rule.coverage > 0 else {}
     ics, ranked = {str(t): {} for t in names.values()}, METRICS[rule.metric]
@@ -134,13 +142,33 @@ def ic_series(panel: DataFrame, trees: list[Node], label: str, width: int = 50,
     return ics
 
 
+def whole_figures(panel: DataFrame, trees: list[Node], label: str, rule: Rule, width: int = 50) -> dict[str, dict]:
+    """For each distinct canonical tree its figure by a metric of a whole factor, under no date (None), turned round where less is better; a row a tree reaches the
+    driver, `width` of them a job."""
+    if rule.metric not in fitness.METRICS:
+        raise KeyError(f"no search goes by {rule.metric}")
+    f, better = fitness.METRICS[rule.metric]
+    options = {k: v for k, v in (("styles", list(rule.styles)), ("least", rule.coverage)) if k in inspect.signature(f).parameters}
+    names, out = list(dict.fromkeys(map(canonical, trees))), {}
+    for i in range(0, len(names), width):
+        some = names[i : i + width]
+        figures = union_all([f(evaluate(panel, {"_factor": t})[0], "_factor", label, **options).select(F.lit(k).alias("k"), c("value").cast("double").alias("value")) for k, t in enumerate(some)])
+        got = {r.k: r.value for r in figures.collect()}
+        for k, t in enumerate(some):
+            v = got.get(k)
+            out[str(t)] = {} if v is None or not math.isfinite(v) else {None: v if better or v == NO_FIGURE else -v}
+    return out
+
+
 def labelled(panel: DataFrame, label: str) -> int:
     """The number of dates that have labels."""
     return sum(has for _, has in _open(panel, label).values())
 
 
 def fitness_of(ics: dict, rule: Rule | None = None, dates: int = 0) -> float:
-    """One number of a factor's ICs: abs of their mean, the mean itself by an alert metric; -1 without enough of them."""
+    """One number of a factor's ICs: abs of their mean, the mean itself by an alert metric; -1 without enough of them. The figure itself by a metric that gives one; -100 without."""
+    if rule and rule.metric not in METRICS:
+        return ics.get(None, NO_FIGURE)
     if not ics or rule and len(ics) < math.ceil(rule.share * dates):
         return NOTHING
     mean = math.fsum(ics.values()) / len(ics)

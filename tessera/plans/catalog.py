@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.cross_section import OPERATORS
 from ..operators.time_series import FAMILIES
 from ..sources.panel import part_panel
-from . import operator_sql, return_reports, search_reports  # noqa: F401  (its queries are among REPORTS)
+from . import operator_sql, return_reports, run_reports, search_reports  # noqa: F401  (their queries are among REPORTS)
 from .expression import Node, build
 from .flow import Flow
 from .reports import REPORTS, flagship_ic

@@ -104,7 +104,13 @@ _METRIC = lambda rest: panel_sql(f"{_COVER}, {_K}, {_FIT}, {_PCT}, {rest}")  # n
 _ICS = lambda a, b: f"ic AS (SELECT period, corr({a}, {b}) AS ic FROM pk WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)"
 
 
+#: The SQL of the metrics, after what _METRIC puts before it.
+_FIGURES: dict[str, str] = {}
+
+
 def _metric(name: str, sql: str):
+    _FIGURES[name] = sql
+
     def run(spark, sf_dir):
         return fitness.metric(name, part_panel(spark, sf_dir), "x", "fwd_ret", styles=["y"], least=0.6).select(R("value").alias("value"))
 
@@ -319,6 +325,8 @@ _searched("pearson", f"{_ICS('f', 'y1')} SELECT round(coalesce(abs(avg(ic)), -1)
 _searched("spearman", f"{_ICS('pf', 'p1')} SELECT round(coalesce(abs(avg(ic)), -1), 6) AS value FROM ic")
 _searched("neutral_ic", f"{_ICS('pf', 'pr')} SELECT round(coalesce(abs(avg(ic)), -1), 6) AS value FROM ic")
 _searched("alert_ic", f"{_ICS('pf', 'p1')} SELECT round(coalesce(avg(ic), -1), 6) + 0 AS value FROM ic")
+for _name in ("hedge_sharpe", "neutral_hedge_sharpe", "alert_icir", "long_only_neutral_ic"):
+    _searched(_name, _FIGURES[_name])
 
 
 _PD = "pd AS (SELECT x, y * 1000 AS y, y * 1000 - x AS d FROM p WHERE x IS NOT NULL AND y IS NOT NULL)"

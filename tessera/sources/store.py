@@ -67,13 +67,13 @@ class IcStore:
         return digest([rule.metric, rule.coverage, rule.pairs, rule.share, list(rule.styles), label, self.data])
 
     def read(self, rule, label: str, formulations: set[str]) -> dict[str, dict]:
-        """ICs by date of those of the expressions that are there; an expression without ICs is there with none."""
+        """ICs by date of those of the expressions that are there; an expression without ICs is there with none, a figure of a whole factor is under no date."""
         wanted = self.spark.createDataFrame([(f,) for f in sorted(formulations)], "formulation string")
         rows = committed(self.spark, f"{self.root}/{self._rule(rule, label)}", self.SCHEMA).join(F.broadcast(wanted), "formulation")
         out: dict[str, dict] = {}
         for r in rows.select("formulation", "period", "ic").distinct().collect():
             ics = out.setdefault(r.formulation, {})
-            if r.period is not None:
+            if r.period is not None or r.ic is not None:
                 ics[r.period] = r.ic
         return {f: dict(sorted(ics.items())) for f, ics in out.items()}
 

@@ -48,7 +48,39 @@ def test_search_scores_are_the_masked_fitness(panel):
     records = gp.evolve(panel, ["cs_add", "cs_rank"], ["x", "y"], "r", gp.Settings(population=4, generations=1), rule=gp.Rule("neutral_ic", 0.7, 5, 0.5, ("y",)))
     assert max(r["ic"] for r in records) > 0.2
     with pytest.raises(KeyError):
-        gp.score(panel, [parse("x")], "r", rule=gp.Rule("hedge_sharpe"))
+        gp.score(panel, [parse("x")], "r", rule=gp.Rule("no_such_metric"))
+
+
+@pytest.mark.parametrize("name", ["hedge_sharpe", "neutral_hedge_sharpe", "alert_icir", "long_only_neutral_ic"])
+def test_a_search_goes_by_figures_of_whole_factors(panel, name):
+    got = gp.score(panel, [parse(t) for t in TEXTS], "r", width=4, rule=gp.Rule(name, 0.7, styles=("y",)))
+    for text in TEXTS:
+        (df,) = evaluate(panel, {"f": parse(text)})
+        assert got[str(canonical(parse(text)))] == pytest.approx(fitness.metric(name, df, "f", "r", styles=["y"], least=0.7).first()["value"], abs=1e-9), text
+
+
+def test_a_search_goes_by_a_metric_of_ones_own(panel, spark, tmp_path, monkeypatch):
+    """Less is better by this one, so the search turns it round; its figures are kept and read as ICs are."""
+    from pyspark.sql import functions as F
+
+    def distance(df, x, y):
+        return df.agg(F.avg(F.abs(F.col(x) - F.col(y))).alias("value"))
+
+    fitness.register_metric("distance", distance, False, panel.select("*", F.col("r").alias("fwd")))
+    try:
+        rule = gp.Rule("distance")
+        got = gp.score(panel, [parse(t) for t in ("x", "y", "cs_sub(sparse, sparse)")], "r", rule=rule)
+        want = {t: -distance(panel, t, "r").first()["value"] for t in ("x", "y")}
+        assert all(got[f"`{t}`"] == pytest.approx(v) for t, v in want.items()) and len(got) == 3
+        nothing = panel.withColumn("x", F.lit(None).cast("double"))
+        assert gp.score(nothing, [parse("x")], "r", rule=rule) == {"`x`": -100.0}
+        kept, asked, real = store.IcStore(spark, f"{tmp_path}/figures"), [], gp.ic_series
+        monkeypatch.setattr(gp, "ic_series", lambda p, trees, *a, **k: asked.append(len(trees)) or real(p, trees, *a, **k))
+        run = lambda: gp.evolve(panel, ["cs_add", "cs_sub"], ["x", "y"], "r", gp.Settings(population=4, generations=1, originality=0.2, parsimony="auto"), rule=rule, store=kept)
+        first, n = run(), len(asked)
+        assert run() == first and len(asked) == n and max(r["ic"] for r in first) >= got["`x`"] - 1
+    finally:
+        del fitness.METRICS["distance"]
 
 
 def test_no_date_and_no_expression_is_one_task(panel):
