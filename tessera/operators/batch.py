@@ -150,6 +150,7 @@ def whole_figures(panel: DataFrame, trees: list[Node], label: str, rule: Rule, w
     f, better = fitness.METRICS[rule.metric]
     options = {k: v for k, v in (("styles", list(rule.styles)), ("least", rule.coverage)) if k in inspect.signature(f).parameters}
     names, out = list(dict.fromkeys(map(canonical, trees))), {}
+    panel = cut(panel)  # every program reads it
     for i in range(0, len(names), width):
         some = names[i : i + width]
         figures = union_all([f(evaluate(panel, {"_factor": t})[0], "_factor", label, **options).select(F.lit(k).alias("k"), c("value").cast("double").alias("value")) for k, t in enumerate(some)])
