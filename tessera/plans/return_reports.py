@@ -38,7 +38,8 @@ def index_period_return(spark, sf_dir):
 @report(f"WITH {_ORDERS}, q AS (SELECT entity, {_PERIOD.format(d='day')} AS period, sum(v - i) AS s FROM od JOIN ix USING (day) GROUP BY 1, 2) SELECT entity, period::VARCHAR AS period, round(s * {_TIMES.format(p='period')}, 4) + 0 AS ret FROM q")
 def excess_period_return(spark, sf_dir):
     d = _orders(spark, sf_dir)
-    return returns.period_return(returns.excess(d, _index(d), "v"), "v").select("entity", _text("period"), R("v", 4).alias("ret"))
+    # some values lie half-way between two fourth digits; rounding errors of sums, which change with the order of rows, go first
+    return returns.period_return(returns.excess(d, _index(d), "v"), "v").select("entity", _text("period"), R(F.round("v", 9), 4).alias("ret"))
 
 
 @report(f"WITH {_ORDERS}, ld AS (SELECT max(day) AS day FROM od WHERE month(day) IN (4, 8, 10) GROUP BY year(day), month(day)) SELECT entity, last_day(make_date(year(day), CASE month(day) WHEN 4 THEN 3 WHEN 8 THEN 6 ELSE 9 END, 1))::VARCHAR AS period, round(v, 4) AS v FROM od JOIN ld USING (day)")
