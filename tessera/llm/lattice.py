@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +53,12 @@ class Lattice:
             if self.pieces:
                 self._found.make_automaton()
         a = max(0, lo + 1 - self.longest)
-        out = [(a + e - n, a + e + 1, p, i) for e, (n, p, i) in self._found.iter(s[a:hi]) if a + e >= lo] if self.pieces else []
+        if not self.pieces:
+            out = []
+        elif a == lo:
+            out = [(a + e - n, a + e + 1, p, i) for e, (n, p, i) in self._found.iter(s[a:hi])]
+        else:
+            out = [(a + e - n, a + e + 1, p, i) for e, (n, p, i) in self._found.iter(s[a:hi]) if a + e >= lo]
         if strange := set(s[lo:hi]) - self.single:
             for i in range(lo, hi):
                 if s[i] in strange:
@@ -62,12 +67,12 @@ class Lattice:
             out.sort(key=lambda x: x[1])
         return out
 
-    def _forward(self, s: str) -> array:
-        """For each place in s the log of the sum over the segmentations up to it; of arcs only a block's are held."""
+    def _forward(self, s: str, arcs: list | None = None) -> array:
+        """For each place in s the log of the sum over the segmentations up to it; of arcs only a block's are held. `arcs` are those of an s of one block, where they are known."""
         at = array("d", bytes(8 * (len(s) + 1)))
         for lo in range(0, len(s), BLOCK):
             now, into = lo, []
-            for start, end, p, _ in self.arcs(s, lo, min(lo + BLOCK, len(s))):
+            for start, end, p, _ in self.arcs(s, lo, min(lo + BLOCK, len(s))) if arcs is None else arcs:
                 if end != now:
                     if into:
                         at[now] = _log_sum(into)
@@ -80,19 +85,20 @@ class Lattice:
         """Log of the sum, over all segmentations of the marked word into pieces, of the product of their probabilities."""
         return self._forward(MARK + word)[-1]
 
-    def expect(self, word: str, c: float, sums: np.ndarray) -> None:
-        """Adds to sums, by id, c times how often each piece is expected in a segmentation of the word. Blocks are read again from the last;
-        what comes after a place is held until the arcs that end there are done."""
+    def expect(self, word: str, c: float, sums: list[float]) -> None:
+        """Adds to sums, by id, c times how often each piece is expected in a segmentation of the word. Of a word of several blocks
+        they are read again from the last; what comes after a place is held until the arcs that end there are done."""
         s = MARK + word
-        before = self._forward(s)
-        whole, after = before[-1], {len(s): [0.0]}
+        exp, arcs = math.exp, self.arcs(s, 0, len(s)) if len(s) <= BLOCK else None
+        before = self._forward(s, arcs)
+        whole, after = before[-1], defaultdict(list, {len(s): [0.0]})
         for lo in reversed(range(0, len(s), BLOCK)):
             now, rest = -1, 0.0
-            for start, end, p, i in reversed(self.arcs(s, lo, min(lo + BLOCK, len(s)))):
+            for start, end, p, i in reversed(self.arcs(s, lo, min(lo + BLOCK, len(s))) if arcs is None else arcs):
                 if end != now:
                     now, rest = end, _log_sum(after.pop(end))
-                after.setdefault(start, []).append(rest + p)
-                share = c * math.exp(before[start] + p + rest - whole)
+                after[start].append(rest + p)
+                share = c * exp(before[start] + p + rest - whole)
                 if isinstance(i, tuple):
                     for b in i:
                         sums[b] += share
@@ -157,10 +163,11 @@ def fit(words: DataFrame, n_ends: int, path: str) -> Lattice:
     size = len(own) - 1
 
     def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros(size)
+        sums = [0.0] * size
         for pdf in batches:
             for w, c in zip(pdf.word, pdf.c):
                 sent.value.expect(w, c, sums)
+        sums = np.array(sums)
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"piece": at, "c": sums[at]})
 
