@@ -45,10 +45,10 @@ def minima(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """One key a band, of its minima and its number."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in sig.reshape(BANDS, WIDTH).T.astype(np.uint64):
-        key = mixed(key * np.uint64(0x9FB21C651E98DF25) + part)
+    """For each signature (uint16 in the last axis) one key a band, of its minima and its number."""
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (*sig.shape[:-1], BANDS))
+    for i in range(WIDTH):
+        key = mixed(key * np.uint64(0x9FB21C651E98DF25) + sig[..., i::WIDTH].astype(np.uint64))
     return key.view(np.int64)
 
 
@@ -60,9 +60,9 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
         for pdf in batches:
             rows = []
             for s in shingle_sets(pdf.text.tolist(), k, hashes):
-                d, sig = xxhash.xxh3_128_digest(s.tobytes()), minima(s, a, b)
+                d, sig = xxhash.xxh3_128_digest(s.tobytes()), minima(s, a, b).astype(np.uint16)
                 signed = [int.from_bytes(x, "little", signed=True) for x in (d[:8], d[8:])]
-                rows.append((len(s), *signed, sig.astype(np.uint16).tobytes(), bitmap(s), bands(sig) if len(s) else []))
+                rows.append((len(s), *signed, sig.tobytes(), bitmap(s), bands(sig) if len(s) else []))
             n, d1, d2, sig, bits, keys = zip(*rows) if rows else ([],) * 6
             yield pd.DataFrame({"doc_id": pdf.doc_id, "n": n, "d1": d1, "d2": d2, "sig": sig, "bits": bits, "keys": keys})
 
@@ -108,21 +108,46 @@ def _confirm(k: int):
     return confirm
 
 
-def _across(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group of a bucket's sets that lie in different classes and may link: of one side with the other, or, where there is one side, of all."""
+def _near(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of a group of a bucket's sets, and with each the rows of those it is to be compared with: on the other side, or, where there is one side, after it; of another class,
+    near enough to link, and sharing no band before the bucket's with it. So two sets meet in one group only, however many buckets they share."""
     n, ids, comp, second = pdf.n.to_numpy(), pdf.doc_id.to_numpy(), pdf.comp.to_numpy(), pdf.second.to_numpy()
     sig, bits = _signatures(pdf.sig), _bits(pdf.bits)
-    x, y = np.flatnonzero(~second), np.flatnonzero(second)
-    one = not len(y)
-    y = x if one else y
-    out = []
+    key, one = pdf.key.iloc[0], pdf.among.iloc[0] and pdf.i.iloc[0] == pdf.j.iloc[0]
+    x = np.flatnonzero(~second)
+    y = x if one else np.flatnonzero(second)
     for i in x:
         z = y[(comp[y] != comp[i]) & (5 * np.minimum(n[y], n[i]) >= 4 * np.maximum(n[y], n[i]))]
         z = z[ids[z] > ids[i]] if one else z
         z = z[_agreement(sig[z], sig[i]) >= AGREE]
         z = z[links(overlap_bound(bits[i], bits[z], n[i], n[z]), n[i], n[z])]
-        out += [(min(ids[i], j), max(ids[i], j)) for j in ids[z]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+        if len(z):
+            first = (sig[z] == sig[i]).reshape(-1, BANDS, WIDTH).all(axis=2).argmax(axis=1)
+            yield i, z[bands(sig[i])[first] == key]
+
+
+def _partnered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a group that are to be compared with any."""
+    some = np.zeros(len(pdf), bool)
+    for i, z in _near(pdf):
+        some[i] |= len(z) > 0
+        some[z] = True
+    return pdf[some]
+
+
+def _joining(k: int):
+    """Links of a group's whole sets that make one class of two: fewer than it has rows. Every other pair that meets here is of one class by then, or does not link."""
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, sets, root, out = pdf.doc_id.to_numpy(), list(shingle_sets(pdf.text.tolist(), k, WordHashes())), pdf.comp.to_numpy().copy(), []
+        for i, z in _near(pdf):
+            for j in z:
+                if root[i] != root[j] and links(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])):
+                    out.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return join
 
 
 def _by_key(keys: list[str], f):
@@ -133,11 +158,12 @@ def _by_key(keys: list[str], f):
         for pdf in batches:
             for _, part in pdf.groupby(keys, sort=False):
                 if held and tuple(held[-1][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                    yield f(pd.concat(held, ignore_index=True))
+                    if len(out := f(pd.concat(held, ignore_index=True))):
+                        yield out
                     held = []
                 held.append(part)
-        if held:
-            yield f(pd.concat(held, ignore_index=True))
+        if held and len(out := f(pd.concat(held, ignore_index=True))):
+            yield out
 
     return run
 
@@ -160,6 +186,13 @@ class _Texts:
         rows = by_ids(self.texts, wanted, "doc_id", "inner").repartition("b", "part").sortWithinPartitions("b", "part", F.desc("first"))
         return self.s.cut(rows.select("first", "a", "b", "text").mapInPandas(_confirm(self.k), "a long, b long"))
 
+    def joining(self, groups: DataFrame, keys: list[str]) -> DataFrame:
+        """Of the rows (keys, doc_id, comp, second) of groups links that join all classes which links of a group join. No pair leaves a group before it is known to link and to be needed."""
+        dealt = groups.join(self.sig.hint("shuffle_merge"), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+        near = self.s.cut(dealt.mapInPandas(_by_key(keys, _partnered), dealt.schema))
+        rows = by_ids(self.texts, near, "doc_id", "inner").repartition(*keys).sortWithinPartitions(*keys)
+        return self.s.cut(rows.mapInPandas(_by_key(keys, _joining(self.k)), "a long, b long"))
+
 
 def _leaders(keyed: DataFrame, s: Scratch) -> DataFrame:
     """(a, b) of the buckets of keyed (key, doc_id): each set, and those of its bucket that are first in ORDERS orders, of which all but one are the same for a few buckets only.
@@ -214,7 +247,7 @@ def minhash_dedup(docs: DataFrame, k: int = 2) -> DataFrame:
         classes = components(pairs.linked(_leaders(keyed, s)))
         keyed, held = _open(keyed, classes, s)
         if keyed.limit(1).count():
-            more = pairs.linked(s.cut(_rest(keyed, held, sig, s)))
+            more = _rest(keyed, held, pairs)
             if more.limit(1).count():
                 classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
         of_set = owners.join(classes, owners["owner"] == classes["node"], "left").select("d1", "d2", F.coalesce("component", "owner").alias("of_set"))
@@ -226,17 +259,16 @@ def minhash_dedup(docs: DataFrame, k: int = 2) -> DataFrame:
         return cut(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
 
 
-def _rest(keyed: DataFrame, held: DataFrame, sig: DataFrame, s: Scratch) -> DataFrame:
-    """Distinct pairs of sets of a bucket that are of different classes and may link. A bucket's largest class is one side, all others, which are few where near copies
+def _rest(keyed: DataFrame, held: DataFrame, pairs: _Texts) -> DataFrame:
+    """Links that join the classes of each bucket's sets, where any link does. A bucket's largest class is one side, all others, which are few where near copies
     have found each other, the other; blocks of those meet blocks of that, and each other."""
     blocks = lambda weight: f"cast(greatest(1, ceil(({weight}) / {BLOCK})) as int)"
     main = held.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("most"), F.sum("w").alias("w"))
-    main = s.cut(main.select("key", F.col("most.comp").alias("main"), F.expr(blocks("most.w")).alias("lot"), F.expr(blocks("w - most.w")).alias("few")))
+    main = pairs.s.cut(main.select("key", F.col("most.comp").alias("main"), F.expr(blocks("most.w")).alias("lot"), F.expr(blocks("w - most.w")).alias("few")))
     sides = by_hot_key(keyed.select("key", "doc_id", "comp"), main, "key", "inner").withColumn("odd", F.col("comp") != F.col("main"))
     sides = sides.withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), if(odd, few, lot)) as int)")).withColumn("other", F.explode(F.expr("sequence(0, if(odd, lot, few) - 1)")))
     with_main = sides.select("key", "doc_id", "comp", F.lit(False).alias("among"), F.expr("if(odd, part, other)").alias("i"), F.expr("if(odd, other, part)").alias("j"), (~F.col("odd")).alias("second"))
     among = sides.where("odd and other = 0").withColumn("other", F.explode(F.expr("sequence(0, few - 1)")))
     among = among.select("key", "doc_id", "comp", F.lit(True).alias("among"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.expr("part > other").alias("second"))
     keys = ["key", "among", "i", "j"]
-    dealt = with_main.union(among).join(sig.hint("shuffle_merge"), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInPandas(_by_key(keys, _across), "a long, b long").distinct()
+    return pairs.joining(with_main.union(among), keys)

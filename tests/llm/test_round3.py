@@ -198,6 +198,28 @@ def test_minhash_whole_buckets(spark, monkeypatch):
     assert got == plain_classes(rows)[0]
 
 
+def test_minhash_no_pair_leaves_its_group(spark, monkeypatch):
+    """Of a group of sets of which most pairs lie just under the threshold no more comes out than the rows it has, and no link is lost."""
+    rng, texts = random.Random(5), []
+    for _ in range(100):
+        v = [f"h{i}" for i in range(400)]
+        for at in rng.sample(range(1, 399, 2), 13):
+            v[at] = f"e{rng.randrange(10**9)}"
+        texts.append(" ".join(v))
+    rows, seen = list(enumerate(texts)), []
+    rest = mh._rest
+
+    def counted(keyed, *more):
+        out = rest(keyed, *more)
+        seen.append((keyed.select("doc_id").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(mh, "_rest", counted)
+    got = {r.doc_id: r.component_id for r in mh.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_classes(rows)[0]
+    assert len(set(got.values())) > 20 and seen[0][1] < seen[0][0]
+
+
 def test_minhash_of_nothing(spark):
     assert mh.minhash_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in mh.minhash_dedup(spark.createDataFrame([(5, None)], "doc_id long, text string")).collect()] == [(5, 0, 5, True)]
